@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from condist.llm.packing import op1_packing
+from condist.llm.token_files import op4_token_files
+from condist.llm.warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing}
+    return {f.__name__: f for f in (op1_packing, op3_warc, op4_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL}
