@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from condist.llm.packing import op1_packing
 from condist.llm.quality import op2_quality
+from condist.llm.simhash import op5_simhash
 from condist.llm.token_files import op4_token_files
 from condist.llm.toxicity import op10_toxicity
 from condist.llm.warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_warc, op4_token_files, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_warc, op4_token_files, op5_simhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
