@@ -8,6 +8,7 @@ encodes, so only words that a worker has not met yet reach the tokenizer.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Words a worker remembers before it starts afresh; bounds its memory.
 CACHE_WORDS = 400_000
 #: Bytes of text that are cut and encoded at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def default_tokenizer() -> str:
@@ -93,18 +94,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, list[int]] = {}
+        self.special_ids = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = list(self.special_ids)
+        self.known: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         self.alphabet = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
 
-    def word(self, word: str) -> list[int]:
-        """Ids of one cut word, by the tokenizer's own merges."""
+    def word(self, word: str) -> bytes:
+        """Ids of one cut word, by the tokenizer's own merges, as unsigned 32-bit integers."""
+        if word in self.special_ids:
+            return array("I", [self.special_ids[word]]).tobytes()
         piece = word.encode().decode("latin-1").translate(self.alphabet)
-        return [t.id for t in self.tokenizer.model.tokenize(piece)]
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
 
-    def words(self, words: list[str]) -> list[list[int]]:
+    def words(self, words: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known, out = self.known, []
@@ -115,36 +119,70 @@ class Encoder:
             out.append(ids)
         return out
 
-    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end (uint32), and n + 1 offsets; null is empty."""
+    def pieces(self) -> pa.Array:
+        """The bytes of each id."""
+        back = {v: k for k, v in self.alphabet.items()}
+        out = []
+        for i in range(self.tokenizer.get_vocab_size()):
+            token = self.tokenizer.id_to_token(i)
+            out.append(bytes(back[ord(c)] for c in token) if all(ord(c) in back for c in token) else token.encode())
+        return pa.array(out, pa.large_binary())
+
+    def cut(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all texts end to end, dictionary encoded, and n + 1 offsets; null is empty.
+
+        A special token's string is a word of its own, and what stands before
+        and after it is cut as if it were a text.
+        """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        special = np.zeros(len(texts), bool)
-        for token in self.special:
-            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
-        body, offsets = flat(plain)
+        rows, bounds, whole = self._segments(texts)
+        body, offsets = flat(rows)
         starts = cut_words(body, offsets)
-        data = pa.py_buffer(body.tobytes())
-        cut = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(body)).astype(np.int64)), data)
-        coded = cut.dictionary_encode()
+        if len(whole):
+            inner = np.zeros(len(body) + 1, bool)
+            inner[spread(offsets[whole] + 1, offsets[whole + 1] - offsets[whole] - 1)] = True
+            starts = starts[~inner[starts]]
+        edges = pa.py_buffer(np.append(starts, len(body)).astype(np.int64))
+        words = pa.LargeStringArray.from_buffers(len(starts), edges, pa.py_buffer(body.tobytes()))
+        return words.dictionary_encode(), np.searchsorted(starts, offsets)[bounds]
+
+    def _segments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Rows to cut, the n + 1 rows at which texts begin, and the rows that are special tokens."""
+        n = len(texts)
+        marked = np.zeros(n, bool)
+        for token in self.special:
+            marked |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return texts, np.arange(n + 1), np.zeros(0, np.int64)
+        pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        rows: list[str] = []
+        bounds, whole = [0], []
+        for text in texts.to_pylist():
+            for k, part in enumerate(pattern.split(text)):
+                if k % 2:
+                    whole.append(len(rows))
+                if part:
+                    rows.append(part)
+            bounds.append(len(rows))
+        return pa.array(rows, pa.large_string()), np.array(bounds), np.array(whole, np.int64)
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end (uint32), and n + 1 offsets; null is empty."""
+        coded, bounds = self.cut(texts)
         lists = self.words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        pool = np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        pool = np.frombuffer(b"".join(lists), np.uint32)
         codes = coded.indices.to_numpy()
-        per_word = sizes[codes] if len(codes) else np.zeros(0, np.int64)
-        ids = pool[spread((np.cumsum(sizes) - sizes)[codes] if len(codes) else per_word, per_word)]
-        ends = np.concatenate(([0], np.cumsum(per_word)))
-        bounds = ends[np.searchsorted(starts, offsets)]
-        if special.any():
-            parts, bounds = self._with_special(texts, special, ids, bounds)
-            ids = np.concatenate(parts) if parts else ids
-        return ids, bounds
-
-    def _with_special(self, texts: pa.Array, special: np.ndarray, ids: np.ndarray, bounds: np.ndarray):
-        parts = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        for i in np.flatnonzero(special):
-            parts[i] = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
-        return parts, np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return gather(pool, sizes, codes, bounds)
+
+
+def gather(pool: np.ndarray, sizes: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``pool`` (their sizes by code) in the order of ``codes``, and ``bounds`` (of codes) as bounds of the result."""
+    if not len(codes):
+        return pool[:0], np.zeros(len(bounds), np.int64)
+    per_code = sizes[codes]
+    ends = np.concatenate(([0], np.cumsum(per_code)))
+    return pool[spread((np.cumsum(sizes) - sizes)[codes], per_code)], ends[bounds]
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
