@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from condist.llm.bpe import op7_bpe
+from condist.llm.chat import OP8_SQL, op8_chat
 from condist.llm.packing import op1_packing
 from condist.llm.quality import op2_quality
 from condist.llm.simhash import op5_simhash
@@ -12,8 +13,8 @@ from condist.llm.warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_warc, op4_token_files, op5_simhash, op7_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_warc, op4_token_files, op5_simhash, op7_bpe, op8_chat, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op3_warc": OP3_SQL, "op8_chat": OP8_SQL}
