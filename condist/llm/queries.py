@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from condist.llm.ann import op6_ann
 from condist.llm.audio import op9_audio
 from condist.llm.bpe import op7_bpe
 from condist.llm.chat import OP8_SQL, op8_chat
@@ -14,7 +15,7 @@ from condist.llm.warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_warc, op4_token_files, op5_simhash, op7_bpe, op8_chat, op9_audio, op10_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_warc, op4_token_files, op5_simhash, op6_ann, op7_bpe, op8_chat, op9_audio, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
