@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from condist.plans import core  # noqa: F401  (registers its queries)
+from condist.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
