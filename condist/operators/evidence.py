@@ -102,15 +102,15 @@ def density(x: Column) -> Column:
 
 
 def log_samples(bounds: DataFrame, intervals: int) -> DataFrame:
-    """Points k = 0 .. intervals between lo and hi (positive, increasing), evenly spaced in the logarithm."""
-    x = F.col("lo") * F.exp(F.col("k") / intervals * F.log(F.col("hi") / F.col("lo")))
-    rows = bounds.where("lo > 0 and hi > lo").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(intervals))))
-    return rows.withColumn("x", F.when(F.col("k") == 0, F.col("lo")).when(F.col("k") == intervals, F.col("hi")).otherwise(x))
+    """Points, by step from 0 to ``intervals``, between lo and hi (positive, increasing), evenly spaced in the logarithm."""
+    x = F.col("lo") * F.exp(F.col("step") / intervals * F.log(F.col("hi") / F.col("lo")))
+    rows = bounds.where("lo > 0 and hi > lo").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(intervals))))
+    return rows.withColumn("x", F.when(F.col("step") == 0, F.col("lo")).when(F.col("step") == intervals, F.col("hi")).otherwise(x))
 
 
 def sampled_density(pieces: DataFrame, bounds: DataFrame, keys: list[str], intervals: int) -> DataFrame:
     """Density at the log-spaced points of each key; 0 outside its pieces."""
-    probes = log_samples(bounds, intervals).select(*keys, "k", F.col("x").alias("at"))
+    probes = log_samples(bounds, intervals).select(*keys, "step", F.col("x").alias("at"))
     starts = pieces.withColumn("at", F.col("x1")).withColumn("piece", F.struct("x1", "x2", "rise", "m0", "m1"))
     both = probes.withColumn("_p", F.lit(0)).unionByName(starts.select(*keys, "at", "piece").withColumn("_p", F.lit(1)), allowMissingColumns=True)
     order = Window.partitionBy(*keys).orderBy("at", "_p")
@@ -119,6 +119,6 @@ def sampled_density(pieces: DataFrame, bounds: DataFrame, keys: list[str], inter
     over = F.first("piece", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     found = both.withColumn("_u", under).withColumn("_o", over).where("_p = 0")
     piece = F.coalesce("_u", F.when(F.col("_o.x1") == F.col("at"), F.col("_o")))
-    rows = found.withColumn("_q", piece).select(*keys, "k", F.col("at").alias("x"), "_q.*")
+    rows = found.withColumn("_q", piece).select(*keys, "step", F.col("at").alias("x"), "_q.*")
     inside = F.col("x1").isNotNull() & (F.col("x") <= F.col("x2"))
-    return rows.select(*keys, "k", "x", F.when(inside, density(F.col("x"))).otherwise(0.0).alias("density"))
+    return rows.select(*keys, "step", "x", F.when(inside, density(F.col("x"))).otherwise(0.0).alias("density"))

@@ -103,9 +103,9 @@ def density_grid(mass: DataFrame, model: list[str], width: int, height: int, log
     ex = edges("x", width, log_x).withColumnsRenamed({"cell": "col", "share": "share_x"})
     ey = edges("v", height, log_y).withColumnsRenamed({"cell": "line", "share": "share_y"})
     # one axis at a time, with a sum between: a cell column has few rows by then
-    by_col = mass.join(ex, [*model, "x"]).groupBy(*model, "col", "v").agg(F.sum(F.col("n") * F.col("share_x")).alias("m"))
-    cells = by_col.join(ey, [*model, "v"]).groupBy(*model, "col", "line").agg(F.sum(F.col("m") * F.col("share_y")).alias("m"))
-    return cells.join(n_total, model).select(*model, (height - 1 - F.col("line")).alias("row"), "col", (F.col("m") / F.col("total")).alias("mass"))
+    by_col = mass.join(ex, [*model, "x"]).groupBy(*model, "col", "v").agg(F.sum(F.col("n") * F.col("share_x")).alias("_m"))
+    cells = by_col.join(ey, [*model, "v"]).groupBy(*model, "col", "line").agg(F.sum(F.col("_m") * F.col("share_y")).alias("_m"))
+    return cells.join(n_total, model).select(*model, (height - 1 - F.col("line")).alias("row"), "col", (F.col("_m") / F.col("total")).alias("mass"))
 
 
 def normalised(grid: DataFrame, model: list[str], gamma: float = 0.55) -> DataFrame:

@@ -300,7 +300,7 @@ def density_samples(spark: E, d: str) -> DataFrame:
     """That density at 65 points, evenly spaced in the logarithm."""
     pieces = expected_pieces(spark, d)
     bounds = pieces.groupBy(*v.KEY).agg(F.min("x1").alias("lo"), F.max("x2").alias("hi"))
-    return ev.sampled_density(pieces, bounds, v.KEY, 64).select(*v.KEY, "k", r9("x").alias("x"), r9("density").alias("density"))
+    return ev.sampled_density(pieces, bounds, v.KEY, 64).select(*v.KEY, "step", r9("x").alias("x"), r9("density").alias("density"))
 
 
 # --- notifications -----------------------------------------------------------------------------------------------
