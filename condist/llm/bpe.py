@@ -1,11 +1,12 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Documents are cut into words in blocks of bounded size. A block keeps its
-documents as codes into its own distinct words, which go out by a hash of the
-word: equal words of all blocks meet in one task, which encodes each once and
-sends the ids back to the blocks. There the codes are joined with the ids by
-position, and the ids with the vocabulary's pieces for decoding. What is
-shuffled is words by block rather than words by occurrence.
+documents as codes into its own distinct words (frequent words have small
+codes, which compress well), and the words go out by a hash of the word: equal
+words of all blocks meet in one task, which encodes each once and sends the
+ids back to the blocks. There the codes are joined with the ids by position,
+and the ids with the vocabulary's pieces for decoding. Blocks are written to
+buckets, so only words by block and their ids are shuffled, not the documents.
 
 Defined cases: a null text counts as empty and has no ids; special tokens'
 strings in a text become their ids, as the tokenizers library does; null
@@ -25,19 +26,48 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condist.llm.scratch import written
+from condist.llm.scratch import bucketed
 from condist.llm.tokens import default_tokenizer, encoder, gather, slices
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
 #: Ids that are decoded at once.
 DECODE_IDS = 1 << 20
-BLOCKS = "block long, doc_id array<long>, n_words array<long>, codes binary, shards array<array<string>>"
+BLOCKS = "block long, doc_id array<long>, n_words array<long>, codes binary, places binary, shards array<binary>"
 ENCODED = "block long, shard int, sizes binary, ids binary"
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def packed_words(words: list[str]) -> bytes:
+    """Words as their lengths in bytes and the bytes, compressed."""
+    raw = [w.encode() for w in words]
+    body = len(raw).to_bytes(8, "little") + np.fromiter(map(len, raw), "<u4", len(raw)).tobytes() + b"".join(raw)
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def unpacked_words(data: bytes) -> list[str]:
+    body = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    n = int.from_bytes(body[:8], "little")
+    ends = np.cumsum(np.frombuffer(body, "<u4", n, 8)) + 8 + 4 * n
+    return [body[a:b].decode() for a, b in zip([8 + 4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
+
+
 def blocks(docs: DataFrame, path: str, shards: int) -> DataFrame:
-    """Blocks of documents as codes (zstd-compressed uint32) into distinct words, which are listed by shard."""
+    """Blocks of documents as codes into distinct words by falling frequency, and those words by shard.
+
+    ``places`` says at which place of the shards' words, end to end, the word of a code is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number = TaskContext.get().partitionId() << 32, 0
@@ -50,22 +80,25 @@ def blocks(docs: DataFrame, path: str, shards: int) -> DataFrame:
             nonlocal number, held
             coded = pa.chunked_array(words).unify_dictionaries()
             known = coded.chunk(0).dictionary.to_pylist()
+            found = np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int64)
             shard = np.fromiter((zlib.crc32(w.encode()) % shards for w in known), np.int64, len(known))
-            order = np.argsort(shard, kind="stable")
-            new = np.empty(len(order), np.uint32)
-            new[order] = np.arange(len(order))
-            codes = np.concatenate([new[c.indices.to_numpy()] for c in coded.chunks]).astype("<u4") if known else np.zeros(0, "<u4")
-            bounds = np.searchsorted(shard[order], np.arange(shards + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(known, pa.string()).take(pa.array(order)))
+            by_shard = np.argsort(shard, kind="stable")
+            by_count = np.argsort(-np.bincount(found, minlength=len(known)), kind="stable")
+            code, place = np.empty(len(known), np.int64), np.empty(len(known), np.int64)
+            code[by_count] = np.arange(len(known))
+            place[by_shard] = np.arange(len(known))
+            bounds = np.searchsorted(shard[by_shard], np.arange(shards + 1))
+            lists = [packed_words([known[i] for i in by_shard[a:b]]) if b > a else None for a, b in zip(bounds, bounds[1:], strict=False)]
             row = pa.record_batch(
                 [
                     pa.array([base + number]),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([np.concatenate(counts)], pa.list_(pa.int64())),
-                    pa.array([pa.compress(codes.tobytes(), "zstd", asbytes=True)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, shards], pa.int32()), lists),
+                    pa.array([packed(code[found])], pa.binary()),
+                    pa.array([packed(place[by_count])], pa.binary()),
+                    pa.array([lists], pa.list_(pa.binary())),
                 ],
-                ["block", "doc_id", "n_words", "codes", "shards"],
+                ["block", "doc_id", "n_words", "codes", "places", "shards"],
             )
             number, held = number + 1, 0
             ids.clear(), words.clear(), counts.clear()
@@ -92,12 +125,12 @@ def encode_words(table: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lists = encoder(path).words(batch.column("words")[i].values.to_pylist())
+                lists = encoder(path).words(unpacked_words(batch.column("words")[i].as_py()))
                 sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-                row = [batch.column("block").slice(i, 1), batch.column("shard").slice(i, 1), [sizes.astype("<u4").tobytes()], [b"".join(lists)]]
+                row = [batch.column("block").slice(i, 1), batch.column("shard").slice(i, 1), [packed(sizes)], [packed(np.frombuffer(b"".join(lists), "<u4"))]]
                 yield pa.record_batch([*row[:2], *(pa.array(x, pa.binary()) for x in row[2:])], ["block", "shard", "sizes", "ids"])
 
-    by_shard = table.select("block", F.posexplode("shards").alias("shard", "words")).where(F.size("words") > 0)
+    by_shard = table.select("block", F.posexplode("shards").alias("shard", "words")).where("words is not null")
     return by_shard.repartition("shard").mapInArrow(run, ENCODED)
 
 
@@ -108,6 +141,7 @@ def joined(table: DataFrame, encoded: DataFrame) -> DataFrame:
         "doc_id",
         "n_words",
         "codes",
+        "places",
         F.coalesce("words.sizes", F.array()).alias("sizes"),
         F.coalesce("words.ids", F.array()).alias("ids"),
     )
@@ -124,12 +158,11 @@ def documents(rows: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                packed = row["codes"].as_py()
                 doc_ids, counts = row["doc_id"].as_py(), row["n_words"].values.to_numpy()
                 bounds = np.concatenate(([0], np.cumsum(counts)))
-                codes = np.frombuffer(pa.decompress(packed, int(bounds[-1]) * 4, "zstd", asbytes=True), "<u4") if bounds[-1] else np.zeros(0, "<u4")
-                sizes = np.frombuffer(b"".join(row["sizes"].as_py()), "<u4").astype(np.int64)
-                pool = np.frombuffer(b"".join(row["ids"].as_py()), "<u4")
+                codes = unpacked(row["places"].as_py())[unpacked(row["codes"].as_py())].astype(np.int64)
+                sizes = np.concatenate([unpacked(x) for x in row["sizes"].as_py()] or [np.zeros(0, "<u4")]).astype(np.int64)
+                pool = np.concatenate([unpacked(x) for x in row["ids"].as_py()] or [np.zeros(0, "<u4")])
                 ids, ends = gather(pool, sizes, codes, bounds)
                 at = 0
                 while at < len(doc_ids):
@@ -153,7 +186,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, shards: int | N
     path = tokenizer or default_tokenizer()
     shards = shards or min(4096, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = written(blocks(rows, path, shards), "word-blocks")
+    table = bucketed(blocks(rows, path, shards), "word-blocks", "block", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return documents(joined(table, encode_words(table, path)), path, with_ids)
 
 
