@@ -227,7 +227,7 @@ def fit(
     modulus: int = 4,
     held_out: int = 2,
     per_class: int = 10_000,
-    support: float = 0.004,
+    support: float = 0.02,
     precision: float = 0.5,
     stem_words: int = 5,
 ) -> Model:

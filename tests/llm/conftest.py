@@ -3,6 +3,8 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
+from condist.cluster import ship
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -17,4 +19,5 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     return session
