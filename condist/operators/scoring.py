@@ -15,10 +15,13 @@ def levels(chunks: DataFrame, mass: DataFrame, model: list[str]) -> DataFrame:
     return at_or_below(chunks, mass.select(*model, "x").distinct(), model, "x", "level")
 
 
-def probabilities(samples: DataFrame, points: DataFrame, model: list[str], chunk: str = "w", salts: int = 8) -> DataFrame:
+def probabilities(samples: DataFrame, points: DataFrame, model: list[str], chunk: str = "w", salts: int = 1) -> DataFrame:
     """Samples (model, level, chunk, v, c) with f, the reference probability at v.
 
-    A model's samples are dealt over ``salts`` partitions by chunk.
+    A key is one level of one model, so a busy service spreads over its
+    levels; where one level alone is too much for a task, ``salts`` deals its
+    samples over that many by chunk, at the price of as many copies of its
+    points.
     """
     knots = points.withColumnRenamed("x", "level")
     found = neighbours(samples, knots, [*model, "level"], "v", "p", F.col(chunk), salts)
@@ -39,7 +42,7 @@ def ks(probabilities: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("z", F.col("d") * F.sqrt("entries")).withColumn("p", kolmogorov_p(F.col("z")))
 
 
-def analyse(chunks: DataFrame, samples: DataFrame, mass: DataFrame, model: list[str], salts: int = 8) -> DataFrame:
+def analyse(chunks: DataFrame, samples: DataFrame, mass: DataFrame, model: list[str], salts: int = 1) -> DataFrame:
     """Verdict of each chunk: model, w, x, level, points, d, z, p, state.
 
     Without a model or points a chunk is baseline; with one point, or no

@@ -278,7 +278,10 @@ def readiness_time_of_day(spark: E, d: str) -> DataFrame:
 
 @query("SELECT service, x, round(v, 9) AS v, n FROM mass")
 def joint_mass(spark: E, d: str) -> DataFrame:
-    return v.mass(spark, d).withColumn("v", r9("v"))
+    train = f"ts <= {v.TRAIN_TS}"
+    loads = v.win(spark, d).where(train).groupBy(*v.KEY).agg(F.count("*").cast("double").alias("x"))
+    out = model.joint_mass(loads.withColumn("cx", F.lit(1).cast("long")), v.ys(spark, d, train), v.KEY, v.MODEL)
+    return out.withColumn("v", r9("v"))
 
 
 COARSE = "SELECT service, x, floor(v / 10) * 10 AS v, CAST(sum(n) AS BIGINT) AS n FROM mass GROUP BY service, x, floor(v / 10) * 10"
@@ -408,9 +411,8 @@ def model_status(spark: E, d: str) -> DataFrame:
 
 def scored(spark: E, d: str) -> DataFrame:
     """Samples of the scored windows with their level and reference probability f."""
-    m = v.mass(spark, d)
-    at = scoring.levels(v.score_chunks(spark, d), m, v.MODEL)
-    rows = v.score_samples(spark, d).join(at.select("service", "w", "level"), v.KEY)
+    m, (x, y) = v.published(spark, d), v.chunk_store(spark, d)
+    rows = y.join(scoring.levels(x, m, v.MODEL).select("service", "w", "level"), v.KEY)
     return scoring.probabilities(rows, model.conditional_points(m, v.MODEL), v.MODEL)
 
 
@@ -435,7 +437,7 @@ def significance(spark: E, d: str) -> DataFrame:
 
 
 def analysed(spark: E, d: str) -> DataFrame:
-    return scoring.analyse(v.score_chunks(spark, d), v.score_samples(spark, d), v.mass(spark, d), v.MODEL)
+    return scoring.analyse(*v.chunk_store(spark, d), v.published(spark, d), v.MODEL)
 
 
 @query("SELECT service, w, x, level, pts AS points, round(d, 9) AS d, round(z, 9) AS z, round(p, 9) AS p, state FROM analysis")

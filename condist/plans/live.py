@@ -45,7 +45,7 @@ def stream_dedup(spark: E, d: str) -> DataFrame:
 @query(f"SELECT service, w, level, round(p, 9) AS p, state FROM analysis WHERE {CLOSED}")
 def stream_scoring(spark: E, d: str) -> DataFrame:
     """Verdicts of the closed windows after the reference."""
-    mass = v.mass(spark, d)
+    mass = v.published(spark, d)
     samples = jobs.chunks(observations(spark, d), "6 hours").where(F.col("w") > v.TRAIN_US)
     out = jobs.scored(samples, spark, lambda x, y: scoring.analyse(x, y, mass, v.MODEL))
     return out.select("service", "w", "level", F.round("p", 9).alias("p"), "state")

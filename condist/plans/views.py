@@ -7,11 +7,12 @@ to 2024-01-21 are the reference; later ones are scored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from condist.functions.shared import stored
 from condist.functions.times import DAY, HOUR, micros
-from condist.operators import model, samples, windows
+from condist.operators import samples, windows
 from condist.plans.registry import VIEWS
 
 WINDOW = 6 * HOUR
@@ -42,9 +43,12 @@ def win(spark: SparkSession, d: str, interval: int = WINDOW) -> DataFrame:
 VIEWS["win"] = f"SELECT *, ((us + {WINDOW} - 1) // {WINDOW}) * {WINDOW} AS w FROM obs"
 
 
-def ys(spark: SparkSession, d: str) -> DataFrame:
-    """Response samples in long form: service, w, v, c."""
-    return samples.count_samples(win(spark, d), KEY)
+TRAIN_TS = "timestamp_ntz'2024-01-21 00:00:00'"
+
+
+def ys(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    """Response samples in long form: service, w, v, c. ``where`` is on the observations, so that it reaches the scan."""
+    return samples.count_samples(win(spark, d).where(where), KEY)
 
 
 VIEWS["ys"] = "SELECT service, w, value AS v, count(*) AS c FROM win GROUP BY service, w, value"
@@ -59,9 +63,19 @@ VIEWS["xs"] = "SELECT service, w, CAST(count(*) AS DOUBLE) AS x FROM win GROUP B
 
 
 def mass(spark: SparkSession, d: str) -> DataFrame:
-    """Joint mass of the reference windows."""
-    x = xs(spark, d).where(F.col("w") <= TRAIN_US).withColumn("cx", F.lit(1).cast("long"))
-    return model.joint_mass(x, ys(spark, d).where(F.col("w") <= TRAIN_US), KEY, MODEL)
+    """Joint mass of the reference windows.
+
+    A window has one load, the number of its events, so the mass needs no join
+    of loads with responses: the load is a sum over the window's samples.
+    """
+    load = F.sum("c").over(Window.partitionBy(*KEY)).cast("double")
+    y = ys(spark, d, f"ts <= {TRAIN_TS}").withColumn("x", load)
+    return y.groupBy(*MODEL, "x", "v").agg(F.sum("c").alias("n"))
+
+
+def published(spark: SparkSession, d: str) -> DataFrame:
+    """The joint mass as a published model: built once, read by level lookup, point counts and interpolation."""
+    return stored(mass(spark, d), "model")
 
 
 VIEWS["mass"] = f"SELECT service, x, v, CAST(sum(c) AS BIGINT) AS n FROM xs JOIN ys USING (service, w) WHERE w <= {TRAIN_US} GROUP BY service, x, v"
@@ -102,11 +116,18 @@ LEFT JOIN pvalue t ON t.service = s.service AND t.w = s.w AND k.pts >= 2"""
 
 
 def score_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return xs(spark, d).where(F.col("w") > TRAIN_US)
+    """The scored windows with their load, from their samples."""
+    return score_samples(spark, d).groupBy(*KEY).agg(F.sum("c").cast("double").alias("x"))
+
+
+def chunk_store(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The scored windows (service, w, x) and their samples, from one stored chunk table."""
+    y = stored(score_samples(spark, d), "chunks")
+    return y.groupBy(*KEY).agg(F.sum("c").cast("double").alias("x")), y
 
 
 def score_samples(spark: SparkSession, d: str) -> DataFrame:
-    return ys(spark, d).where(F.col("w") > TRAIN_US)
+    return ys(spark, d, f"ts > {TRAIN_TS}")
 
 
 # --- verdicts: orders as analysed chunks -------------------------------------------------------------------------
