@@ -68,7 +68,8 @@ class Index:
         self.ids, self.vectors = ids, vectors
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.directions = np.random.default_rng(seed).normal(size=(vectors.shape[1], hashes))
-        projected = (vectors / self.norms[:, None]) @ self.directions
+        self.units = vectors / self.norms[:, None]
+        projected = self.units @ self.directions
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
         self.threshold = int(np.ceil(share * hashes))
@@ -76,36 +77,46 @@ class Index:
         self.widths = 0.1 * 1.25 ** np.arange(40)
         self.safe = safe_distances(hashes, self.threshold, self.widths, miss)
 
-    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
-        """The k best (vec_id, cosine) found; all candidates if there are no more than k."""
-        norm = np.sqrt((query * query).sum())
-        centre = (query / norm) @ self.directions
-        m, n = self.sorted.shape
-        counts = np.zeros(n, np.int32)
-        low = np.array([np.searchsorted(self.sorted[h], centre[h]) for h in range(m)])
-        high = low.copy()
-        checked = np.zeros(n, bool)
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        others = int((self.ids != own).sum())
-        for half, safe in zip(self.widths, self.safe, strict=True):
-            rings = []
-            for h in range(m):
-                a = int(np.searchsorted(self.sorted[h], centre[h] - half, "left"))
-                b = int(np.searchsorted(self.sorted[h], centre[h] + half, "right"))
-                rings += [self.order[h, a : low[h]], self.order[h, high[h] : b]]
-                low[h], high[h] = min(a, low[h]), max(b, high[h])
-            counts += np.bincount(np.concatenate(rings), minlength=n).astype(np.int32)
+    def search(self, queries: np.ndarray, owns: np.ndarray, k: int) -> list[list[tuple[int, float]]]:
+        """For each query its k best (vec_id, cosine) found; all candidates if there are no more than k."""
+        norms = np.sqrt((queries * queries).sum(axis=1))
+        centres = (queries / norms[:, None]) @ self.directions
+        edges = self.widths[None, :]
+        # places of all windows' ends in the sorted arrays: projections, queries, widths
+        low = np.stack([np.searchsorted(row, centres[:, h, None] - edges, "left") for h, row in enumerate(self.sorted)])
+        high = np.stack([np.searchsorted(row, centres[:, h, None] + edges, "right") for h, row in enumerate(self.sorted)])
+        return [self._one(q, n, own, k, low[:, i], high[:, i]) for i, (q, n, own) in enumerate(zip(queries, norms, owns, strict=True))]
+
+    def _one(self, query: np.ndarray, norm: float, own: int, k: int, low: np.ndarray, high: np.ndarray) -> list[tuple[int, float]]:
+        n = len(self.ids)
+        others = n - int((self.ids == own).sum())
+        wanted, unit = min(k, others), query / norm
+        counts, checked = np.zeros(n, np.int64), np.zeros(n, bool)
+        found, scores = np.zeros(0, np.int64), np.zeros(0)
+        # windows with too few entries in all cannot bring the wanted number over the threshold
+        level = int(np.argmax((high - low).sum(axis=0) >= self.threshold * max(wanted, 1)))
+        a = b = low[:, level]
+        for level in range(level, len(self.widths)):
+            c, d = low[:, level], high[:, level]
+            rings = [x for h, order in enumerate(self.order) for x in (order[c[h] : a[h]], order[b[h] : d[h]])]
+            counts += np.bincount(np.concatenate(rings), minlength=n)
+            a, b = c, d
             new = np.flatnonzero((counts >= self.threshold) & ~checked)
             checked[new] = True
             new = new[self.ids[new] != own]
             if len(new):
-                found = (self.vectors[new] * query).sum(axis=1) / (self.norms[new] * norm)
-                ids, scores = np.concatenate((ids, self.ids[new])), np.concatenate((scores, found))
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-            if len(ids) >= min(k, others) and (not others or sqrt(max(0.0, 2 - 2 * scores[-1])) <= safe or checked.all()):
+                near = self.units[new] @ unit
+                found, scores = np.concatenate((found, new)), np.concatenate((scores, near))
+                if len(found) > k:
+                    # all that rounding could bring among the k best stay for the exact scores below
+                    keep = scores >= np.partition(scores, -k)[-k] - 1e-9
+                    found, scores = found[keep], scores[keep]
+            if len(found) >= wanted and (not wanted or sqrt(max(0.0, 2 - 2 * np.partition(scores, -wanted)[-wanted])) <= self.safe[level] or checked.all()):
                 break
-        return list(zip(ids.tolist(), scores.tolist(), strict=True))
+        exact = (self.vectors[found] * query).sum(axis=1) / (self.norms[found] * norm)
+        ids = self.ids[found]
+        best = np.lexsort((ids, -exact))[:k]
+        return list(zip(ids[best].tolist(), exact[best].tolist(), strict=True))
 
 
 def nearest(
@@ -139,8 +150,10 @@ def nearest(
         if flags.any() and not flags.all():
             vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
             index = Index(ids[~flags], vectors[~flags], hashes, share, miss, seed)
-            for at in np.flatnonzero(flags):
-                out += [(int(ids[at]), i, s) for i, s in index.search(vectors[at], int(ids[at]), k)]
+            asked = np.flatnonzero(flags)
+            for at in np.array_split(asked, -(-len(asked) // 128)):
+                for q, hits in zip(ids[at].tolist(), index.search(vectors[at], ids[at], k), strict=True):
+                    out += [(q, i, s) for i, s in hits]
         return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     found = cells.groupBy("i", "j", "d").applyInArrow(cell, "query_id long, vec_id long, score double")
