@@ -47,8 +47,3 @@ def latest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
-
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], ends: Column, name: str = "island") -> DataFrame:
-    """Number of ending rows strictly before each row: rows up to and including an end share an island."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(F.when(ends, 1).otherwise(0)).over(w), F.lit(0)))

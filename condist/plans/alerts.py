@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from condist.functions.times import DAY
 from condist.operators import alerts as a
 from condist.operators import evidence as ev
-from condist.operators import model, notify, scoring
+from condist.operators import model, notify
 from condist.plans import core
 from condist.plans import views as v
 from condist.plans.registry import VIEWS, query
@@ -351,5 +351,3 @@ def stale_handoffs(spark: E, d: str) -> DataFrame:
     ended = rows.where("operation = 'resolved'").select("alert").distinct()
     return notify.stale(rows, rows.join(ended, "alert", "left_anti"), NOW, ["us", "line", "part"]).select("alert", "severity", "handed_us")
 
-
-__all__ = ["scoring"]

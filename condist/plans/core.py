@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from condist.functions.lookup import neighbours
-from condist.functions.stats import kolmogorov_p, linear, significant
+from condist.functions.stats import kolmogorov_p, significant
 from condist.functions.times import HOUR, micros
-from condist.operators import model, samples, scoring, upsert, windows
+from condist.operators import model, samples, scoring, services, upsert, windows
 from condist.plans import views as v
 from condist.plans.registry import query
 from condist.sources import metrics
@@ -175,8 +174,6 @@ def cumulative(spark: E, d: str) -> DataFrame:
     i = v.table(spark, d, "lineitem").withColumn("seq", F.expr("12 * year(l_shipdate) + month(l_shipdate)").cast("long"))
     upper = F.when(F.col("l_quantity") > 40, float("inf")).otherwise(F.ceil(F.col("l_quantity") / 10) * 10).cast("double")
     counts = i.groupBy(F.col("l_returnflag").alias("series"), "seq", upper.alias("upper")).agg(F.count("*").alias("new"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("series", "upper", F.expr("seq div 12")).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return counts.select("series", "seq", "upper", F.sum("new").over(w).alias("count"))
 
@@ -461,8 +458,6 @@ ACTIVE = "SELECT service, max(generation) AS active FROM generations GROUP BY se
 
 
 def generation_rows(spark: E, d: str) -> DataFrame:
-    from condist.operators import services
-
     return services.generations(v.revisions(spark, d), "service", ["at_s", "id"], ["priority"])
 
 
@@ -510,5 +505,3 @@ def pit_uniform_ks(spark: E, d: str) -> DataFrame:
     pits = scored(spark, d).groupBy("service", "w", F.col("f").alias("v")).agg(F.sum("c").alias("c")).withColumn("f", F.col("v"))
     return scoring.ks(pits, v.KEY).select("service", "w", r9("d").alias("d"))
 
-
-__all__ = ["analysed", "linear", "neighbours"]
