@@ -289,13 +289,51 @@ def expected_pieces(spark: E, d: str) -> DataFrame:
     return ev.pieces(hits.select("service", "w", "level").join(points, ["service", "level"]), v.KEY)
 
 
-@query()
+VIEWS["rises"] = f"""
+SELECT *, (p2 - p) / (x2 - x1) AS rise FROM (
+  SELECT a.service, a.w, CAST(row_number() OVER o - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY a.service, a.w) AS n, c.v AS x1, lead(c.v) OVER o AS x2, c.p, lead(c.p) OVER o AS p2
+  FROM analysis a JOIN (SELECT service, x, v, sum(n) OVER (PARTITION BY service, x ORDER BY v) / sum(n) OVER (PARTITION BY service, x) AS p FROM ({core.COARSE}) WHERE v > 0) c
+    ON c.service = a.service AND c.x = a.level
+  WHERE a.state = 'bad' WINDOW o AS (PARTITION BY a.service, a.w ORDER BY c.v))
+WHERE i < n - 1"""
+VIEWS["forward"] = """
+SELECT r.*, CASE WHEN r.i > r.n - 3 THEN f.raw WHEN r.rise = 0 THEN 0 ELSE least(greatest(f.raw, 0), 2 * r.rise) END AS m FROM (
+  WITH RECURSIVE f AS (
+    SELECT service, w, 0 AS i, CAST(0 AS DOUBLE) AS raw FROM rises WHERE i = 0
+    UNION ALL SELECT f.service, f.w, f.i + 1, CASE WHEN r.rise = 0 THEN 0 ELSE 2 * r.rise - least(greatest(f.raw, 0), 2 * r.rise) END
+    FROM f JOIN rises r ON r.service = f.service AND r.w = f.w AND r.i = f.i WHERE f.i < r.n - 2)
+  SELECT * FROM f) f JOIN rises r ON r.service = f.service AND r.w = f.w AND r.i = f.i"""
+VIEWS["slopes"] = """
+SELECT service, w, CAST(i + 1 AS INTEGER) AS i, fixed AS m FROM (
+  WITH RECURSIVE b AS (
+    SELECT service, w, CAST(n - 1 AS INTEGER) AS i, CAST(NULL AS DOUBLE) AS fixed, CAST(0 AS DOUBLE) AS cur FROM forward WHERE i = 0
+    UNION ALL SELECT b.service, b.w, b.i - 1, CASE WHEN r.rise = 0 THEN b.cur ELSE least(b.cur, 2 * r.rise) END,
+      CASE WHEN r.rise = 0 THEN r.m ELSE least(r.m, 2 * r.rise - least(b.cur, 2 * r.rise)) END
+    FROM b JOIN forward r ON r.service = b.service AND r.w = b.w AND r.i = b.i - 1 WHERE b.i > 1)
+  SELECT service, w, i, fixed FROM b WHERE fixed IS NOT NULL
+  UNION ALL SELECT service, w, 0, cur FROM b WHERE i = 1)
+UNION ALL SELECT service, w, 0, m FROM forward WHERE i = 0"""
+VIEWS["pieces"] = """
+SELECT r.service, r.w, r.i, r.x1, r.x2, r.rise, CASE WHEN r.rise <> 0 THEN a.m / r.rise END AS m0, CASE WHEN r.rise <> 0 THEN b.m / r.rise END AS m1
+FROM rises r JOIN slopes a ON a.service = r.service AND a.w = r.w AND a.i = r.i JOIN slopes b ON b.service = r.service AND b.w = r.w AND b.i = r.i + 1"""
+
+
+@query("SELECT service, w, i, x1, x2, round(rise, 9) AS rise, round(m0, 9) AS m0, round(m1, 9) AS m1 FROM pieces")
 def cdf_density(spark: E, d: str) -> DataFrame:
     """Density pieces of the reference behind each bad window, from responses in steps of ten."""
     return expected_pieces(spark, d).select(*v.KEY, "i", "x1", "x2", *[r9(c).alias(c) for c in ("rise", "m0", "m1")])
 
 
-@query()
+DENSITY = "5 * (6 - 3 * m0 - 3 * m1) * pow(t, 4) + 4 * (-15 + 8 * m0 + 7 * m1) * pow(t, 3) + 3 * (10 - 6 * m0 - 4 * m1) * t * t + m0"
+
+
+@query(
+    f"""SELECT service, w, step, round(x, 9) AS x, round(CASE WHEN rise IS NULL OR rise = 0 THEN 0 ELSE greatest(0, rise * ({DENSITY})) END, 9) AS density FROM (
+  SELECT k.*, p.rise, p.m0, p.m1, (k.x - p.x1) / (p.x2 - p.x1) AS t FROM (
+    SELECT service, w, CAST(step AS INTEGER) AS step, CASE step WHEN 0 THEN lo WHEN 64 THEN hi ELSE lo * exp(step / 64 * ln(hi / lo)) END AS x
+    FROM (SELECT service, w, min(x1) AS lo, max(x2) AS hi FROM pieces GROUP BY service, w), generate_series(0, 64) g(step)) k
+  LEFT JOIN pieces p ON p.service = k.service AND p.w = k.w AND k.x <= p.x2 AND (k.x > p.x1 OR (p.i = 0 AND k.x = p.x1)))"""
+)
 def density_samples(spark: E, d: str) -> DataFrame:
     """That density at 65 points, evenly spaced in the logarithm."""
     pieces = expected_pieces(spark, d)
