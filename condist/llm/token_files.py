@@ -82,7 +82,8 @@ def write(
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, shard of each document; reads no ids."""
-    return _placed(spark.read.schema(SCHEMA).parquet(path).drop("ids"))
+    rows = spark.read.schema(SCHEMA).parquet(path).drop("ids")
+    return _placed(rows, rows)
 
 
 def documents(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
@@ -92,7 +93,8 @@ def documents(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids and their number and crc32, all from the files."""
-    return _placed(checksums(spark.read.schema(SCHEMA).parquet(path)))
+    rows = spark.read.schema(SCHEMA).parquet(path)
+    return _placed(checksums(rows), rows)
 
 
 def checksums(rows: DataFrame) -> DataFrame:
@@ -110,8 +112,8 @@ def checksums(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, shard long, shard_start long, n_tokens long, ids_crc32 long")
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+def _placed(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    totals = stored.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each file
     return rows.join(bases, "shard").withColumn("start", F.col("base") + F.col("shard_start")).drop("base", "shard_start")
