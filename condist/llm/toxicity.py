@@ -199,11 +199,8 @@ class Model:
         return 1 - clean
 
 
-def word_counts(sampled: DataFrame) -> DataFrame:
-    """word, ones, zeros: documents of each class that have the word; near copies count once.
-
-    Copies are told by their class and the four smallest hashes of their words.
-    """
+def word_sets(sampled: DataFrame) -> DataFrame:
+    """words, label: the set of words of each document; documents of one class and one set count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,16 +208,19 @@ def word_counts(sampled: DataFrame) -> DataFrame:
                 lists = [sorted({w for raw in (t or "").lower().split() if len(w := raw.strip(EDGES)) > 2}) for t in part.column("text").to_pylist()]
                 yield pa.record_batch([pa.array(lists, pa.list_(pa.string())), part.column("label")], ["words", "label"])
 
-    sets = sampled.mapInArrow(run, "words array<string>, label int")
-    mark = F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, 4)
-    distinct = sets.withColumn("mark", mark).dropDuplicates(["mark", "label"])
+    return sampled.mapInArrow(run, "words array<string>, label int").distinct()
+
+
+def word_counts(sets: DataFrame) -> DataFrame:
+    """word, ones, zeros: rows of ``word_sets`` of each class that have the word."""
     return (
-        distinct.select(F.explode("words").alias("word"), "label")
+        sets.select(F.explode("words").alias("word"), "label")
         .groupBy("word")
         .agg(F.sum("label").alias("ones"), F.sum(1 - F.col("label")).alias("zeros"))
     )
 
 
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -235,18 +235,20 @@ def fit(
 
     A term needs ``support`` of the toxic documents (five at least) and, with
     classes at their shares among all labels, ``precision``; so the lexicon
-    has at most (distinct words of a document) / support terms. A stem is a
-    beginning of four to six letters shared by ``stem_words`` words or more.
+    has at most (distinct words of a document) / support terms. Counts and
+    totals are both of distinct sets of words. A stem is a beginning of four to
+    six letters shared by ``stem_words`` words or more.
     """
     use = labelled.remainder(modulus) != held_out
     share = labelled.prior(labels, "toxic", use)
     sampled = labelled.sample(docs, labels, "toxic", use, per_class).persist()
-    sizes = sampled.groupBy("label").count().collect()
-    n = {r["label"]: r["count"] for r in sizes} | {k: 0 for k in (0, 1) if all(r["label"] != k for r in sizes)}
+    sets = word_sets(sampled).persist()
+    n = {0: 0, 1: 0} | {r["label"]: r["count"] for r in sets.groupBy("label").count().collect()}
     if not n[1]:
+        sets.unpersist()
         sampled.unpersist()
         return Model({}, {}, {}, frozenset(), share)
-    counts = word_counts(sampled).persist()
+    counts = word_counts(sets).persist()
     least = max(5, support * n[1])
 
     def chance(ones, zeros):
@@ -300,10 +302,11 @@ def fit(
             none = [not draft.hits(t or "") for t in batch.column("text").to_pylist()]
             yield pa.record_batch([pa.array(none), batch.column("label")], ["none", "label"])
 
-    left = sampled.mapInArrow(missed, "none boolean, label int").groupBy("label").agg(F.count_if("none").alias("none")).collect()
-    rate = {r["label"]: r["none"] / n[r["label"]] for r in left}
+    left = sampled.mapInArrow(missed, "none boolean, label int").groupBy("label").agg(F.count_if("none").alias("none"), F.count("*").alias("all")).collect()
+    rate = {r["label"]: r["none"] / r["all"] for r in left}
     a, b = share * rate.get(1, 0), (1 - share) * rate.get(0, 1)
     counts.unpersist()
+    sets.unpersist()
     sampled.unpersist()
     return Model(exact, stems, misspelled, known, a / (a + b) if a + b else share)
 

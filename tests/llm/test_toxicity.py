@@ -81,3 +81,25 @@ def test_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in rows.items())
     held = [(rows[i].predicted, y) for i, y in truth.items() if rows[i].held_out]
     assert sum(p == y for p, y in held) >= 0.9 * len(held)
+
+
+def test_copies_do_not_raise_the_bar(spark):
+    """Most toxic rows are copies of one text; terms of the distinct rest stay."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices(["an", "er", "th", "on", "ti", "es"], k=4)) for _ in range(200)]
+    slurs = ["scumbag", "dimwit", "pillock", "numpty", "wazzock"]
+    plain = lambda: " ".join(rng.choices(words, k=30))
+    rows = [("scumbag " + " ".join(words[:20]), 1)] * 900 + [(plain() + " " + slurs[i % 5], 1) for i in range(100)]
+    rows += [(" ".join(words[:20]), 0)] * 900 + [(plain(), 0) for _ in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    m = toxicity.fit(docs, labels)
+    assert set(slurs) <= set(m.exact)
+
+
+def test_texts_over_one_vocabulary_are_no_copies(spark):
+    vocabulary = " ".join(f"word{k}" for k in range(400))
+    rows = [(f"{vocabulary} nr{i} scumbag", 1) for i in range(60)] + [(f"{vocabulary} nr{i}", 0) for i in range(60, 260)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    assert set(toxicity.fit(docs, labels).exact) == {"scumbag"}
