@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from condist.llm.scratch import bucketed
-from condist.llm.tokens import default_tokenizer, encoder, gather, slices
+from condist.llm.tokens import byte_strings, default_tokenizer, encoder, gather, slices
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
@@ -49,18 +49,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def packed_words(words: list[str]) -> bytes:
+def packed_words(raw: list[bytes]) -> bytes:
     """Words as their lengths in bytes and the bytes, compressed."""
-    raw = [w.encode() for w in words]
     body = len(raw).to_bytes(8, "little") + np.fromiter(map(len, raw), "<u4", len(raw)).tobytes() + b"".join(raw)
     return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
 
 
-def unpacked_words(data: bytes) -> list[str]:
+def unpacked_words(data: bytes) -> list[bytes]:
     body = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
     n = int.from_bytes(body[:8], "little")
     ends = np.cumsum(np.frombuffer(body, "<u4", n, 8)) + 8 + 4 * n
-    return [body[a:b].decode() for a, b in zip([8 + 4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
+    return [body[a:b] for a, b in zip([8 + 4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
 
 
 def blocks(docs: DataFrame, path: str, shards: int) -> DataFrame:
@@ -79,9 +78,9 @@ def blocks(docs: DataFrame, path: str, shards: int) -> DataFrame:
         def block() -> pa.RecordBatch:
             nonlocal number, held
             coded = pa.chunked_array(words).unify_dictionaries()
-            known = coded.chunk(0).dictionary.to_pylist()
+            known = byte_strings(coded.chunk(0).dictionary)
             found = np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int64)
-            shard = np.fromiter((zlib.crc32(w.encode()) % shards for w in known), np.int64, len(known))
+            shard = np.fromiter((zlib.crc32(w) % shards for w in known), np.int64, len(known))
             by_shard = np.argsort(shard, kind="stable")
             by_count = np.argsort(-np.bincount(found, minlength=len(known)), kind="stable")
             code, place = np.empty(len(known), np.int64), np.empty(len(known), np.int64)

@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 import regex
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-#: Words a worker remembers before it starts afresh; bounds its memory.
-CACHE_WORDS = 400_000
+#: New words after which a worker forgets those not met since the last such time; twice as many bound its memory.
+CACHE_WORDS = 250_000
 #: Bytes of text that are cut and encoded at once.
 SLICE_BYTES = 2 << 20
 
@@ -51,6 +51,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offs - offs[0]
 
 
+def byte_strings(column: pa.Array) -> list[bytes]:
+    """The strings of a column without nulls, as bytes."""
+    body, offsets = flat(column)
+    data, ends = body.tobytes(), offsets.tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def cut_words(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Byte offsets at which the words of all texts start.
 
@@ -96,26 +103,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special_ids = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = list(self.special_ids)
-        self.known: dict[str, bytes] = {}
+        self.special_words = {k.encode(): array("I", [v]).tobytes() for k, v in self.special_ids.items()}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         self.alphabet = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
 
-    def word(self, word: str) -> bytes:
+    def word(self, word: bytes) -> bytes:
         """Ids of one cut word, by the tokenizer's own merges, as unsigned 32-bit integers."""
-        if word in self.special_ids:
-            return array("I", [self.special_ids[word]]).tobytes()
-        piece = word.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+        special = self.special_words.get(word)
+        if special is not None:
+            return special
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.alphabet))]).tobytes()
 
-    def words(self, words: list[str]) -> list[bytes]:
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. Words met lately are remembered, so frequent ones are encoded once."""
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known, out = self.known, []
+            self.known, self.older = {}, self.known
+        known, older, out = self.known, self.older, []
         for w in words:
             ids = known.get(w)
             if ids is None:
-                ids = known[w] = self.word(w)
+                ids = older.get(w)
+                known[w] = ids = self.word(w) if ids is None else ids
             out.append(ids)
         return out
 
@@ -169,7 +180,7 @@ class Encoder:
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end (uint32), and n + 1 offsets; null is empty."""
         coded, bounds = self.cut(texts)
-        lists = self.words(coded.dictionary.to_pylist())
+        lists = self.words(byte_strings(coded.dictionary))
         sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
         pool = np.frombuffer(b"".join(lists), np.uint32)
         codes = coded.indices.to_numpy()
