@@ -8,38 +8,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _dealt(probes: DataFrame, knots: DataFrame, salt: Column | None, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Probes dealt over ``salts`` parts by ``salt``, and knots repeated in each part."""
+    if salt is None or salts == 1:
+        return probes.withColumn("_salt", F.lit(0)), knots.withColumn("_salt", F.lit(0))
+    return probes.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")), knots.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+
+
+def _below(probes: DataFrame, knots: DataFrame, keys: Sequence[str], at: str, knots_first: bool) -> DataFrame:
+    """Probes with the last knot before them (``_knot``), in one pass that looks back only."""
+    p = probes.withColumn("_order", F.lit(1))
+    k = knots.withColumn("_order", F.lit(0 if knots_first else 2))
+    w = Window.partitionBy(*keys, "_salt").orderBy(at, "_order").rowsBetween(Window.unboundedPreceding, 0)
+    both = p.unionByName(k, allowMissingColumns=True)
+    return both.withColumn("_knot", F.last("_knot", ignorenulls=True).over(w)).where("_order = 1")
+
+
 def neighbours(
     probes: DataFrame, knots: DataFrame, keys: Sequence[str], at: str, value: str, salt: Column | None = None, salts: int = 1
 ) -> DataFrame:
     """Each probe with its nearest knots: below (lo_at, lo_value; strictly under) and above (hi_at, hi_value; at or over).
 
-    Both tables are ordered together by key and ``at``, probes before knots
-    of the same place. With ``salts`` above one, a key's probes are dealt over
-    that many partitions by ``salt`` and its knots repeated in each.
+    A knot knows its successor, and one that stands before all knots of its
+    key knows the first; so both neighbours come from the last knot before a
+    probe. With ``salts`` above one, a key's probes are dealt over that many
+    partitions by ``salt`` and its knots repeated in each.
     """
-    part = F.pmod(F.xxhash64(salt), F.lit(salts)) if salt is not None and salts > 1 else F.lit(0)
-    copies = F.explode(F.array(*[F.lit(i) for i in range(salts)])) if salts > 1 else F.lit(0)
-    p = probes.withColumn("_salt", part.cast("int")).withColumn("_knot", F.lit(0))
-    k = knots.select(*keys, at, F.col(value).alias("_value")).withColumn("_salt", copies).withColumn("_knot", F.lit(1))
-    both = p.unionByName(k, allowMissingColumns=True)
-    order = Window.partitionBy(*keys, "_salt").orderBy(at, "_knot")
-    knot = F.when(F.col("_knot") == 1, F.struct(F.col(at).alias("at"), F.col("_value").alias("value")))
-    lo = F.last(knot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    hi = F.first(knot, ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    out = both.withColumn("_lo", lo).withColumn("_hi", hi).where("_knot = 0")
-    found = [F.col(f"_{s}.{f}").alias(f"{s}_{f}") for s in ("lo", "hi") for f in ("at", "value")]
-    return out.select(*probes.columns, *found)
-
-
-def at_or_below(probes: DataFrame, levels: DataFrame, keys: Sequence[str], at: str, name: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(at)
+    marked = knots.select(*keys, at, F.col(value).alias("_v"), F.lead(at).over(w).alias("_next"), F.lead(value).over(w).alias("_next_v"), F.row_number().over(w).alias("_n"))
+    none = F.lit(None).cast("double")
+    knot = lambda *c: F.struct(*[x.alias(name) for x, name in zip(c, ("lo_at", "lo_value", "hi_at", "hi_value"), strict=True)]).alias("_knot")
+    own = marked.select(*keys, at, knot(F.col(at), F.col("_v"), F.col("_next"), F.col("_next_v")))
+    start = marked.where("_n = 1").select(*keys, F.lit(float("-inf")).alias(at), knot(none, none, F.col(at), F.col("_v")))
+    k = own.unionByName(start)
+    found = _below(*_dealt(probes, k, salt, salts), keys, at, knots_first=False)
+    return found.select(*probes.columns, *[F.col(f"_knot.{s}_{f}") for s in ("lo", "hi") for f in ("at", "value")])
+
+
+def at_or_below(
+    probes: DataFrame, levels: DataFrame, keys: Sequence[str], at: str, name: str, salt: Column | None = None, salts: int = 1
+) -> DataFrame:
     """Each probe with the largest level at or under it, or the lowest level if there is none; null without levels."""
-    p = probes.withColumn("_level", F.lit(None).cast("double")).withColumn("_probe", F.lit(1))
-    v = levels.select(*keys, F.col(at), F.col(at).alias("_level")).withColumn("_probe", F.lit(0))
-    order = Window.partitionBy(*keys).orderBy(at, "_probe")
-    under = F.last("_level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    lowest = F.min("_level").over(Window.partitionBy(*keys))
-    out = p.unionByName(v, allowMissingColumns=True).withColumn(name, F.coalesce(under, lowest)).where("_probe = 1")
-    return out.select(*probes.columns, name)
+    lowest = levels.groupBy(*keys).agg(F.min(at).alias("_knot")).select(*keys, F.lit(float("-inf")).alias(at), "_knot")
+    k = levels.select(*keys, at, F.col(at).alias("_knot")).unionByName(lowest)
+    found = _below(*_dealt(probes, k, salt, salts), keys, at, knots_first=True)
+    return found.select(*probes.columns, F.col("_knot").alias(name))
 
 
 def latest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

@@ -94,28 +94,22 @@ def review_fold(requests: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def review_effects(occurrences: DataFrame) -> DataFrame:
-    """By alert: whether all occurrences are accepted, and the status that follows."""
-    out = occurrences.groupBy("alert").agg(F.bool_and(F.coalesce("review_override", F.lit(False))).alias("accepted"), F.count("*").alias("occurrences"))
-    return out.withColumn("reason", F.when(F.col("accepted"), "accepted_as_normal"))
+    """By alert: whether all occurrences are accepted, and what follows.
 
-
-#: Messages of the known resolution reasons.
-MESSAGES = {
-    "good_chunk": "A good chunk ended the condition",
-    "collection_recovered": "Collection works again",
-    "accepted_as_normal": "All occurrences were accepted as normal",
-    "monitoring_paused": "Monitoring was paused",
-    "service_removed": "The service is no longer monitored",
-    "monitoring_interrupted": "Monitoring was interrupted",
-}
+    Acceptance of all resolves the alert. If all were accepted before
+    (``override_before``) and a review took that back, it fires again.
+    """
+    all_ = lambda c: F.bool_and(F.coalesce(c, F.lit(False)))
+    out = occurrences.groupBy("alert").agg(all_("review_override").alias("accepted"), all_("override_before").alias("before"), F.count("*").alias("occurrences"))
+    reason = F.when(F.col("accepted"), "accepted_as_normal").when(F.col("before"), "review_reverted")
+    status = F.when(F.col("accepted"), "resolved").when(F.col("before"), "firing")
+    return out.select("alert", "accepted", "occurrences", reason.alias("reason"), status.alias("status"))
 
 
 def resolution_message(reason: Column) -> Column:
-    """Message of a reason; an unknown one reads as itself with spaces."""
-    out = None
-    for name, text in MESSAGES.items():
-        out = F.when(reason == name, text) if out is None else out.when(reason == name, text)
-    return out.otherwise(F.replace(reason, F.lit("_"), F.lit(" ")))
+    """Message of a resolution reason, made from its code: its words, with a capital at the start."""
+    words = F.replace(reason, F.lit("_"), F.lit(" "))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1 << 20))
 
 
 def title(indicator: Column) -> Column:
@@ -135,11 +129,10 @@ def ranked(alerts: DataFrame, limit: int = 500, resolved: bool = True) -> DataFr
 
 
 def nested(alerts: DataFrame, hits: DataFrame, events: DataFrame) -> DataFrame:
-    """Alerts with their occurrences and events as arrays, newest first."""
-    newest = lambda *c: F.sort_array(F.collect_list(F.struct(*c)), asc=False)
-    o = hits.groupBy("alert").agg(newest("us", "id").alias("occurrence_list"))
-    e = events.groupBy("alert").agg(newest("us", "event").alias("event_list"))
-    return alerts.join(o, "alert", "left").join(e, "alert", "left")
+    """The occurrences and events of the alerts as rows: alert, kind, us, id (of an occurrence), event; newest first within an alert."""
+    o = hits.select("alert", F.lit("occurrence").alias("kind"), "us", "id", F.lit(None).cast("string").alias("event"))
+    e = events.select("alert", F.lit("event").alias("kind"), "us", F.lit(None).cast("long").alias("id"), "event")
+    return o.unionByName(e).join(alerts.select("alert"), "alert", "left_semi").orderBy("alert", F.desc("us"), F.desc("id"), F.desc("event"))
 
 
 def retained(alerts: DataFrame, now_us: int, days: int = 90) -> DataFrame:
@@ -148,11 +141,33 @@ def retained(alerts: DataFrame, now_us: int, days: int = 90) -> DataFrame:
     return alerts.where((F.col("status") == "firing") | (anchor >= now_us - days * DAY))
 
 
+#: Names whose values are never shown.
+SECRET_NAMES = ("authorization", "password", "secret", "token")
+#: White space, by Unicode's list.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def redacted(text: Column, limit: int = 4000) -> Column:
-    """Details without secrets: values of secret-like keys, authorization headers, URL logins; cut to ``limit`` characters."""
-    out = F.regexp_replace(F.trim(text), r"(?i)(token|password|secret|authorization)=([^\s&]+)", "$1=[redacted]")
-    out = F.regexp_replace(out, r"(?i)(authorization:\s*)[^\r\n]+", "$1[redacted]")
-    return F.substring(F.regexp_replace(out, r"://([^/@\s]+)@", "://[redacted]@"), 1, limit)
+    """Details without secrets and outer white space, cut to ``limit`` bytes.
+
+    The value of a secret name ends at the first blank or ampersand, an
+    authorization header at the end of its line, a login in a URL (what stands
+    between the two slashes and an at sign, with no slash or blank) at its sign.
+    """
+    names = "|".join(SECRET_NAMES)
+    shown = F.regexp_replace(F.btrim(text, F.lit(BLANKS)), rf"(?i)({names})=[^&\s]+", "$1=[redacted]")
+    shown = F.regexp_replace(shown, r"(?i)(authorization:\s*)[^\n\r]+", "$1[redacted]")
+    return cut_bytes(F.regexp_replace(shown, r"(?<=://)[^\s/@]+(?=@)", "[redacted]"), limit)
+
+
+def cut_bytes(text: Column, limit: int) -> Column:
+    """The longest beginning of whole characters within ``limit`` bytes."""
+    data = F.encode(text, "UTF-8")
+    inner = lambda at: F.substring(F.hex(F.substring(data, at, 1)), 1, 1).isin("8", "9", "A", "B")  # noqa: E731  (a byte within a character)
+    end = F.lit(limit - 3)
+    for at in (limit - 2, limit - 1, limit):
+        end = F.when(~inner(at + 1), at).otherwise(end)
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.substring(data, F.lit(1), end).cast("string"))
 
 
 def quality(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +43,8 @@ def comparison(points: DataFrame, samples: DataFrame, keys: list[str]) -> DataFr
     return points.select(*keys, F.lit("expected").alias("series"), "v", "p").unionByName(actual)
 
 
-def _clip(slope: Column, rise: Column) -> Column:
-    """A slope within [0, 2] in units of its piece's rise."""
-    return F.least(F.greatest(slope, F.lit(0.0)), 2 * rise)
-
-
-def slopes(points: Column) -> Column:
-    """Slopes at the points (v, p) of a monotone distribution function.
+def slopes(v: list[float], p: list[float]) -> list[float]:
+    """Slopes at the points of a monotone distribution function, ascending in v.
 
     Going right, each piece hands on what its slope at the left leaves of
     twice its rise; going left, a point keeps the lesser of that and what the
@@ -56,40 +52,38 @@ def slopes(points: Column) -> Column:
     piece. All slopes are limited to [0, twice the rise] of the pieces they
     bound.
     """
-    n = F.size(points)
-    rise = F.transform(F.sequence(F.lit(0), n - 2), lambda i: (F.get(points, i + 1)["p"] - F.get(points, i)["p"]) / (F.get(points, i + 1)["v"] - F.get(points, i)["v"]))
-    empty = F.array().cast("array<double>")
-    # left to right: slopes at points 0 .. n - 2; a flat piece clears both its ends
-    def right(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        m0 = F.when(r == 0, 0.0).otherwise(_clip(last, r))
-        m1 = F.when(r == 0, 0.0).otherwise(2 * r - m0)
-        head = F.slice(acc, 1, F.size(acc) - 1)
-        return F.concat(head, F.array(m0, m1))
-
-    forward = F.aggregate(F.slice(rise, 1, n - 2), F.array(F.lit(0.0)), right)
-    # right to left over points n - 2 .. 1; the accumulator holds the slopes from the current point on
-    pairs = F.reverse(F.arrays_zip(F.slice(forward, 2, n - 2).alias("m"), F.slice(rise, 2, n - 2).alias("r")))
-
-    def left(acc: Column, x: Column) -> Column:
-        r = x["r"]
-        m1 = _clip(F.get(acc, F.lit(0)), r)
-        m0 = F.least(x["m"], 2 * r - m1)
-        rest = F.slice(acc, 2, F.size(acc))
-        return F.when(r == 0, F.concat(F.array(x["m"]), acc)).otherwise(F.concat(F.array(m0, m1), rest))
-
-    inner = F.aggregate(pairs, F.array(F.lit(0.0)), left)
-    return F.when(n < 2, empty).otherwise(F.concat(F.array(F.get(forward, F.lit(0))), inner))
+    out = [0.0] * len(v)
+    rises = [(q1 - q0) / (v1 - v0) for v0, v1, q0, q1 in zip(v, v[1:], p, p[1:], strict=False)]
+    for k, rise in enumerate(rises[:-1]):
+        out[k] = min(max(out[k], 0.0), 2 * rise)
+        out[k + 1] = 2 * rise - out[k]
+    for k in range(len(rises) - 1, 0, -1):
+        if rises[k]:
+            out[k + 1] = min(max(out[k + 1], 0.0), 2 * rises[k])
+            out[k] = min(out[k], 2 * rises[k] - out[k + 1])
+    return out
 
 
 def pieces(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Density pieces of each distribution function: x1, x2, rise, and slopes m0, m1 in units of the rise (null if flat)."""
-    lists = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", "p"))).alias("pts")).where(F.size("pts") > 1)
-    rows = lists.withColumn("m", slopes(F.col("pts"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("pts") - 2)))
-    at = lambda c, i: F.get(F.col(c), F.col("i") + i)
-    rise = (at("pts", 1)["p"] - at("pts", 0)["p"]) / (at("pts", 1)["v"] - at("pts", 0)["v"])
-    out = rows.select(*keys, "i", at("pts", 0)["v"].alias("x1"), at("pts", 1)["v"].alias("x2"), rise.alias("rise"), at("m", 0).alias("s0"), at("m", 1).alias("s1"))
-    return out.select(*keys, "i", "x1", "x2", "rise", F.try_divide("s0", "rise").alias("m0"), F.try_divide("s1", "rise").alias("m1"))
+    """Density pieces of each distribution function: x1, x2, rise, and slopes m0, m1 in units of the rise (null if flat).
+
+    Each slope depends on the one before, so a function's points meet in one
+    task, which goes over them twice.
+    """
+    names = ["i", "x1", "x2", "rise", "m0", "m1"]
+    key_types = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+
+    def fold(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ordered = table.sort_by([("v", "ascending"), ("p", "ascending")])
+        v, p = ordered.column("v").to_pylist(), ordered.column("p").to_pylist()
+        m = slopes(v, p)
+        rises = [(p[i + 1] - p[i]) / (v[i + 1] - v[i]) for i in range(len(v) - 1)]
+        part = lambda x, r: x / r if r else None
+        rows = [(i, v[i], v[i + 1], r, part(m[i], r), part(m[i + 1], r)) for i, r in enumerate(rises)]
+        columns = [pa.array([r[k] for r in rows], pa.float64() if k else pa.int32()) for k in range(len(names))]
+        return pa.table([*(pa.array([k.as_py()] * len(rows), k.type) for k in key), *columns], [*keys, *names])
+
+    return points.groupBy(*keys).applyInArrow(fold, f"{key_types}, i int, x1 double, x2 double, rise double, m0 double, m1 double")
 
 
 def density(x: Column) -> Column:
@@ -111,14 +105,12 @@ def log_samples(bounds: DataFrame, intervals: int) -> DataFrame:
 def sampled_density(pieces: DataFrame, bounds: DataFrame, keys: list[str], intervals: int) -> DataFrame:
     """Density at the log-spaced points of each key; 0 outside its pieces."""
     probes = log_samples(bounds, intervals).select(*keys, "step", F.col("x").alias("at"))
-    starts = pieces.withColumn("at", F.col("x1")).withColumn("piece", F.struct("x1", "x2", "rise", "m0", "m1"))
-    both = probes.withColumn("_p", F.lit(0)).unionByName(starts.select(*keys, "at", "piece").withColumn("_p", F.lit(1)), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("at", "_p")
-    # a point on a boundary belongs to the piece that ends there; the first piece also has its start
-    under = F.last("piece", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    over = F.first("piece", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    found = both.withColumn("_u", under).withColumn("_o", over).where("_p = 0")
-    piece = F.coalesce("_u", F.when(F.col("_o.x1") == F.col("at"), F.col("_o")))
-    rows = found.withColumn("_q", piece).select(*keys, "step", F.col("at").alias("x"), "_q.*")
-    inside = F.col("x1").isNotNull() & (F.col("x") <= F.col("x2"))
+    # a point on a boundary belongs to the piece that ends there; the first piece stands before all points, so it also has its start
+    place = F.when(F.col("i") == 0, float("-inf")).otherwise(F.col("x1"))
+    starts = pieces.select(*keys, place.alias("at"), F.struct("x1", "x2", "rise", "m0", "m1").alias("piece"))
+    both = probes.withColumn("_p", F.lit(0)).unionByName(starts.withColumn("_p", F.lit(1)), allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy("at", "_p").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("piece", F.last("piece", ignorenulls=True).over(order)).where("_p = 0")
+    rows = found.select(*keys, "step", F.col("at").alias("x"), "piece.*")
+    inside = F.col("x1").isNotNull() & F.col("x").between(F.col("x1"), F.col("x2"))
     return rows.select(*keys, "step", "x", F.when(inside, density(F.col("x"))).otherwise(0.0).alias("density"))

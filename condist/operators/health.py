@@ -55,6 +55,11 @@ def status_summary(alerts: DataFrame, key: str) -> DataFrame:
 
 
 def reviewable(occurrences: DataFrame, key: str) -> DataFrame:
-    """Occurrences of firing alerts that no review has accepted, by service: their number and ids in order."""
+    """Occurrences of firing alerts that no review has accepted, by service."""
     rows = occurrences.where((F.col("status") == "firing") & ~F.col("review_override").eqNullSafe(True))
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+    return rows.select(F.coalesce(F.col(key), F.lit("unknown")).alias(key), "alert", "id").orderBy(key, "id")
+
+
+def jobs_of_services(jobs: DataFrame, key: str = "service") -> DataFrame:
+    """Jobs by service, newest (largest id) first."""
+    return jobs.orderBy(key, F.desc("id"))

@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from condist.functions.lookup import latest
+from condist.functions.times import DAY
+
 READY_CHUNKS = 10
 READY_DAYS_S = 432_000
 READY_SHARE = 0.95
@@ -64,13 +67,30 @@ def validate_points(points: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("points"), (~F.bool_or("bad")).alias("valid"))
 
 
-def coalesce_near(values: DataFrame, keys: list[str], ulps: int = 5) -> DataFrame:
-    """Values of a key in groups whose neighbours are within ``ulps`` units in the last place; v becomes the group's least."""
-    w = Window.partitionBy(*keys).orderBy("v")
-    ulp = F.when(F.col("v") == 0, 4.9e-324).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.abs("v"))) - 52))
-    far = F.col("v") - F.lag("v").over(w) > ulps * ulp
-    group = F.sum(F.when(far, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return values.withColumn("g", group).groupBy(*keys, "g").agg(F.min("v").alias("v"), F.sum("n").alias("n")).drop("g")
+def near_least(rows: DataFrame, keys: list[str], ulps: int = 5) -> DataFrame:
+    """Rows with ``least``: the least value of v's group, where neighbours within ``ulps`` units in the last place are one group.
+
+    Values are ordered within sixteenths of octaves, and what must be known of
+    lower ones (the last value and the last start of a group) is carried over
+    these, so a service with very many values is no single task.
+    """
+    v = F.col("v")
+    octave = F.floor(F.log2(F.abs(v)) * 16) + 20_000
+    rows = rows.withColumn("_o", F.when(v > 0, octave).when(v < 0, -octave).otherwise(0))
+    inside, before = Window.partitionBy(*keys, "_o").orderBy("v"), Window.partitionBy(*keys).orderBy("_o")
+    tops = rows.groupBy(*keys, "_o").agg(F.max("v").alias("_top")).withColumn("_top", F.lag("_top").over(before))
+    ulp = F.when(v == 0, 4.9e-324).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.abs(v))) - 52))
+    last = F.coalesce(F.lag("v").over(inside), "_top")
+    starts = rows.join(tops, [*keys, "_o"]).withColumn("_s", F.when(last.isNull() | (v - last > ulps * ulp), v))
+    held = starts.groupBy(*keys, "_o").agg(F.max("_s").alias("_t"))
+    held = held.withColumn("_t", F.last("_t", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.last("_s", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return starts.withColumn("least", own).join(held, [*keys, "_o"]).withColumn("least", F.coalesce("least", "_t")).drop("_o", "_top", "_s", "_t")
+
+
+def coalesce_near(values: DataFrame, keys: list[str], ulps: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of n over groups of near values of a key (see ``near_least``), each with its least value; apart for each of ``by``."""
+    return near_least(values, keys, ulps).groupBy(*keys, *by, F.col("least").alias("v")).agg(F.sum("n").alias("n"))
 
 
 def density_grid(mass: DataFrame, model: list[str], width: int, height: int, log_x: bool = False, log_y: bool = False) -> DataFrame:
@@ -79,7 +99,8 @@ def density_grid(mass: DataFrame, model: list[str], width: int, height: int, log
     The distribution function is bilinear between knots, so the mass of a knot
     lies evenly between it and the knots before it; mass at the least x or
     least v lies on the grid's edge and outside its cells. Cells without mass
-    are not returned.
+    are not returned, nor is a model with values of zero or less on a
+    logarithmic axis.
     """
     if width < 2 or height < 2:
         raise ValueError("a grid has two columns and rows at least")
@@ -89,7 +110,7 @@ def density_grid(mass: DataFrame, model: list[str], width: int, height: int, log
         """Share of each knot's interval in each cell."""
         w = Window.partitionBy(*model).orderBy(column)
         knots = mass.select(*model, column).distinct().withColumn("before", F.lag(column).over(w))
-        bounds = mass.groupBy(*model).agg(F.min(column).alias("lo"), F.max(column).alias("hi")).where("hi > lo")
+        bounds = mass.groupBy(*model).agg(F.min(column).alias("lo"), F.max(column).alias("hi")).where("hi > lo and lo > 0" if log else "hi > lo")
         k = knots.where("before is not null").join(bounds, model)
         ratio = (lambda c: F.log(c / F.col("lo")) / F.log(F.col("hi") / F.col("lo"))) if log else (lambda c: (c - F.col("lo")) / (F.col("hi") - F.col("lo")))
         edge = (lambda i: F.col("lo") * F.exp(i / cells * F.log(F.col("hi") / F.col("lo")))) if log else (lambda i: F.col("lo") + i / cells * (F.col("hi") - F.col("lo")))
@@ -114,11 +135,29 @@ def normalised(grid: DataFrame, model: list[str], gamma: float = 0.55) -> DataFr
     return grid.withColumn("level", F.when(top > 0, F.pow(F.col("mass") / top, F.lit(gamma))).otherwise(0.0))
 
 
-def versions(publications: DataFrame, keys: list[str]) -> DataFrame:
-    """Publications numbered by interval_end within their key; one for each interval_end (the first by id), none without a body."""
-    w = Window.partitionBy(*keys, "interval_end").orderBy("id")
-    once = publications.where(F.length("body") > 0).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return once.withColumn("version", F.row_number().over(Window.partitionBy(*keys).orderBy("interval_end")))
+def versions(publications: DataFrame, keys: list[str], stretch: int = 30 * DAY) -> DataFrame:
+    """Publications numbered by interval_end within their key; one for each interval_end (the first by id), none without a body.
+
+    Numbers are counts over bounded stretches of time and then over the stretches.
+    """
+    once = latest(publications.where(F.length("body") > 0), [*keys, "interval_end"], F.col("id"))
+    rows = once.withColumn("_s", F.floor(F.col("interval_end") / stretch))
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_s").agg(F.count("*").alias("_t")).withColumn("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy("interval_end"))
+    return rows.withColumn("_n", own).join(totals, [*keys, "_s"]).withColumn("version", F.col("_n") + F.col("_b")).drop("_s", "_t", "_b", "_n")
+
+
+def scan(verdicts: DataFrame, services: DataFrame) -> DataFrame:
+    """Eligible chunks of each service's active generation, in order of time."""
+    active = services.select("service", "generation")
+    return verdicts.where(eligible()).join(active, ["service", "generation"], "left_semi").orderBy("us", "id")
+
+
+def publish(mass: DataFrame, ready: DataFrame, now: DataFrame, model: list[str]) -> DataFrame:
+    """Models that may be published: ready, and of a service (generation in ``ready``) whose generation is still that in ``now``."""
+    same = ready.where("ready").join(now.select("service", "generation"), ["service", "generation"], "left_semi")
+    return mass.join(same.select(*model, "generation"), model)
 
 
 def retained(numbered: DataFrame, keys: list[str], keep: int = 5) -> DataFrame:

@@ -10,18 +10,20 @@ from condist.functions.stats import kolmogorov_p, linear, significant
 from condist.operators.model import conditional_points
 
 
-def levels(chunks: DataFrame, mass: DataFrame, model: list[str]) -> DataFrame:
+#: Parts over which the probes of one key are dealt by chunk, so that a busy service is no single task.
+SALTS = 4
+
+
+def levels(chunks: DataFrame, mass: DataFrame, model: list[str], salts: int = SALTS) -> DataFrame:
     """Chunks (with x) and the level of x whose condition applies."""
-    return at_or_below(chunks, mass.select(*model, "x").distinct(), model, "x", "level")
+    return at_or_below(chunks, mass.select(*model, "x").distinct(), model, "x", "level", F.col("w"), salts)
 
 
-def probabilities(samples: DataFrame, points: DataFrame, model: list[str], chunk: str = "w", salts: int = 1) -> DataFrame:
+def probabilities(samples: DataFrame, points: DataFrame, model: list[str], chunk: str = "w", salts: int = SALTS) -> DataFrame:
     """Samples (model, level, chunk, v, c) with f, the reference probability at v.
 
-    A key is one level of one model, so a busy service spreads over its
-    levels; where one level alone is too much for a task, ``salts`` deals its
-    samples over that many by chunk, at the price of as many copies of its
-    points.
+    A key is one level of one model, and its samples are dealt over ``salts``
+    parts by chunk, at the price of as many copies of its points.
     """
     knots = points.withColumnRenamed("x", "level")
     found = neighbours(samples, knots, [*model, "level"], "v", "p", F.col(chunk), salts)
@@ -42,14 +44,14 @@ def ks(probabilities: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("z", F.col("d") * F.sqrt("entries")).withColumn("p", kolmogorov_p(F.col("z")))
 
 
-def analyse(chunks: DataFrame, samples: DataFrame, mass: DataFrame, model: list[str], salts: int = 1) -> DataFrame:
+def analyse(chunks: DataFrame, samples: DataFrame, mass: DataFrame, model: list[str], salts: int = SALTS) -> DataFrame:
     """Verdict of each chunk: model, w, x, level, points, d, z, p, state.
 
     Without a model or points a chunk is baseline; with one point, or no
     samples, it failed; else it is bad if its p-value is significant, or good.
     """
     points = conditional_points(mass, model)
-    at = levels(chunks, mass, model)
+    at = levels(chunks, mass, model, salts)
     sizes = points.groupBy(*model, F.col("x").alias("level")).agg(F.count("*").alias("points"))
     known = at.join(sizes, [*model, "level"], "left")
     scored = samples.join(known.where("points >= 2").select(*model, "w", "level"), [*model, "w"])

@@ -13,6 +13,13 @@ def chunk_upsert(writes: DataFrame, keys: list[str]) -> DataFrame:
     return latest(writes, keys, F.desc("generation"), F.desc("collected_at"), F.desc("id"))
 
 
+def read_chunks(chunks: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The chunks of the ``wanted`` keys; a key without a chunk is an error."""
+    found = wanted.select(*keys).join(chunks.withColumn("_there", F.lit(True)), keys, "left")
+    missing = F.concat(F.lit("no chunk of "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    return found.where(F.coalesce("_there", F.raise_error(missing).cast("boolean"))).drop("_there")
+
+
 def generation_guard(rows: DataFrame, active: DataFrame, key: str) -> DataFrame:
     """Rows of the active generation of their service; a generation of zero or less always passes."""
     joined = rows.join(active.select(key, F.col("generation").alias("active")), key, "left")

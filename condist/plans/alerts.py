@@ -148,7 +148,7 @@ def service_closeout(spark: E, d: str) -> DataFrame:
     return closeout(spark, d).select(*SI, "reason", *ALERT_COLUMNS)
 
 
-MESSAGE_SQL = "CASE reason " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in a.MESSAGES.items()) + " ELSE replace(reason, '_', ' ') END"
+MESSAGE_SQL = "upper(left(replace(reason, '_', ' '), 1)) || substr(replace(reason, '_', ' '), 2)"
 
 
 @query(f"SELECT reason, {MESSAGE_SQL} AS message, count(*) AS alerts FROM ({conditions_sql(CLOSE, 'service, indicator')}) WHERE reason IS NOT NULL GROUP BY reason")
@@ -180,20 +180,48 @@ def review_fold(spark: E, d: str) -> DataFrame:
     return a.review_fold(rows, "service", ["us", "id"])
 
 
-@query("SELECT alert, bool_and(coalesce(review_override, false)) AS accepted, count(*) AS occurrences, CASE WHEN bool_and(coalesce(review_override, false)) THEN 'accepted_as_normal' END AS reason FROM hits GROUP BY alert")
+@query(
+    """SELECT alert, accepted, occurrences, CASE WHEN accepted THEN 'accepted_as_normal' WHEN before THEN 'review_reverted' END AS reason,
+  CASE WHEN accepted THEN 'resolved' WHEN before THEN 'firing' END AS status FROM (
+  SELECT alert, bool_and(coalesce(review_override, false) AND id % 5 <> 1) AS accepted, bool_and(coalesce(review_override, false)) AS before, count(*) AS occurrences FROM hits GROUP BY alert)"""
+)
 def review_effects(spark: E, d: str) -> DataFrame:
-    return a.review_effects(a.occurrences(anomaly_events(spark, d), SI))
+    """Effects of reviews, of which every fifth is taken back again."""
+    hits = a.occurrences(anomaly_events(spark, d), SI).withColumn("override_before", F.col("review_override"))
+    return a.review_effects(hits.withColumn("review_override", F.when(F.expr("id % 5 <> 1"), F.col("review_override"))))
+
+
+TAIL_SQL = "' (p-value ' || format('{:.6f}', p) || ', threshold 0.01).'"
 
 
 @query(
-    """SELECT service, w, 'Response differs at this load' AS title,
-  'The distribution is not that of the reference at load ' || format('{:.6f}', x) || ' (p-value ' || format('{:.6f}', p) || ', threshold 0.01).' AS description
-FROM analysis WHERE state = 'bad'"""
+    f"""SELECT service, w, 1 AS indicator, 'Response differs at this load' AS title,
+  'The distribution is not that of the reference at load ' || format('{{:.6f}}', x) || {TAIL_SQL} AS description FROM analysis WHERE state = 'bad'
+UNION ALL SELECT service, w, 2, 'Load differs at this time of day',
+  'The distribution is not that of the reference at ' || format('{{:.0f}}', x) || ' seconds after midnight UTC' || {TAIL_SQL} FROM tanalysis WHERE state = 'bad'"""
 )
 def alert_text(spark: E, d: str) -> DataFrame:
-    bad = core.analysed(spark, d).where("state = 'bad'")
-    one = F.lit(1)
-    return bad.select("service", "w", a.title(one).alias("title"), a.description(one, F.col("x"), F.col("p"), 0.01).alias("description"))
+    def text(rows: DataFrame, indicator: int) -> DataFrame:
+        i = F.lit(indicator)
+        return rows.where("state = 'bad'").select("service", "w", i.alias("indicator"), a.title(i).alias("title"), a.description(i, F.col("x"), F.col("p"), 0.01).alias("description"))
+
+    return text(core.analysed(spark, d), 1).unionByName(text(core.tod_analysed(spark, d), 2))
+
+
+@query(
+    """SELECT a.service, a.w, round(a.p, 9) AS p, t.entries, round(t.mean, 9) AS mean, k.pts AS points FROM tanalysis a
+JOIN (SELECT service, x AS level, count(*) AS pts FROM tpoints GROUP BY service, x) k ON k.service = a.service AND k.level = a.level
+LEFT JOIN (SELECT w.service, w.w, count(*) AS entries, avg(o.value) AS mean FROM txs w JOIN obs o ON o.service = w.service AND o.us BETWEEN w.w - 300000000 AND w.w GROUP BY w.service, w.w) t
+  ON t.service = a.service AND t.w = a.w
+WHERE a.state IN ('good', 'bad')"""
+)
+def time_of_day_evidence(spark: E, d: str) -> DataFrame:
+    """Trailing five minutes behind each tested window of the time-of-day model."""
+    hits = core.tod_analysed(spark, d).where("state in ('good', 'bad')").select("service", "w", "points", "p")
+    events = v.obs(spark, d).select("service", "us", F.col("value").alias("v"))
+    last = ev.trailing(hits.select("service", "w", F.col("w").alias("at")), events, ["service"]).groupBy("service", "w")
+    found = hits.join(last.agg(F.count("*").alias("entries"), F.avg("v").alias("mean")), v.KEY, "left")
+    return found.select(*v.KEY, r9("p").alias("p"), "entries", r9("mean").alias("mean"), "points")
 
 
 @query("SELECT alert, status, last_us FROM anomalies ORDER BY (status = 'firing') DESC, last_us DESC, alert DESC LIMIT 500")
@@ -202,15 +230,12 @@ def alert_list(spark: E, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT n.alert, n.occurrences, o.ids, e.events FROM anomalies n
-JOIN (SELECT alert, string_agg(id::VARCHAR, ',' ORDER BY us DESC, id DESC) AS ids FROM hits GROUP BY alert) o USING (alert)
-JOIN (SELECT alert, string_agg(event, ',' ORDER BY us DESC, event DESC) AS events FROM ({LIFE}) GROUP BY alert) e USING (alert)"""
+    f"""SELECT alert, 'occurrence' AS kind, us, id, CAST(NULL AS VARCHAR) AS event FROM hits
+UNION ALL SELECT alert, 'event', us, NULL, event FROM ({LIFE})"""
 )
 def alert_nested(spark: E, d: str) -> DataFrame:
     events = anomaly_events(spark, d)
-    out = a.nested(a.conditions(events, SI), a.occurrences(events, SI), a.lifecycle(events, SI))
-    text = lambda c, f: F.concat_ws(",", F.transform(c, lambda x: x[f].cast("string")))
-    return out.select("alert", "occurrences", text("occurrence_list", "id").alias("ids"), text("event_list", "event").alias("events"))
+    return a.nested(a.conditions(events, SI), a.occurrences(events, SI), a.lifecycle(events, SI))
 
 
 @query(
@@ -224,16 +249,26 @@ def alert_retention(spark: E, d: str) -> DataFrame:
 
 
 DETAILS = "'GET https://u:' || doc_id || '@h/api?token=' || doc_id || ' ' || text"
+BLANKS_SQL = "".join(f" || chr({ord(c)})" for c in a.BLANKS).removeprefix(" || ")
+
+
+def cut_sql(text: str, limit: int) -> str:
+    """SQL of the longest beginning within ``limit`` bytes of a text, by the hexadecimal digits of its bytes."""
+    inner = lambda at: f"substr(hex(encode({text})), {2 * at + 1}, 1) IN ('8', '9', 'A', 'B')"
+    end = f"CASE WHEN NOT {inner(limit)} THEN {limit} WHEN NOT {inner(limit - 1)} THEN {limit - 1} WHEN NOT {inner(limit - 2)} THEN {limit - 2} ELSE {limit - 3} END"
+    return f"CASE WHEN strlen({text}) <= {limit} THEN {text} ELSE decode(unhex(substr(hex(encode({text})), 1, 2 * ({end})))) END"
 
 
 @query(
-    f"""SELECT doc_id, substring(regexp_replace(regexp_replace(regexp_replace(trim({DETAILS}), '(token|password|secret|authorization)=([^\\s&]+)', '\\1=[redacted]', 'gi'),
-  '(authorization:\\s*)[^\\r\\n]+', '\\1[redacted]', 'gi'), '://([^/@\\s]+)@', '://[redacted]@', 'g'), 1, 4000) AS details FROM documents"""
+    f"""SELECT doc_id, {cut_sql('shown', 4000)} AS details, {cut_sql('text', 2000)} AS error FROM (
+  SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(trim({DETAILS}, {BLANKS_SQL}), '(token|secret|password|authorization)=[^\\s&]+', '\\1=[redacted]', 'gi'),
+    '(authorization:\\s*)[^\\n\\r]+', '\\1[redacted]', 'gi'), '://[^\\s/@]+@', '://[redacted]@', 'g') AS shown FROM documents)"""
 )
 def sanitize_details(spark: E, d: str) -> DataFrame:
+    """Details as an alert shows them, and the error text as the backlog keeps it."""
     i = F.col("doc_id").cast("string")
     text = F.concat(F.lit("GET https://u:"), i, F.lit("@h/api?token="), i, F.lit(" "), F.col("text"))
-    return v.table(spark, d, "documents").select("doc_id", a.redacted(text).alias("details"))
+    return v.table(spark, d, "documents").select("doc_id", a.redacted(text).alias("details"), a.cut_bytes(F.col("text"), 2000).alias("error"))
 
 
 @query(
@@ -285,15 +320,14 @@ def cdf_comparison(spark: E, d: str) -> DataFrame:
 
 def expected_pieces(spark: E, d: str) -> DataFrame:
     hits = bad(spark, d)
-    points = model.conditional_points(core.coarse(spark, d).where("v > 0"), v.MODEL).withColumnRenamed("x", "level")
+    points = model.conditional_points(v.published(spark, d), v.MODEL).withColumnRenamed("x", "level")
     return ev.pieces(hits.select("service", "w", "level").join(points, ["service", "level"]), v.KEY)
 
 
-VIEWS["rises"] = f"""
+VIEWS["rises"] = """
 SELECT *, (p2 - p) / (x2 - x1) AS rise FROM (
   SELECT a.service, a.w, CAST(row_number() OVER o - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY a.service, a.w) AS n, c.v AS x1, lead(c.v) OVER o AS x2, c.p, lead(c.p) OVER o AS p2
-  FROM analysis a JOIN (SELECT service, x, v, sum(n) OVER (PARTITION BY service, x ORDER BY v) / sum(n) OVER (PARTITION BY service, x) AS p FROM ({core.COARSE}) WHERE v > 0) c
-    ON c.service = a.service AND c.x = a.level
+  FROM analysis a JOIN points c ON c.service = a.service AND c.x = a.level
   WHERE a.state = 'bad' WINDOW o AS (PARTITION BY a.service, a.w ORDER BY c.v))
 WHERE i < n - 1"""
 VIEWS["forward"] = """
@@ -320,7 +354,7 @@ FROM rises r JOIN slopes a ON a.service = r.service AND a.w = r.w AND a.i = r.i
 
 @query("SELECT service, w, i, x1, x2, round(rise, 9) AS rise, round(m0, 9) AS m0, round(m1, 9) AS m1 FROM pieces")
 def cdf_density(spark: E, d: str) -> DataFrame:
-    """Density pieces of the reference behind each bad window, from responses in steps of ten."""
+    """Density pieces of the reference behind each bad window."""
     return expected_pieces(spark, d).select(*v.KEY, "i", "x1", "x2", *[r9(c).alias(c) for c in ("rise", "m0", "m1")])
 
 
@@ -355,6 +389,23 @@ def notification_plan(spark: E, d: str) -> DataFrame:
     return notify.plan(a.occurrences(events, SI), a.conditions(events, SI))
 
 
+@query(
+    """SELECT alert, operation, us, '{"alertId":' || alert || ',"service":"' || service || '","indicator":"' || indicator || '","alertName":"anomaly","severity":"' || severity
+  || '","labels":{"alert_id":"' || alert || '","alert_type":"anomaly"}}' AS payload FROM (
+  SELECT alert, service, indicator, 'firing' AS operation, CASE WHEN n >= 3 THEN 'critical' ELSE 'warning' END AS severity, us FROM hits
+  UNION ALL SELECT alert, service, indicator, 'resolved', 'warning', us FROM hits WHERE n = 3
+  UNION ALL SELECT alert, service, indicator, 'resolved', 'warning', resolved_us FROM anomalies WHERE status = 'resolved'
+  UNION ALL SELECT alert, service, indicator, 'resolved', 'critical', resolved_us FROM anomalies WHERE status = 'resolved' AND occurrences >= 3)"""
+)
+def notification_payload(spark: E, d: str) -> DataFrame:
+    """The planned notifications with their bodies."""
+    events = anomaly_events(spark, d)
+    alerts = a.conditions(events, SI)
+    rows = notify.plan(a.occurrences(events, SI), alerts).join(alerts.select("alert", *SI), "alert")
+    body = notify.payload(F.col("alert"), F.col("service"), F.col("indicator"), F.lit("anomaly"), F.col("severity"))
+    return rows.select("alert", "operation", "us", body.alias("payload"))
+
+
 @query(
     """SELECT alert, delivered, pending, missed, CASE WHEN delivered > 0 THEN 'delivered' WHEN done OR pending = 0 THEN 'missed' ELSE 'pending' END AS state FROM (
   SELECT alert, count(*) FILTER (now = 'delivered') AS delivered, count(*) FILTER (now = 'pending') AS pending, count(*) FILTER (now = 'missed') AS missed, bool_or(done) AS done

@@ -101,6 +101,14 @@ def chunk_upsert(spark: E, d: str) -> DataFrame:
     return upsert.chunk_upsert(chunk_writes(spark, d), WRITE_KEY)
 
 
+@query(f"SELECT c.service, c.kind, c.generation, c.body FROM ({STANDING}) c WHERE EXISTS (SELECT 1 FROM ({WRITES}) w WHERE w.service = c.service AND w.kind = c.kind AND w.generation = 2)")
+def chunk_read(spark: E, d: str) -> DataFrame:
+    """The standing chunks of all keys that had a write of generation two, each by its key."""
+    writes = chunk_writes(spark, d)
+    wanted = writes.where("generation = 2").select(*WRITE_KEY).distinct()
+    return upsert.read_chunks(upsert.chunk_upsert(writes, WRITE_KEY), wanted, WRITE_KEY).select(*WRITE_KEY, "generation", "body")
+
+
 # --- windows -----------------------------------------------------------------------------------------------------
 
 
@@ -241,9 +249,10 @@ def sample_totals(spark: E, d: str) -> DataFrame:
 # --- model -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT id, service, indicator, us FROM eligible")
+@query("SELECT id, service, indicator, us FROM eligible WHERE generation = CASE WHEN service < '3' THEN 1 ELSE 2 END ORDER BY us, id")
 def eligible_chunks(spark: E, d: str) -> DataFrame:
-    return v.verdicts(spark, d).where(model.eligible()).select("id", "service", "indicator", "us")
+    """Eligible chunks of the active generations, in order of time."""
+    return model.scan(v.verdicts(spark, d), v.monitored(spark, d)).select("id", "service", "indicator", "us")
 
 
 def eligible_counts(spark: E, d: str) -> DataFrame:
@@ -278,25 +287,25 @@ def joint_mass(spark: E, d: str) -> DataFrame:
     train = f"ts <= {v.TRAIN_TS}"
     loads = v.win(spark, d).where(train).groupBy(*v.KEY).agg(F.count("*").cast("double").alias("x"))
     out = model.joint_mass(loads.withColumn("cx", F.lit(1).cast("long")), v.ys(spark, d, train), v.KEY, v.MODEL)
-    return out.withColumn("v", r9("v"))
+    return model.coalesce_near(out, v.MODEL, by=("x",)).select("service", "x", r9("v").alias("v"), "n")
 
 
-COARSE = "SELECT service, x, floor(v / 10) * 10 AS v, CAST(sum(n) AS BIGINT) AS n FROM mass GROUP BY service, x, floor(v / 10) * 10"
-
-
-def coarse(spark: E, d: str) -> DataFrame:
-    """The joint mass over response values in steps of ten."""
-    step = (F.floor(F.col("v") / 10) * 10).cast("double")
-    return v.mass(spark, d).groupBy("service", "x", step.alias("v")).agg(F.sum("n").alias("n"))
+@query("SELECT service, x, v, n FROM tmass")
+def time_of_day_mass(spark: E, d: str) -> DataFrame:
+    """Joint mass of second of day and hourly load."""
+    return v.tod_mass(spark, d)
 
 
 @query(
-    f"""SELECT gx.service, gx.x, gv.v, round((SELECT coalesce(sum(n), 0) FROM ({COARSE}) m WHERE m.service = gx.service AND m.x <= gx.x AND m.v <= gv.v)
-  / (SELECT sum(n) FROM ({COARSE}) m WHERE m.service = gx.service), 9) AS h
-FROM (SELECT DISTINCT service, x FROM ({COARSE})) gx JOIN (SELECT DISTINCT service, v FROM ({COARSE})) gv ON gx.service = gv.service"""
+    """SELECT service, x, round(v, 9) AS v, round(upto / total, 9) AS h FROM (
+  SELECT service, x, v, total, sum(run) OVER (PARTITION BY service, v ORDER BY x) AS upto FROM (
+    SELECT gx.service, gx.x, gv.v, t.total, sum(coalesce(m.n, 0)) OVER (PARTITION BY gx.service, gx.x ORDER BY gv.v) AS run
+    FROM (SELECT DISTINCT service, x FROM mass) gx JOIN (SELECT DISTINCT service, v FROM mass) gv ON gx.service = gv.service
+    JOIN (SELECT service, sum(n) AS total FROM mass GROUP BY service) t ON t.service = gx.service
+    LEFT JOIN mass m ON m.service = gx.service AND m.x = gx.x AND m.v = gv.v))"""
 )
 def joint_ecdf(spark: E, d: str) -> DataFrame:
-    return model.joint_cdf(coarse(spark, d), v.MODEL).withColumn("h", r9("h"))
+    return model.joint_cdf(v.published(spark, d), v.MODEL).select("service", "x", r9("v").alias("v"), r9("h").alias("h"))
 
 
 @query("SELECT service, x, round(v, 9) AS v, round(p, 9) AS p FROM points")
@@ -327,19 +336,19 @@ def ulp_coalesce(spark: E, d: str) -> DataFrame:
 
 
 def grid(spark: E, d: str) -> DataFrame:
-    return model.density_grid(coarse(spark, d).where("v > 0"), v.MODEL, 8, 6, log_y=True)
+    return model.density_grid(v.published(spark, d), v.MODEL, 128, 128, log_y=True)
 
 
-GRID = f"""
-SELECT k.service, CAST(5 - j.line AS BIGINT) AS row, CAST(i.col AS INTEGER) AS col, sum(k.n * i.share * j.share / t.total) AS mass
-FROM (SELECT * FROM ({COARSE}) WHERE v > 0) k
-JOIN (SELECT service, sum(n) AS total FROM ({COARSE}) WHERE v > 0 GROUP BY service) t USING (service)
-JOIN (SELECT service, x, col, (least(lo + (col + 1) / 8 * (hi - lo), x) - greatest(lo + col / 8 * (hi - lo), b)) / (x - b) AS share
+GRID = """
+SELECT k.service, CAST(127 - j.line AS BIGINT) AS row, CAST(i.col AS INTEGER) AS col, sum(k.n * i.share * j.share / t.total) AS mass
+FROM mass k
+JOIN (SELECT service, sum(n) AS total FROM mass GROUP BY service) t USING (service)
+JOIN (SELECT service, x, col, (least(lo + (col + 1) / 128 * (hi - lo), x) - greatest(lo + col / 128 * (hi - lo), b)) / (x - b) AS share
   FROM (SELECT service, x, lag(x) OVER (PARTITION BY service ORDER BY x) AS b, min(x) OVER (PARTITION BY service) AS lo, max(x) OVER (PARTITION BY service) AS hi
-    FROM (SELECT DISTINCT service, x FROM ({COARSE}) WHERE v > 0)), generate_series(0, 7) g(col) WHERE b IS NOT NULL) i ON i.service = k.service AND i.x = k.x AND i.share > 0
-JOIN (SELECT service, v, line, (least(lo * exp((line + 1) / 6 * ln(hi / lo)), v) - greatest(lo * exp(line / 6 * ln(hi / lo)), b)) / (v - b) AS share
+    FROM (SELECT DISTINCT service, x FROM mass)), generate_series(0, 127) g(col) WHERE b IS NOT NULL) i ON i.service = k.service AND i.x = k.x AND i.share > 0
+JOIN (SELECT service, v, line, (least(lo * exp((line + 1) / 128 * ln(hi / lo)), v) - greatest(lo * exp(line / 128 * ln(hi / lo)), b)) / (v - b) AS share
   FROM (SELECT service, v, lag(v) OVER (PARTITION BY service ORDER BY v) AS b, min(v) OVER (PARTITION BY service) AS lo, max(v) OVER (PARTITION BY service) AS hi
-    FROM (SELECT DISTINCT service, v FROM ({COARSE}) WHERE v > 0)), generate_series(0, 5) g(line) WHERE b IS NOT NULL) j ON j.service = k.service AND j.v = k.v AND j.share > 0
+    FROM (SELECT DISTINCT service, v FROM mass)), generate_series(0, 127) g(line) WHERE b IS NOT NULL) j ON j.service = k.service AND j.v = k.v AND j.share > 0
 GROUP BY 1, 2, 3"""
 
 
@@ -379,15 +388,26 @@ def current_model(spark: E, d: str) -> DataFrame:
 READY = f"SELECT service, indicator FROM ({ELIGIBLE}) WHERE eligible >= 1100"
 
 
+GENERATION = "length(service) % 3"
+
+
 @query(
-    f"""SELECT service, x, round(v, 9) AS v, n FROM mass
-WHERE service IN (SELECT service FROM (SELECT service, count(*) AS k FROM xs WHERE w <= {v.TRAIN_US} GROUP BY service) WHERE k >= 78)"""
+    f"""SELECT m.indicator, m.service, m.x, round(m.v, 9) AS v, m.n, CAST({GENERATION} AS INTEGER) AS generation
+FROM (SELECT 1 AS indicator, * FROM mass UNION ALL SELECT 2, * FROM tmass) m
+WHERE service IN (SELECT service FROM (SELECT service, count(*) AS k FROM xs WHERE w <= {v.TRAIN_US} GROUP BY service) WHERE k >= CASE m.indicator WHEN 1 THEN 78 ELSE 19 END)
+  AND service <> 'signup'"""
 )
 def publish_ready_models(spark: E, d: str) -> DataFrame:
-    """Joint mass of the services whose reference windows suffice."""
+    """Both models of the services whose reference windows suffice; one service's generation changes while its models are built."""
     counts = v.xs(spark, d).where(F.col("w") <= v.TRAIN_US).groupBy("service").agg(F.count("*").alias("eligible"))
-    ready = model.ready_by_count(counts, 78).where("ready")
-    return v.mass(spark, d).join(ready, "service", "left_semi").withColumn("v", r9("v"))
+    counts = counts.withColumn("interval_s", F.lit(v.WINDOW // 1_000_000)).withColumn("generation", F.expr(GENERATION))
+    ready = [model.ready_by_count(counts, 78), model.ready_by_day(counts)]
+    now = counts.select("service", (F.col("generation") + (F.col("service") == "signup").cast("int")).alias("generation"))
+    out = None
+    for k, (mass, r) in enumerate(zip((v.published(spark, d), v.tod_mass(spark, d)), ready, strict=True), 1):
+        part = model.publish(mass, r, now, v.MODEL).select(F.lit(k).alias("indicator"), "service", "x", r9("v").alias("v"), "n", "generation")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(
@@ -443,6 +463,17 @@ def chunk_analysis(spark: E, d: str) -> DataFrame:
     return analysed(spark, d).select("service", "w", "x", "level", "points", r9("d").alias("d"), r9("z").alias("z"), r9("p").alias("p"), "state")
 
 
+@query("SELECT service, w, x, level, pts AS points, round(d, 9) AS d, round(z, 9) AS z, round(p, 9) AS p, state FROM tanalysis")
+def time_of_day_analysis(spark: E, d: str) -> DataFrame:
+    """Every scored window with the verdict of its hourly loads at that time of day."""
+    return tod_analysed(spark, d).select("service", "w", "x", "level", "points", r9("d").alias("d"), r9("z").alias("z"), r9("p").alias("p"), "state")
+
+
+def tod_analysed(spark: E, d: str) -> DataFrame:
+    y = v.stored(v.tod_samples(spark, d, f"ts > {v.TRAIN_TS}"), "tod-chunks")
+    return scoring.analyse(v.tod_chunks(y), y, v.stored(v.tod_mass(spark, d), "tod-model"), v.MODEL)
+
+
 @query(
     """SELECT service, state, count(*) AS chunks FROM (
   SELECT service, CASE WHEN service = 'click' THEN 'baseline' WHEN service = 'view' AND w % 7 = 0 THEN 'failed' ELSE state END AS state FROM analysis) GROUP BY service, state"""

@@ -42,6 +42,24 @@ def stream_dedup(spark: E, d: str) -> DataFrame:
     return jobs.finished(jobs.deduplicated(rows, ["key", "service"]).select("key", "service"), spark, "dedup")
 
 
+@query("SELECT id, service, generation FROM (SELECT o_orderkey AS id, o_orderpriority AS service, 1 + (o_orderkey // 8) % 2 AS generation FROM orders) WHERE generation = CASE WHEN service < '3' THEN 1 ELSE 2 END")
+def stream_generation(spark: E, d: str) -> DataFrame:
+    """Chunk writes of the active generations; those of an old configuration are rejected."""
+    rows = stream(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("service"), F.expr("1 + (o_orderkey div 8) % 2").alias("generation"))
+    return jobs.finished(jobs.current_generation(rows, v.monitored(spark, d)), spark, "generation").select("id", "service", "generation")
+
+
+@query(
+    f"""SELECT service, w, CAST(late AS BIGINT) AS late, CASE WHEN w + 86400000000 > {v.NOW_US} THEN 'recovered' ELSE 'gap' END AS state, true AS historical FROM (
+  SELECT service, w, sum(CASE WHEN event_id % 10 <> 0 AND w <= (SELECT max(us) - 1 - 86400000000 FROM obs WHERE event_id % 10 <> 0) THEN 0 ELSE 1 END) AS late FROM win GROUP BY service, w)
+WHERE late > 0"""
+)
+def stream_recovery(spark: E, d: str) -> DataFrame:
+    """Windows short of observations after a stream in which every tenth one came too late."""
+    closed = jobs.finished(jobs.chunks(observations(spark, d).where("event_id % 10 <> 0"), "6 hours"), spark, "chunks")
+    return jobs.recovered(v.obs(spark, d), closed, v.WINDOW, v.NOW_US)
+
+
 @query(f"SELECT service, w, level, round(p, 9) AS p, state FROM analysis WHERE {CLOSED}")
 def stream_scoring(spark: E, d: str) -> DataFrame:
     """Verdicts of the closed windows after the reference."""
@@ -62,4 +80,4 @@ def stream_alerts(spark: E, d: str) -> DataFrame:
     rows = o.select(
         F.col("o_orderpriority").alias("service"), F.expr("1 + o_custkey % 2").cast("int").alias("indicator"), micros("o_orderdate").alias("us"), F.col("o_orderkey").alias("id"), state.alias("state")
     )
-    return jobs.finished(jobs.alert_updates(rows), spark, "alerts")
+    return jobs.alert_stream(rows, spark)

@@ -176,12 +176,14 @@ def status_summary(spark: E, d: str) -> DataFrame:
     return health.status_summary(a.conditions(anomaly_events(spark, d), SI), "service")
 
 
-@query(
-    """SELECT h.service, count(*) AS n, string_agg(h.id::VARCHAR, ',' ORDER BY h.id) AS ids FROM hits h JOIN anomalies n USING (alert)
-WHERE n.status = 'firing' AND NOT coalesce(h.review_override, false) GROUP BY h.service"""
-)
+@query("SELECT h.service, h.alert, h.id FROM hits h JOIN anomalies n USING (alert) WHERE n.status = 'firing' AND NOT coalesce(h.review_override, false)")
 def reviewable_by_service(spark: E, d: str) -> DataFrame:
     events = anomaly_events(spark, d)
     hits = a.occurrences(events, SI).join(a.conditions(events, SI).select("alert", "status"), "alert")
-    out = health.reviewable(hits, "service")
-    return out.select("service", "n", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids"))
+    return health.reviewable(hits, "service")
+
+
+@query(f"SELECT CAST(c_nationkey AS BIGINT) AS service, c_custkey AS id, {JOB_STATE} AS state FROM customer")
+def jobs_by_service(spark: E, d: str) -> DataFrame:
+    rows = v.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("service"), F.col("c_custkey").alias("id"), F.expr(JOB_STATE).alias("state"))
+    return health.jobs_of_services(rows)

@@ -7,12 +7,14 @@ to 2024-01-21 are the reference; later ones are scored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from condist.functions.shared import stored
 from condist.functions.times import DAY, HOUR, micros
-from condist.operators import samples, windows
+from condist.operators import model, samples, windows
 from condist.plans.registry import VIEWS
 
 WINDOW = 6 * HOUR
@@ -74,8 +76,25 @@ def mass(spark: SparkSession, d: str) -> DataFrame:
 
 
 def published(spark: SparkSession, d: str) -> DataFrame:
-    """The joint mass as a published model: built once, read by level lookup, point counts and interpolation."""
-    return stored(mass(spark, d), "model")
+    """The joint mass as a published model: near values brought together, built once, read by level lookup, point counts and interpolation."""
+    return stored(model.coalesce_near(mass(spark, d), MODEL, by=("x",)), "model")
+
+
+def tod_samples(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    """Load samples of the windows: the events of each hour with any, as service, w, v, c."""
+    hours = win(spark, d).where(where).groupBy(*KEY, F.expr(f"(us + {HOUR} - 1) div {HOUR}").alias("h")).agg(F.count("*").cast("double").alias("value"))
+    return samples.count_samples(hours, KEY)
+
+
+def tod_chunks(rows: DataFrame) -> DataFrame:
+    """Time-of-day chunks of load samples: x is the UTC second of the day at the window's end."""
+    return rows.select(*KEY).distinct().withColumn("x", samples.time_of_day("w").cast("double"))
+
+
+def tod_mass(spark: SparkSession, d: str) -> DataFrame:
+    y = stored(tod_samples(spark, d, f"ts <= {TRAIN_TS}"), "tod-chunks")
+    mass = model.joint_mass(tod_chunks(y).withColumn("cx", F.lit(1).cast("long")), y, KEY, MODEL)
+    return model.coalesce_near(mass, MODEL, by=("x",))
 
 
 VIEWS["mass"] = f"SELECT service, x, v, CAST(sum(c) AS BIGINT) AS n FROM xs JOIN ys USING (service, w) WHERE w <= {TRAIN_US} GROUP BY service, x, v"
@@ -115,6 +134,15 @@ LEFT JOIN (SELECT service, x AS level, count(*) AS pts FROM points GROUP BY serv
 LEFT JOIN pvalue t ON t.service = s.service AND t.w = s.w AND k.pts >= 2"""
 
 
+# the same for time of day (indicator 2): x is the second of the day, samples are the events of the window's hours
+VIEWS["tys"] = f"""
+SELECT service, w, v, count(*) AS c FROM (SELECT service, w, (us + {HOUR} - 1) // {HOUR} AS h, CAST(count(*) AS DOUBLE) AS v FROM win GROUP BY ALL) GROUP BY service, w, v"""
+VIEWS["txs"] = "SELECT DISTINCT service, w, CAST((w // 1000000) % 86400 AS DOUBLE) AS x FROM tys"
+TIME_OF_DAY = {"ys": "tys", "xs": "txs"} | {name: f"t{name}" for name in ("mass", "points", "score_x", "probes", "interp", "kstat", "pvalue", "analysis")}
+for _name in ("mass", "points", "score_x", "probes", "interp", "kstat", "pvalue", "analysis"):
+    VIEWS[TIME_OF_DAY[_name]] = re.sub(r"\w+", lambda m: TIME_OF_DAY.get(m[0], m[0]), VIEWS[_name])
+
+
 def score_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The scored windows with their load, from their samples."""
     return score_samples(spark, d).groupBy(*KEY).agg(F.sum("c").cast("double").alias("x"))
@@ -147,14 +175,21 @@ def verdicts(spark: SparkSession, d: str) -> DataFrame:
         state.alias("state"),
         F.expr("o_orderkey % 5 = 0").alias("historical"),
         F.when((state == "bad") & F.expr("o_orderkey % 3 = 0"), True).alias("review_override"),
+        F.expr("1 + (o_orderkey div 8) % 2").alias("generation"),
     )
 
 
+def monitored(spark: SparkSession, d: str) -> DataFrame:
+    """The services of the verdicts with their active generation."""
+    names = table(spark, d, "orders").select(F.col("o_orderpriority").alias("service")).distinct()
+    return names.withColumn("generation", F.when(F.col("service") < "3", 1).otherwise(2).cast("long"))
+
+
 VIEWS["verdicts"] = f"""
 SELECT o_orderpriority AS service, CAST(1 + o_custkey % 2 AS INTEGER) AS indicator, epoch_us(o_orderdate) AS us, o_orderkey AS id,
   CASE WHEN {HASH} <= 3 THEN 'bad' WHEN {HASH} = 4 THEN 'failed' WHEN {HASH} = 5 THEN 'baseline' ELSE 'good' END AS state,
   o_orderkey % 5 = 0 AS historical,
-  CASE WHEN {HASH} <= 3 AND o_orderkey % 3 = 0 THEN true END AS review_override
+  CASE WHEN {HASH} <= 3 AND o_orderkey % 3 = 0 THEN true END AS review_override, 1 + (o_orderkey // 8) % 2 AS generation
 FROM orders"""
 VIEWS["eligible"] = "SELECT * FROM verdicts WHERE state IN ('baseline', 'good') OR (state = 'bad' AND coalesce(review_override, false))"
 

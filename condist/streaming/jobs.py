@@ -1,22 +1,27 @@
 """Structured Streaming jobs over the same functions as the batch queries.
 
 Chunks close when the watermark passes their end; what arrives later than the
-watermark allows is left to the recovery jobs, which write historical chunks.
+watermark allows is left to ``recovered``, which finds those windows again and
+marks them. Batches that a sink writes go to folders by their number, so one
+that is replayed after a failure replaces what it wrote.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from condist.functions.shared import shared_folder
+from condist.functions.stats import severity
+from condist.functions.times import DAY
+from condist.operators.alerts import numbered
 
 LATE = "24 hours"
-ALERT = "service string, indicator int, alert long, occurrences long, severity string, status string, us long"
+KEYS = ["service", "indicator"]
+#: Firing alert of each key and the number of its occurrences.
+STATE = "service string, indicator int, alert long, count long"
 
 
 def finished(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append", sink: Callable | None = None) -> DataFrame:
@@ -24,11 +29,11 @@ def finished(stream: DataFrame, spark: SparkSession, name: str, mode: str = "app
     path, state = shared_folder(spark, name), shared_folder(spark, f"{name}-state")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if sink:
-        writer = writer.foreachBatch(lambda batch, _: sink(batch, path))
+        writer = writer.foreachBatch(lambda batch, number: sink(batch, path, number))
     else:
         writer = writer.format("parquet").option("path", path)
     writer.start().awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("batch")
 
 
 def chunks(observations: DataFrame, interval: str, late: str = LATE) -> DataFrame:
@@ -44,6 +49,20 @@ def current_generation(stream: DataFrame, services: DataFrame) -> DataFrame:
     return stream.join(services.select("service", "generation"), ["service", "generation"])
 
 
+def recovered(observations: DataFrame, closed: DataFrame, interval_us: int, now_us: int, late_us: int = DAY) -> DataFrame:
+    """Windows (service, w) whose stored observations are more than their closed chunks have, with what becomes of them.
+
+    ``state`` is recovered where the window ended within ``late_us`` of now: its
+    chunk is to be written again, as a historical one. Else it is a gap.
+    """
+    end = F.floor((F.col("us") + interval_us - 1) / interval_us) * interval_us
+    there = observations.groupBy("service", end.alias("w")).agg(F.count("*").alias("stored"))
+    have = closed.groupBy("service", "w").agg(F.sum("c").alias("chunked"))
+    short = there.join(have, ["service", "w"], "left").where(F.col("stored") > F.coalesce("chunked", F.lit(0)))
+    state = F.when(F.col("w") + late_us > now_us, "recovered").otherwise("gap")
+    return short.select("service", "w", (F.col("stored") - F.coalesce("chunked", F.lit(0))).alias("late"), state.alias("state"), F.lit(True).alias("historical"))
+
+
 def deduplicated(stream: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:
     """The first row of each key within the watermark."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
@@ -52,39 +71,51 @@ def deduplicated(stream: DataFrame, keys: list[str], late: str = LATE) -> DataFr
 def scored(stream: DataFrame, spark: SparkSession, analyse: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Verdicts of closed chunks: each micro-batch of samples goes through the batch analysis with the current model."""
 
-    def sink(batch: DataFrame, path: str) -> None:
+    def sink(batch: DataFrame, path: str, number: int) -> None:
         batch.persist()
         loads = batch.groupBy("service", "w").agg(F.sum("c").cast("double").alias("x"))
-        analyse(loads, batch).write.mode("append").parquet(path)
+        analyse(loads, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
         batch.unpersist()
 
     return finished(stream, spark, "scored", sink=sink)
 
 
-def alert_updates(verdicts: DataFrame, threshold: int = 3) -> DataFrame:
-    """Updates of alert conditions from a stream of verdicts (service, indicator, us, id, state).
+def alert_updates(verdicts: DataFrame, state: DataFrame, threshold: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Updates of alert conditions by a batch of verdicts (service, indicator, us, id, state), and the state after it.
 
-    The state of a key is its firing alert and the number of its occurrences.
-    Within a micro-batch rows are taken in event-time order.
+    Verdicts are taken in event-time order. Those between two good ones belong
+    to one alert; what comes before the first good one goes on with the alert
+    of ``state``.
     """
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alert, count = state.get if state.exists else (None, 0)
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["us", "id"])  # one key's verdicts of one micro-batch
-        for us, number, verdict in zip(rows["us"], rows["id"], rows["state"], strict=True):
-            if verdict == "bad":
-                alert, count = (int(number) if alert is None else alert), count + 1
-                out.append((*key, alert, count, "critical" if count >= threshold else "warning", "firing", int(us)))
-            elif verdict == "good" and alert is not None:
-                out.append((*key, alert, count, "critical" if count >= threshold else "warning", "resolved", int(us)))
-                alert, count = None, 0
-        if alert is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((alert, count))
-        names = ["service", "indicator", "alert", "occurrences", "severity", "status", "us"]
-        yield pd.DataFrame(out, columns=names)
-
-    return verdicts.groupBy("service", "indicator").applyInPandasWithState(fold, ALERT, "alert long, count long", "append", GroupStateTimeout.NoTimeout)
+    rows = numbered(verdicts.where("state in ('good', 'bad')").withColumn("ends", F.col("state") == "good"), KEYS)
+    stretch = Window.partitionBy(*KEYS, "island").orderBy("us", "id").rowsBetween(Window.unboundedPreceding, 0)
+    bad = F.when(F.col("state") == "bad", F.col("id"))
+    first = F.first(bad, ignorenulls=True).over(stretch)
+    runs = rows.withColumn("n", F.count(bad).over(stretch)).withColumn("opened", first)
+    before = state.select(*KEYS, F.col("alert").alias("_alert"), F.col("count").alias("_count"), F.lit(0).cast("long").alias("island"))
+    runs = runs.join(before, [*KEYS, "island"], "left")
+    count, alert = F.col("n") + F.coalesce("_count", F.lit(0)), F.coalesce("_alert", "opened")
+    known = runs.select(*KEYS, "island", "state", alert.alias("alert"), count.alias("occurrences"), "us").where("alert is not null")
+    status = F.when(F.col("state") == "bad", "firing").otherwise("resolved")
+    updates = known.select(*KEYS, "alert", "occurrences", severity(F.col("occurrences"), threshold).alias("severity"), status.alias("status"), "us")
+    # firing after the batch: the last stretch, if it has an alert and no end
+    last = rows.groupBy(*KEYS).agg((F.max("island") + F.max_by("ends", F.struct("us", "id")).cast("long")).alias("island"))
+    open_ = known.where("state = 'bad'").groupBy(*KEYS, "island").agg(F.max("alert").alias("alert"), F.max("occurrences").alias("count"))
+    fresh = open_.join(last, [*KEYS, "island"], "left_semi").select(*KEYS, "alert", "count")
+    # without an end in the batch and without a bad verdict, a key's state stays as it was
+    ended = rows.where("ends").select(*KEYS).distinct()
+    kept = state.join(ended, KEYS, "left_anti").join(fresh.select(*KEYS), KEYS, "left_anti")
+    return updates, fresh.unionByName(kept.select(*KEYS, "alert", "count"))
+
+
+def alert_stream(verdicts: DataFrame, spark: SparkSession, threshold: int = 3) -> DataFrame:
+    """All updates of alert conditions by a stream of verdicts; the state between batches is a small table."""
+    states = shared_folder(spark, "alert-states")
+
+    def sink(batch: DataFrame, path: str, number: int) -> None:
+        before = spark.read.schema(STATE).parquet(f"{states}/{number - 1}") if number else spark.createDataFrame([], STATE)
+        updates, after = alert_updates(batch, before, threshold)
+        updates.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        after.write.mode("overwrite").parquet(f"{states}/{number}")
+
+    return finished(verdicts, spark, "alerts", sink=sink)

@@ -13,6 +13,7 @@ from condist.functions.lookup import at_or_below, neighbours
 from condist.operators import alerts, evidence, health, model, notify, recovery, samples, scoring, services, upsert, windows
 from condist.plans import views
 from condist.sources import metrics
+from condist.streaming import jobs
 
 
 def rows(df, *columns):
@@ -211,6 +212,9 @@ def test_severity_and_redaction(spark):
     out = spark.createDataFrame([(text,), ("x" * 5000,)], "t string").select(alerts.redacted(F.col("t")).alias("t")).collect()
     assert out[0].t == "GET https://[redacted]@host/x?token=[redacted]&a=1 password=[redacted]\nAuthorization: [redacted]\nend"
     assert len(out[1].t) == 4000
+    cut = spark.createDataFrame([("é" * 3,), ("\u2003aé",), ("😀😀",), (None,)], "t string").select(alerts.cut_bytes(F.col("t"), 5).alias("t")).collect()
+    assert [r.t for r in cut] == ["éé", "\u2003a", "😀", None]
+    assert spark.createDataFrame([("\u3000 a\u2003b\xa0",)], "t string").select(alerts.redacted(F.col("t")).alias("t")).first().t == "a\u2003b"
 
 
 def test_islands_partition_events(spark):
@@ -306,3 +310,47 @@ def test_entry_and_names(spark):
     found = e.queries()
     assert set(e.oracle_sql()) <= set(found) and len(found) > 85
     assert e.entry(spark).count() > 0
+
+
+def test_alert_updates_do_not_depend_on_batches(spark):
+    import random
+
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), 1, us, us, rng.choice(["bad", "bad", "good", "failed"])) for us in range(60)]
+    columns = "service string, indicator int, us long, id long, state string"
+    none = spark.createDataFrame([], jobs.STATE)
+    whole, end = jobs.alert_updates(spark.createDataFrame(data, columns), none)
+    got, state = [], none
+    for k in range(0, 60, 20):
+        part, state = jobs.alert_updates(spark.createDataFrame(data[k : k + 20], columns), state)
+        got += part.collect()
+        state = spark.createDataFrame(state.collect(), jobs.STATE)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole.collect())) and len(got) > 20
+    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, end.collect()))
+
+
+def test_missing_chunks_raise(spark):
+    chunks = spark.createDataFrame([(1, "x")], "k int, body string")
+    assert upsert.read_chunks(chunks, spark.createDataFrame([(1,)], "k int"), ["k"]).first().body == "x"
+    with pytest.raises(Exception, match="no chunk of 2"):
+        upsert.read_chunks(chunks, spark.createDataFrame([(2,)], "k int"), ["k"]).collect()
+
+
+def test_many_probes_of_one_key(spark):
+    knots = spark.range(200).select(F.lit(1).alias("k"), (F.col("id") * 1.0).alias("v"), (F.col("id") / 199).alias("p"))
+    probes = spark.range(40_000).select(F.lit(1).alias("k"), (F.pmod("id", F.lit(19_900)) / 100).alias("v"))
+    out = neighbours(probes, knots, ["k"], "v", "p").select(F.max(F.abs(stats.linear(F.col("v")) - F.col("v") / 199)).alias("d"), F.count("*").alias("n")).first()
+    assert out.n == 40_000 and out.d < 1e-12
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.sampled_from([0.0, 1.0, 1.5, -1.5, 1e-300, 8.0, 1e9]), min_size=1, max_size=12), st.lists(st.integers(-7, 7), min_size=12, max_size=12))
+def test_near_values_against_plain_code(spark, bases, steps):
+    values = sorted({float(b + k * math.ulp(b)) for b, k in zip(bases, steps, strict=False)})
+    want, start = {}, None
+    for i, x in enumerate(values):
+        ulp = 4.9e-324 if x == 0 else 2.0 ** (math.floor(math.log2(abs(x))) - 52)
+        start = x if i == 0 or x - values[i - 1] > 5 * ulp else start
+        want[x] = start
+    df = spark.createDataFrame([(1, x, 1) for x in values], "k int, v double, n long")
+    assert {r.v: r.least for r in model.near_least(df, ["k"]).collect()} == want
