@@ -13,9 +13,11 @@ does not depend on the table. Each cell hands on its k best for each query.
 
 Defined cases: rows with a null vec_id or a vector that is null, empty, all
 zero or has a null or non-finite component take no part; a query meets only
-vectors of its own length; of rows that repeat a
-query's vec_id the least vector asks and none is a candidate; equal scores go to smaller vec_ids; an empty table gives no rows;
-other columns are ignored.
+vectors of its own length; vectors are scaled by powers of two before their
+norm is taken, which changes no score but keeps the norms of very large and
+very small ones finite; of rows that repeat a query's vec_id the least vector
+asks and none is a candidate; equal scores go to smaller vec_ids; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block of vectors and of a block of queries.
-BLOCK, QUERIES = 8192, 1024
+BLOCK, QUERIES = 8192, 4096
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -61,24 +63,32 @@ def safe_distances(hashes: int, threshold: int, widths: np.ndarray, miss: float)
     return widths * low
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component to between a half and one."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 class Index:
     """Sorted projections of one block of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, hashes: int, share: float, miss: float, seed: int):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors = ids, scaled(vectors)
+        vectors = self.vectors
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.directions = np.random.default_rng(seed).normal(size=(vectors.shape[1], hashes))
         self.units = vectors / self.norms[:, None]
         projected = self.units @ self.directions
-        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
+        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
         self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
         self.threshold = int(np.ceil(share * hashes))
         # half widths from a small step up to windows that hold everything
         self.widths = 0.1 * 1.25 ** np.arange(40)
         self.safe = safe_distances(hashes, self.threshold, self.widths, miss)
+        self.usual = 0  # one level under that at which the last query stopped, where the next one begins
 
     def search(self, queries: np.ndarray, owns: np.ndarray, k: int) -> list[list[tuple[int, float]]]:
         """For each query its k best (vec_id, cosine) found; all candidates if there are no more than k."""
+        queries = scaled(queries)
         norms = np.sqrt((queries * queries).sum(axis=1))
         centres = (queries / norms[:, None]) @ self.directions
         edges = self.widths[None, :]
@@ -94,7 +104,7 @@ class Index:
         counts, checked = np.zeros(n, np.int64), np.zeros(n, bool)
         found, scores = np.zeros(0, np.int64), np.zeros(0)
         # windows with too few entries in all cannot bring the wanted number over the threshold
-        level = int(np.argmax((high - low).sum(axis=0) >= self.threshold * max(wanted, 1)))
+        level = max(self.usual, int(np.argmax((high - low).sum(axis=0) >= self.threshold * max(wanted, 1))))
         a = b = low[:, level]
         for level in range(level, len(self.widths)):
             c, d = low[:, level], high[:, level]
@@ -113,6 +123,7 @@ class Index:
                     found, scores = found[keep], scores[keep]
             if len(found) >= wanted and (not wanted or sqrt(max(0.0, 2 - 2 * np.partition(scores, -wanted)[-wanted])) <= self.safe[level] or checked.all()):
                 break
+        self.usual = level - 1
         exact = (self.vectors[found] * query).sum(axis=1) / (self.norms[found] * norm)
         ids = self.ids[found]
         best = np.lexsort((ids, -exact))[:k]

@@ -63,3 +63,11 @@ def test_hot_vector_ties_go_to_small_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     found = got(ann.nearest(df, F.col("vec_id") == 2050))
     assert [j for _, j in found[2050]] == [1, 3, 5, 7, 9]
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e-200, 1e-201]), (2, [0.0, 5e-324]), (3, [-1e300, 1e300]), (4, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = got(ann.nearest(df, F.col("vec_id") == 0))[0]
+    assert [j for _, j in found] == [1, 4, 2, 3]
+    assert np.allclose([-s for s, _ in found], [1 / np.sqrt(1.01), 2 / np.sqrt(5), 0.0, -np.sqrt(0.5)])
