@@ -172,6 +172,7 @@ def pack(
                 yield out()
         packer.finish()
         yield out()
+        encoder(path).rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

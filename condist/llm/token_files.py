@@ -51,6 +51,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> Da
                     ["doc_id", "shard", "shard_start", "n_tokens", "ids"],
                 )
                 at += len(ids)
+        encoder(path).rest()
 
     return docs.mapInArrow(run, SCHEMA)
 

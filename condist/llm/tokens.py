@@ -11,6 +11,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ import regex
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: New words after which a worker forgets those not met since the last such time; twice as many bound its memory.
 CACHE_WORDS = 250_000
+#: Words that a worker still remembers when its task ends: those met first, and so the frequent ones mostly.
+KEPT_WORDS = 50_000
 #: Bytes of text that are cut and encoded at once.
 SLICE_BYTES = 2 << 20
 
@@ -130,6 +133,10 @@ class Encoder:
             out.append(ids)
         return out
 
+    def rest(self) -> None:
+        """Forget most words: a worker between tasks leaves the memory to others."""
+        self.known, self.older = dict(islice((self.older or self.known).items(), KEPT_WORDS)), {}
+
     def pieces(self) -> pa.Array:
         """The bytes of each id."""
         back = {v: k for k, v in self.alphabet.items()}
