@@ -5,8 +5,9 @@ from a polyphase resampler (rational factor, windowed-sinc phases), overlapped
 log-mel filterbanks and an energy segmentation with hysteresis: a segment
 begins above the upper level and ends under the lower one. All are computed in
 runs of frames of bounded length, so a long recording needs no more memory
-than a few seconds of it. Mel frames are cut into tensors of one shape, which
-carry their time spans.
+than a few seconds of it. Mel frames are cut into tensors of one shape (half
+precision, in steps of 1 / STEPS) and stored with their time spans and the
+segments in them; features of recordings are sums over the stored tensors.
 
 Defined cases: a null text is an empty payload, which is padded to one block
 of 192 samples; recordings shorter than a frame are padded with silence to
@@ -24,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +33,17 @@ from condist.llm.scratch import written
 from condist.llm.tokens import slices
 
 RATE, UP, DOWN, TAPS = 16_000, 5, 8, 12
-FRAME, HOP, MELS, WINDOW = 256, 128, 40, 64
+FRAME, HOP, MELS, WINDOW = 256, 128, 40, 16
 OUT_RATE = RATE * UP // DOWN
 #: Frames whose samples are held at once; a multiple of WINDOW.
 RUN = 1024
 ENTER_DB, LEAVE_DB = -6.0, -9.0
+#: Steps of a stored log-mel value in one unit of the natural logarithm; sums of such steps are exact in any order.
+STEPS = 32
+DIGESTS = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string"}
+SPANS = "array<struct<start_s double, end_s double, begins boolean>>"
+DIGEST_COLUMNS = ", ".join(f"{k} {t}" for k, t in DIGESTS.items())
+TENSORS = f"recording long, doc_id long, window long, start_s double, end_s double, frames int, tensor binary, segments {SPANS}, {DIGEST_COLUMNS}"
 
 
 def wav(samples: bytes, rate: int = RATE) -> bytes:
@@ -126,85 +134,101 @@ def segments(levels: np.ndarray, enter: float = ENTER_DB, leave: float = LEAVE_D
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def summary(x: np.ndarray) -> str:
-    """Frames, segments (number, seconds) and mean log-mel by band of one recording, as text."""
-    total, count, levels = np.zeros(MELS), 0, []
-    for mels, db in log_mels(x):
-        total += mels.sum(axis=0)
-        count += len(mels)
-        levels.append(db)
-    found = segments(np.concatenate(levels) - max(float(v.max()) for v in levels))
-    active = sum(b - a for a, b in found) * HOP / OUT_RATE
-    return f"frames={count} segments={len(found)} active={active:.3f} mel=" + ",".join(f"{v:.2f}" for v in total / count)
-
-
 def media(docs: DataFrame, block: int = 192) -> DataFrame:
-    """doc_id, n_bytes, media: each text's UTF-8 bytes as samples, with spaces up to a positive multiple of ``block``."""
+    """recording (a number), doc_id, n_bytes, media: each text's UTF-8 bytes as samples, with spaces up to a positive multiple of ``block``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, "text"):
                 raw = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
                 files = [wav(t.ljust(max(block, -(-len(t) // block) * block))) for t in raw]
-                yield pa.record_batch([part.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+                columns = [pa.array(np.arange(number, number + len(raw))), part.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(files, pa.binary())]
+                number += len(raw)
+                yield pa.record_batch(columns, ["recording", "doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
-
-
-def summaries(table: DataFrame) -> DataFrame:
-    """Payload and file digests of each recording, and its summary."""
+    return rows.mapInArrow(run, "recording long, doc_id long, n_bytes long, media binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for batch in batches:
-            for part in slices(batch, "media"):
-                rows = []
-                for doc_id, n, file in zip(part.column("doc_id").to_pylist(), part.column("n_bytes").to_pylist(), part.column("media").to_pylist(), strict=True):
-                    data, _ = samples_of(file)
-                    rows.append((doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(file), hashlib.sha256(file).hexdigest(), summary(np.frombuffer(data, np.uint8))))
-                yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    return table.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def windows_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, bool]]]]:
+    """A recording's tensors (the last filled up with silence), the frames that each has, and its segments' frame spans and whether they begin there."""
+    runs = [(np.round(mels * STEPS).astype(np.float32) / STEPS, db) for mels, db in log_mels(x)]
+    mels, levels = (np.concatenate(v) for v in zip(*((m.astype(np.float16), db) for m, db in runs), strict=True))
+    n = -(-len(mels) // WINDOW)
+    tensors = np.full((n * WINDOW, MELS), np.round(np.log(1e-8) * STEPS) / STEPS, np.float16)
+    tensors[: len(mels)] = mels
+    inside: list[list[tuple[int, int, bool]]] = [[] for _ in range(n)]
+    for a, b in segments(levels - levels.max()):
+        for w in range(a // WINDOW, (b - 1) // WINDOW + 1):
+            inside[w].append((max(a, w * WINDOW), min(b, (w + 1) * WINDOW), a >= w * WINDOW))
+    return tensors.reshape(n, WINDOW, MELS), np.minimum(WINDOW, len(mels) - WINDOW * np.arange(n)), inside
 
 
 def tensors(table: DataFrame) -> DataFrame:
-    """Log-mel tensors of WINDOW x MELS, row by row in ``tensor``, with their spans in seconds; the last is filled with silence.
+    """Log-mel tensors of WINDOW x MELS, half floats row by row in ``tensor``, with their spans in seconds.
 
-    ``segments`` has the segments that overlap the span, cut to it. as_tensors() gives the column its Arrow tensor type.
+    ``segments`` has the segments that overlap the span, cut to it, and whether
+    they begin there. A recording's first row has its digests. as_tensors()
+    gives the column its Arrow tensor type.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+        span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("begins", pa.bool_())])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.list_(span), *(pa.string() if t == "string" else pa.int64() for t in DIGESTS.values())]
+        names = ["recording", "doc_id", "window", "start_s", "end_s", "frames", "tensor", "segments", *DIGESTS]
+        seconds = lambda frame: float(frame) * HOP / OUT_RATE
         for batch in batches:
-            for doc_id, file in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                x = np.frombuffer(samples_of(file)[0], np.uint8)
-                levels = np.concatenate([db for _, db in log_mels(x)])
-                found = np.array(segments(levels - levels.max())).reshape(-1, 2)
-                at = 0
-                for mels, _ in log_mels(x):
-                    n = -(-len(mels) // WINDOW)
-                    full = np.full((n * WINDOW, MELS), np.log(1e-8), np.float32)
-                    full[: len(mels)] = mels
-                    starts = at + np.arange(n) * WINDOW
-                    stops = np.minimum(starts + WINDOW, at + len(mels))
-                    seconds = lambda f: f * HOP / OUT_RATE
-                    inside = [[{"start_s": seconds(max(a, s)), "end_s": seconds(min(b, e))} for a, b in found.tolist() if a < e and b > s] for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
-                    rows = [pa.array([doc_id] * n, pa.int64()), pa.array(starts // WINDOW), pa.array(seconds(starts)), pa.array(seconds(stops)), pa.array(list(full.reshape(n, -1)), pa.list_(pa.float32())), pa.array(inside, spans)]
-                    yield pa.record_batch(rows, ["doc_id", "window", "start_s", "end_s", "tensor", "segments"])
-                    at += len(mels)
-
-    return table.select("doc_id", "media").mapInArrow(run, "doc_id long, window long, start_s double, end_s double, tensor array<float>, segments array<struct<start_s double, end_s double>>")
+            for part in slices(batch, "media"):
+                rows: list[tuple] = []
+                for recording, doc_id, n_bytes, file in zip(*(part.column(c).to_pylist() for c in ("recording", "doc_id", "n_bytes", "media")), strict=True):
+                    data, _ = samples_of(file)
+                    digests = (n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(file), hashlib.sha256(file).hexdigest())
+                    for w, (tensor, frames, spans) in enumerate(zip(*windows_of(np.frombuffer(data, np.uint8)), strict=True)):
+                        inside = [{"start_s": seconds(a), "end_s": seconds(b), "begins": begins} for a, b, begins in spans]
+                        rows.append((recording, doc_id, w, seconds(w * WINDOW), seconds(w * WINDOW + frames), int(frames), tensor.tobytes(), inside, *(digests if not w else [None] * len(digests))))
+                    if len(rows) > 4096:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return table.mapInArrow(run, TENSORS)
 
 
 def as_tensors(column: pa.Array | pa.ChunkedArray) -> pa.ExtensionArray:
     """A read ``tensor`` column as an Arrow fixed-shape tensor array."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    storage = column.cast(pa.list_(pa.float32(), WINDOW * MELS))
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (WINDOW, MELS)), storage)
+    values = np.frombuffer(b"".join(column.to_pylist()), np.float16)
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(values), WINDOW * MELS)
+    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float16(), (WINDOW, MELS)), storage)
+
+
+def features(stored: DataFrame) -> DataFrame:
+    """Each recording's doc_id, digests and feature: frames, segments (number, seconds) and mean log-mel by band, from its stored tensors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frames = batch.column("frames").to_numpy()
+            values = as_tensors(batch.column("tensor")).to_numpy_ndarray().astype(np.float32) if len(frames) else np.zeros((0, WINDOW, MELS))
+            own = np.arange(WINDOW)[None, :] < frames[:, None]
+            sums = (np.round(values * STEPS).astype(np.int64) * own[:, :, None]).sum(axis=1)
+            columns = [pa.array(list(sums), pa.list_(pa.int64())) if c == "tensor" else batch.column(c) for c in batch.schema.names]
+            yield pa.record_batch(columns, ["sums" if c == "tensor" else c for c in batch.schema.names])
+
+    lengths = F.transform("segments", lambda s: F.round((s["end_s"] - s["start_s"]) * OUT_RATE / HOP).cast("long"))
+    begins, active = F.size(F.filter("segments", lambda s: s["begins"])), F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b)
+    rows = stored.select("recording", "doc_id", *DIGESTS, "frames", begins.alias("begins"), active.alias("active"), "tensor")
+    rows = rows.mapInArrow(run, f"recording long, doc_id long, {DIGEST_COLUMNS}, frames int, begins int, active long, sums array<long>")
+    per = rows.groupBy("recording").agg(
+        *[F.max(c).alias(c) for c in ("doc_id", *DIGESTS)], *[F.sum(c).alias(c) for c in ("frames", "begins", "active")], *[F.sum(F.get("sums", F.lit(k))).alias(f"m{k}") for k in range(MELS)]
+    )
+    text = F.format_string(
+        "frames=%d segments=%d active=%.3f mel=" + ",".join(["%.2f"] * MELS), "frames", "begins", F.col("active") * HOP / OUT_RATE, *[F.col(f"m{k}") / (F.col("frames") * STEPS) for k in range(MELS)]
+    )
+    return per.select("doc_id", *DIGESTS, text.alias("feature"))
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store all texts as recordings, read them back and give their digests and features."""
-    return summaries(written(media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"))
+    """Store all texts as recordings and their tensors, read both back and give digests and features."""
+    recordings = written(media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    return features(written(tensors(recordings), "tensors"))

@@ -62,21 +62,34 @@ def test_hysteresis():
     assert audio.segments(np.full(5, -7.0)) == []
 
 
+def plain_feature(x):
+    """The feature of a recording by one look at all its frames."""
+    mels, levels = (np.concatenate(v) for v in zip(*audio.log_mels(x), strict=True))
+    steps = np.round(np.round(mels * audio.STEPS).astype(np.float32).astype(np.float64)).sum(axis=0)
+    found = audio.segments(levels - levels.max())
+    active = sum(b - a for a, b in found) * audio.HOP / audio.OUT_RATE
+    return f"frames={len(mels)} segments={len(found)} active={active:.3f}", steps / len(mels) / audio.STEPS
+
+
 def test_whole_table_and_edges(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     extra = spark.createDataFrame([(-1, None, "x", "y", 1), (-2, "", "x", "y", 1), (-3, "é" * 96, "x", "y", 1), (-4, "s" * 700_000, "x", "y", 1), (-5, "tie", "x", "y", 1), (-5, "tie", "x", "y", 1), (None, "tie", "x", "y", 1)], docs.schema)
     both = docs.union(extra).repartition(3)
     texts = {r.doc_id: r.text for r in both.collect()}
-    rows = audio.summaries(written(audio.media(both), "media")).collect()
+    rows = audio.features(written(audio.tensors(written(audio.media(both), "media")), "tensors")).collect()
     assert len(rows) == docs.count() + 7
     by_payload = {}
     for r in rows:
         p = padded(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len((texts[r.doc_id] or "").encode()), len(p), hashlib.sha256(p).hexdigest())
         assert r.tail_crc32 == zlib.crc32(p[-16:]) and r.media_bytes == len(p) + 44 and r.media_sha256 == hashlib.sha256(audio.wav(p)).hexdigest()
-        assert by_payload.setdefault(p, r.feature) == r.feature and r.feature.count(",") == audio.MELS - 1
-    assert audio.summaries(audio.media(docs.limit(0))).collect() == []
+        assert by_payload.setdefault(p, r.feature) == r.feature
+        head, mel = r.feature.split(" mel=")
+        want, means = plain_feature(np.frombuffer(p, np.uint8))
+        assert head == want and np.allclose([float(x) for x in mel.split(",")], means, atol=0.0051)
+    assert audio.features(audio.tensors(audio.media(docs.limit(0)))).collect() == []
+    assert [r.feature for r in audio.op9_audio(spark, d).limit(1).collect()][0].count(",") == audio.MELS - 1
 
 
 def test_tensors(spark):
@@ -87,3 +100,6 @@ def test_tensors(spark):
     spans = table.filter(pa.compute.equal(table["doc_id"], 1)).to_pylist()
     assert all(a["end_s"] == b["start_s"] for a, b in zip(spans, spans[1:], strict=False))
     assert all(s["start_s"] <= g["start_s"] < g["end_s"] <= s["end_s"] for s in spans for g in s["segments"])
+    mels = np.concatenate([m for m, _ in audio.log_mels(np.frombuffer(padded("abc " * 9000), np.uint8))])
+    stored = got.to_numpy_ndarray()[: len(spans)].reshape(-1, audio.MELS)[: len(mels)]
+    assert np.abs(stored - mels).max() <= 0.5 / audio.STEPS + 1e-3
