@@ -3,10 +3,12 @@
 Documents are cut into words in blocks of bounded size. A block keeps its
 documents as codes into its own distinct words (frequent words have small
 codes, which compress well), and the words go out by a hash of the word: equal
-words of all blocks meet in one task, which encodes each once and sends the
-ids back to the blocks. There the codes are joined with the ids by position,
-and the ids with the vocabulary's pieces for decoding. Blocks are written to
-buckets, so only words by block and their ids are shuffled, not the documents.
+words of all blocks meet in one shard of the distinct-word table, where each
+is encoded once, and the ids go back to the blocks. There the codes are looked
+up in the ids by position, and the ids in the vocabulary's pieces for decoding.
+Blocks are written to buckets, so only words by block and their ids are
+shuffled, in compressed lists, not the documents. A task holds one shard of
+the table at a time; more shards make them smaller.
 
 Defined cases: a null text counts as empty and has no ids; special tokens'
 strings in a text become their ids, as the tokenizers library does; null
@@ -31,8 +33,8 @@ from condist.llm.tokens import byte_strings, default_tokenizer, encoder, gather,
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
-#: Ids that are decoded at once.
-DECODE_IDS = 1 << 20
+#: Words whose ids are joined and decoded at once.
+DECODE_WORDS = 1 << 19
 BLOCKS = "block long, doc_id array<long>, n_words array<long>, codes binary, places binary, shards array<binary>"
 ENCODED = "block long, shard int, sizes binary, ids binary"
 
@@ -118,19 +120,25 @@ def blocks(docs: DataFrame, path: str, shards: int) -> DataFrame:
     return docs.mapInArrow(run, BLOCKS)
 
 
-def encode_words(table: DataFrame, path: str) -> DataFrame:
-    """Ids of each block's words, shard by shard. A word's shard is one task, and there it is encoded once."""
+def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Lists of ids for lists of words (block, shard, words), rows of one shard together; each distinct word is encoded once."""
+    shard, table, encode = None, {}, encoder(path).word
+    for batch in batches:
+        for i in range(batch.num_rows):
+            if (own := batch.column("shard")[i].as_py()) != shard:
+                shard, table = own, {}
+            words = unpacked_words(batch.column("words")[i].as_py())
+            table |= {w: encode(w) for w in words if w not in table}
+            lists = [table[w] for w in words]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+            row = [batch.column("block").slice(i, 1), batch.column("shard").slice(i, 1), [packed(sizes)], [packed(np.frombuffer(b"".join(lists), "<u4"))]]
+            yield pa.record_batch([*row[:2], *(pa.array(x, pa.binary()) for x in row[2:])], ["block", "shard", "sizes", "ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                lists = encoder(path).words(unpacked_words(batch.column("words")[i].as_py()))
-                sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-                row = [batch.column("block").slice(i, 1), batch.column("shard").slice(i, 1), [packed(sizes)], [packed(np.frombuffer(b"".join(lists), "<u4"))]]
-                yield pa.record_batch([*row[:2], *(pa.array(x, pa.binary()) for x in row[2:])], ["block", "shard", "sizes", "ids"])
 
+def encode_words(table: DataFrame, path: str) -> DataFrame:
+    """Ids of each block's words, shard by shard of the distinct-word table."""
     by_shard = table.select("block", F.posexplode("shards").alias("shard", "words")).where("words is not null")
-    return by_shard.repartition("shard").mapInArrow(run, ENCODED)
+    return by_shard.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda batches: encoded(batches, path), ENCODED)
 
 
 def joined(table: DataFrame, encoded: DataFrame) -> DataFrame:
@@ -159,14 +167,13 @@ def documents(rows: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 doc_ids, counts = row["doc_id"].as_py(), row["n_words"].values.to_numpy()
                 bounds = np.concatenate(([0], np.cumsum(counts)))
-                codes = unpacked(row["places"].as_py())[unpacked(row["codes"].as_py())].astype(np.int64)
+                codes = unpacked(row["places"].as_py())[unpacked(row["codes"].as_py())]
                 sizes = np.concatenate([unpacked(x) for x in row["sizes"].as_py()] or [np.zeros(0, "<u4")]).astype(np.int64)
                 pool = np.concatenate([unpacked(x) for x in row["ids"].as_py()] or [np.zeros(0, "<u4")])
-                ids, ends = gather(pool, sizes, codes, bounds)
                 at = 0
                 while at < len(doc_ids):
-                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + DECODE_IDS, "right")) - 1)
-                    part, cuts = ids[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
+                    to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + DECODE_WORDS, "right")) - 1)
+                    part, cuts = gather(pool, sizes, codes[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
                     taken = pieces.take(pa.array(part))
                     offs = np.frombuffer(taken.buffers()[1], np.int64)[: len(part) + 1]
                     body = memoryview(taken.buffers()[2] or b"")

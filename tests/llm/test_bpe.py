@@ -41,3 +41,15 @@ def test_edges_over_many_blocks(spark, monkeypatch):
     assert sorted((str(r.doc_id), *tuple(r)[1:4]) for r in got) == sorted((str(i), *row(t)) for i, t in [*enumerate(texts), (None, "tie")])
     assert all(r.decoded == (texts[r.doc_id] or "") for r in got if r.doc_id is not None)
     assert bpe.encode_decode(docs.limit(0)).collect() == []
+
+
+def test_each_distinct_word_is_encoded_once(monkeypatch):
+    enc, calls = encoder(default_tokenizer()), []
+    word = enc.word
+    monkeypatch.setattr(enc, "word", lambda w: calls.append(w) or word(w))
+    lists = [(1, 0, [b"a", b" tie", b"x1"]), (2, 0, [b" tie", b"b"]), (1, 1, [b" on"]), (2, 1, [b" on", b" off"])]
+    batch = pa.record_batch([pa.array([x[0] for x in lists]), pa.array([x[1] for x in lists]), pa.array([bpe.packed_words(x[2]) for x in lists], pa.binary())], ["block", "shard", "words"])
+    out = list(bpe.encoded(iter([batch.slice(0, 3), batch.slice(3)]), default_tokenizer()))
+    assert sorted(calls) == sorted({w for _, _, words in lists for w in words}) and len(out) == 4
+    ids = bpe.unpacked(out[1].column("ids")[0].as_py()).tolist()
+    assert ids == enc.tokenizer.encode(" tieb", add_special_tokens=False).ids or len(ids) == sum(bpe.unpacked(out[1].column("sizes")[0].as_py()))
