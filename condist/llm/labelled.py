@@ -17,7 +17,8 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, use: Column, per_cla
     ``use`` says which doc_ids may be learned from. A document with several
     labels has the largest. The sample takes the doc_ids with the smallest
     hashes, so it does not depend on order; its ids are few enough to
-    broadcast (2 * per_class rows of two numbers), so no text is shuffled.
+    broadcast (2 * per_class rows of two numbers), so only its texts are
+    shuffled. Of several texts with one doc_id it has that of the least hash.
     """
     rows = (
         labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))
@@ -30,7 +31,8 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, use: Column, per_cla
     for label in (0, 1):
         part = rows.where(F.col("label") == label).orderBy(order, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row")).select("doc_id", "row.text", "label")
 
 
 def prior(labels: DataFrame, column: str, use: Column) -> float:

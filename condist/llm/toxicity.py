@@ -33,10 +33,14 @@ from condist.llm.tokens import slices
 
 EDGES = string.punctuation + "“”„«»‘’‹›…–—¿¡·•"
 OPENING, CLOSING = "\"“„«‘‹'", "\"”“»’›'"
-#: Words of reporting; what follows within the window is a mention rather than an attack.
+#: Words of reporting, unless others are given; what follows within the window is a mention rather than an attack.
 REPORTING = frozenset("said says wrote writes called calls quoted quotes quote word term slur sagte schrieb dijo escribió dit écrit".split())
 #: Words a worker remembers before it starts afresh.
 CACHE_WORDS = 500_000
+#: States of an automaton after which it starts afresh.
+STATES = 100_000
+#: Shares of the toxic documents that a term may need; the best on a fold of the rows to learn from is taken.
+SUPPORTS = (0.0025, 0.005, 0.01, 0.02, 0.04)
 
 
 def edits(term: str) -> int:
@@ -70,6 +74,9 @@ class Automaton:
                 slot[node] = word
                 for p in path if slot is self.term else ():
                     self.allowed[p] = max(self.allowed[p], edits(word))
+        self._begin()
+
+    def _begin(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -112,6 +119,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The closest term and its edits; a stem that begins the word counts as no edit."""
+        if len(self.states) > STATES:
+            self._begin()
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
@@ -150,6 +159,7 @@ class Model:
     window: int = 8
     quoted: float = 0.3
     reported: float = 0.5
+    reporting: frozenset[str] = REPORTING
     _words: dict = field(default_factory=dict, repr=False)
     _automaton: Automaton | None = field(default=None, repr=False)
 
@@ -190,7 +200,7 @@ class Model:
         closed = opens is not None and any(w[-1] in CLOSING or w.rstrip(".,;:!?")[-1:] in tuple(CLOSING) for w in before[opens:-1])
         if opens is not None and not closed and any(w.rstrip(".,;:!?")[-1:] in tuple(CLOSING) for w in after):
             return self.quoted
-        return self.reported if any(w.strip(EDGES) in REPORTING for w in before[:-1]) else 1.0
+        return self.reported if any(w.strip(EDGES) in self.reporting for w in before[:-1]) else 1.0
 
     def score(self, hits: list[tuple[int, str, float]]) -> float:
         clean = 1 - self.base
@@ -220,6 +230,67 @@ def word_counts(sets: DataFrame) -> DataFrame:
     )
 
 
+def chance(ones, zeros, n: dict[int, int], share: float):
+    """Share of toxic documents among those with a term, with classes at their shares among all labels; of numbers or columns."""
+    a, b = share * ones / max(n[1], 1), (1 - share) * (zeros + 0.5) / max(n[0], 1)
+    return a / (a + b)
+
+
+def lexicon(counts: DataFrame, n: dict[int, int], share: float, support: float, precision: float, stem_words: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Terms and stems with their precision, from the counts of words in ``n`` documents of each class."""
+    least = max(5, support * n[1])
+    good = (F.col("ones") >= least) & (chance(F.col("ones"), F.col("zeros"), n, share) >= precision)
+    begins = F.explode(F.array(*[F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in (4, 5, 6)])).alias("stem")
+    stem_rows = (
+        counts.select(begins, "ones", "zeros")
+        .where("stem IS NOT NULL")
+        .groupBy("stem")
+        .agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"), F.count_if(F.col("ones") >= 2).alias("words"), F.max("ones").alias("top"))
+        .where(good & (F.col("words") >= stem_words) & (F.col("top") < 0.5 * F.col("ones")) & (F.col("zeros") <= 0.002 * F.col("ones")))
+        .collect()
+    )
+    by_stem = {r["stem"]: r for r in stem_rows}
+    # of stems that begin one another, the longest that keeps nearly all documents
+    stems = {}
+    for s, r in sorted(by_stem.items(), key=lambda x: len(x[0])):
+        longer = [t for t in by_stem if t != s and t.startswith(s) and by_stem[t]["ones"] >= 0.95 * r["ones"]]
+        if not longer and not any(s.startswith(t) for t in stems):
+            stems[s] = chance(r["ones"], r["zeros"], n, share)
+    words = counts.where(good).collect()
+    return {r["word"]: chance(r["ones"], r["zeros"], n, share) for r in words if not any(r["word"].startswith(s) for s in stems)}, stems
+
+
+def sizes(sets: DataFrame) -> dict[int, int]:
+    return {0: 0, 1: 0} | {r["label"]: r["count"] for r in sets.groupBy("label").count().collect()}
+
+
+def best_support(
+    learn: DataFrame, check: DataFrame, share: float, precision: float, stem_words: int, supports: tuple[float, ...], threshold: float = 0.3
+) -> float:
+    """The support whose lexicon, learned from the sets ``learn``, errs least on the texts ``check`` at that threshold.
+
+    Of equals it is the largest; where ``check`` lacks a class, the middle one.
+    """
+    counts, n = word_counts(learn).persist(), sizes(learn)
+    drafts = []
+    for support in supports:
+        exact, stems = lexicon(counts, n, share, support, precision, stem_words)
+        drafts.append(Model(exact, stems, exact, frozenset(), 0.0))
+    counts.unpersist()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            hit = [[m.score(m.hits(t or "")) >= threshold for t in texts] for m in drafts]
+            yield pa.record_batch([batch.column("label"), pa.array(list(map(list, zip(*hit, strict=True))), pa.list_(pa.bool_()))], ["label", "hit"])
+
+    rows = check.select("text", "label").mapInArrow(judge, "label int, hit array<boolean>").groupBy("label")
+    shares = {r["label"]: r for r in rows.agg(*[F.avg(F.get("hit", F.lit(k)).cast("double")).alias(f"s{k}") for k in range(len(supports))]).collect()}
+    if len(shares) < 2:
+        return sorted(supports)[len(supports) // 2]
+    wrong = [(1 - share) * shares[0][f"s{k}"] + share * (1 - shares[1][f"s{k}"]) for k in range(len(supports))]
+    return max(s for s, w in zip(supports, wrong, strict=True) if w <= min(wrong) + 1e-12)
+
 
 def fit(
     docs: DataFrame,
@@ -227,53 +298,36 @@ def fit(
     modulus: int = 4,
     held_out: int = 2,
     per_class: int = 10_000,
-    support: float = 0.02,
+    supports: tuple[float, ...] = SUPPORTS,
     precision: float = 0.5,
     stem_words: int = 5,
+    reporting: frozenset[str] = REPORTING,
 ) -> Model:
     """Learn a lexicon from at most ``per_class`` labelled documents of each class.
 
-    A term needs ``support`` of the toxic documents (five at least) and, with
+    A term needs a share of the toxic documents (five at least) and, with
     classes at their shares among all labels, ``precision``; so the lexicon
-    has at most (distinct words of a document) / support terms. Counts and
-    totals are both of distinct sets of words. A stem is a beginning of four to
-    six letters shared by ``stem_words`` words or more.
+    has at most (distinct words of a document) / share terms. Which of
+    ``supports`` that share is, the rows with the remainder after ``held_out``
+    decide, which are learned from afterwards. Counts and totals are both of
+    distinct sets of words. A stem is a beginning of four to six letters shared
+    by ``stem_words`` words or more.
     """
     use = labelled.remainder(modulus) != held_out
     share = labelled.prior(labels, "toxic", use)
     sampled = labelled.sample(docs, labels, "toxic", use, per_class).persist()
     sets = word_sets(sampled).persist()
-    n = {0: 0, 1: 0} | {r["label"]: r["count"] for r in sets.groupBy("label").count().collect()}
+    n = sizes(sets)
     if not n[1]:
         sets.unpersist()
         sampled.unpersist()
-        return Model({}, {}, {}, frozenset(), share)
+        return Model({}, {}, {}, frozenset(), share, reporting=reporting)
+    checks = labelled.remainder(modulus) == (held_out + 1) % modulus
+    learn = word_sets(sampled.where(~checks)).persist()
+    support = best_support(learn, sampled.where(checks), share, precision, stem_words, supports)
+    learn.unpersist()
     counts = word_counts(sets).persist()
-    least = max(5, support * n[1])
-
-    def chance(ones, zeros):
-        a, b = share * ones / n[1], (1 - share) * (zeros + 0.5) / max(n[0], 1)
-        return a / (a + b)
-
-    good = (F.col("ones") >= least) & (chance(F.col("ones"), F.col("zeros")) >= precision)
-    begins = F.explode(F.array(*[F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in (4, 5, 6)])).alias("stem")
-    stem_rows = (
-        counts.select(begins, "ones", "zeros")
-        .where("stem IS NOT NULL")
-        .groupBy("stem")
-        .agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"), F.count_if(F.col("ones") >= 2).alias("words"), F.max("ones").alias("top"))
-        .where(good & (F.col("words") >= stem_words) & (F.col("top") < 0.5 * F.col("ones")) & (F.col("zeros") <= 0.002 * F.col("ones")))
-        .collect()
-    )
-    by_stem = {r["stem"]: r for r in stem_rows}
-    # of stems that begin one another, the longest that keeps nearly all documents
-    stems = {}
-    for s, r in sorted(by_stem.items(), key=lambda x: len(x[0])):
-        longer = [t for t in by_stem if t != s and t.startswith(s) and by_stem[t]["ones"] >= 0.95 * r["ones"]]
-        if not longer and not any(s.startswith(t) for t in stems):
-            stems[s] = chance(r["ones"], r["zeros"])
-    words = counts.where(good).collect()
-    exact = {r["word"]: chance(r["ones"], r["zeros"]) for r in words if not any(r["word"].startswith(s) for s in stems)}
+    exact, stems = lexicon(counts, n, share, support, precision, stem_words)
     draft = Model(exact, stems, dict.fromkeys(exact, 1.0), frozenset(), 0.0)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +342,7 @@ def fit(
 
     # words within two edits of the lexicon: as many as it allows, whatever the corpus
     variants = counts.mapInArrow(near, "word string, term string, ones long, zeros long").collect()
-    known = frozenset(r["word"] for r in variants if r["zeros"] and chance(r["ones"], r["zeros"]) < precision)
+    known = frozenset(r["word"] for r in variants if r["zeros"] and chance(r["ones"], r["zeros"], n, share) < precision)
     seen: dict[str, list[float]] = {t: [1.0, 1.0] for t in exact}
     for r in variants:
         if r["word"] not in known:
@@ -308,7 +362,7 @@ def fit(
     counts.unpersist()
     sets.unpersist()
     sampled.unpersist()
-    return Model(exact, stems, misspelled, known, a / (a + b) if a + b else share)
+    return Model(exact, stems, misspelled, known, a / (a + b) if a + b else share, reporting=reporting)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", hits: str | None = None) -> DataFrame:

@@ -51,3 +51,36 @@ def test_edges(spark):
     rows = quality.score(docs, few).collect()
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows) and rows[0].score == rows[1].score and rows[3].score == rows[4].score
     assert quality.score(docs.limit(0), few).collect() == []
+
+
+def test_fit_against_plain_algebra(spark):
+    """Weights by the closed form over all rows at once, calibration by the min-max formula."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["plain", "words", "about", "things", "and", "more."], rng.integers(5, 60))) if i % 3 else "###|!! " * int(rng.integers(3, 30)) + f"x{i % 5}" for i in range(240)]
+    ones = [int((i % 3 > 0) ^ (i % 17 == 0)) for i in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y, 0) for i, y in enumerate(ones)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels, dimension=32)
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i in range(240)])
+    y, use = np.array(ones, float), fold != 0
+    stats = quality.statistics(pa.array(texts))
+    mean, scale = stats[use].mean(axis=0), stats[use].std(axis=0)
+    scale[scale < 1e-6] = 1
+    gen = np.random.default_rng(7)
+    directions = gen.normal(0, 1 / np.sqrt(len(quality.NAMES)), (len(quality.NAMES), 32))
+    phases = gen.uniform(0, 2 * np.pi, 32)
+    z = np.sqrt(2 / 32) * np.cos(np.clip((stats - mean) / scale, -6, 6) @ directions + phases)
+    share = (y[use].sum() + 0.5) / (use.sum() + 1)
+    weight = np.where(y == 1, share / y[use].mean(), (1 - share) / (1 - y[use].mean()))
+    learn, check = use & (fold != 1), fold == 1
+    gram = (z[learn] * weight[learn, None]).T @ z[learn]
+    solved = np.linalg.solve(gram + 1e-3 * (np.trace(gram) / 32 + 1e-9) * np.eye(32), (z[learn] * weight[learn, None]).T @ y[learn])
+    assert np.allclose(model.raw(stats), z @ solved, atol=1e-6)
+    cells = np.floor(np.clip(z @ solved, -1, 2) * 1000)
+    at = np.unique(cells[check])
+    total = np.array([weight[check & (cells == c)].sum() for c in at])
+    hit = np.array([(weight * y)[check & (cells == c)].sum() for c in at])
+    best = [max(min(hit[i : j + 1].sum() / total[i : j + 1].sum() for j in range(m, len(at))) for i in range(m + 1)) for m in range(len(at))]
+    assert np.allclose(sorted(set(np.round(best, 9))), model.levels, atol=1e-6)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert np.allclose([got[i] for i in range(240)], np.clip(np.interp(z @ solved, model.knots, model.levels), 0, 1), atol=1e-5)

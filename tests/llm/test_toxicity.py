@@ -103,3 +103,51 @@ def test_texts_over_one_vocabulary_are_no_copies(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
     assert set(toxicity.fit(docs, labels).exact) == {"scumbag"}
+
+
+def plain_hits(m, text):
+    """Hits by comparing every word with every term, and their context by plain rules."""
+    words, out = text.lower().split(), []
+    opening, closing = set(toxicity.OPENING), tuple(toxicity.CLOSING)
+    ends = lambda w: w.endswith(closing) or w.rstrip(".,;:!?").endswith(closing)
+    for i, raw in enumerate(words):
+        word = raw.strip(toxicity.EDGES)
+        if len(word) < 3:
+            continue
+        found = None
+        for form in (word, toxicity.squeeze(word)):
+            stems = [s for s in m.stems if form.startswith(s)]
+            near = min(((distance(form, t), t) for t in m.exact if distance(form, t) <= toxicity.edits(t)), default=None)
+            if stems:
+                found = m.stems[min(stems, key=len)]
+            elif near and (near[0] == 0 or form not in m.known):
+                found = m.misspelled[near[1]] if near[0] else m.exact[near[1]]
+            if found is not None:
+                break
+        if found is None:
+            continue
+        low = max(0, i - m.window)
+        opened = [k for k in range(low, i + 1) if words[k][0] in opening]
+        inside = opened and not any(ends(w) for w in words[opened[-1] : i]) and any(w.rstrip(".,;:!?").endswith(closing) for w in words[i : i + m.window + 1])
+        factor = m.quoted if inside else m.reported if any(w.strip(toxicity.EDGES) in m.reporting for w in words[low:i]) else 1.0
+        out.append(found * factor)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "idoit", "idiom", "IDIOT!", '"you', 'idiot"', 'fine."', "said", "loweis", "scumbags", "scumbg", "so", "idiooot", "a", "“oh", "no”", "plain"]), max_size=24))
+def test_scores_against_plain_code(words):
+    m = toxicity.Model({"idiot": 0.9, "scumbag": 0.8}, {"lowei": 0.7}, {"idiot": 0.5, "scumbag": 0.4}, frozenset(["idiom"]), 0.01)
+    want = 0.99
+    for w in plain_hits(m, " ".join(words)):
+        want *= 1 - w
+    assert abs(m.score(m.hits(" ".join(words))) - (1 - want)) < 1e-12
+
+
+def test_automaton_starts_afresh(monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abc", k=rng.randrange(1, 12))) for _ in range(300)]
+    whole = [toxicity.Automaton(TERMS, []).match(w) for w in words]
+    monkeypatch.setattr(toxicity, "STATES", 20)
+    small = toxicity.Automaton(TERMS, [])
+    assert [small.match(w) for w in words] == whole and len(small.states) < 40
