@@ -54,7 +54,8 @@ def records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """Pages with payload, digest and record type.
 
     Of equal payloads of at least ``min_bytes``, the row with the largest
-    page_id keeps the payload; only keys of the others are shuffled twice.
+    page_id keeps the payload. Smaller ones, of which very many can be equal,
+    take no part in the join by digest.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -68,8 +69,10 @@ def records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
         .where("n > 1")
         .select("digest", "kept")
     )
-    revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept")) & (F.col("size") >= min_bytes)
-    return rows.join(kept, "digest", "left").select(
+    revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
+    large = rows.where(F.col("size") >= min_bytes).join(kept, "digest", "left")
+    small = rows.where(F.col("size") < min_bytes).withColumn("kept", F.lit(None).cast("long"))
+    return large.unionByName(small).select(
         "page_id",
         "url",
         "digest",
