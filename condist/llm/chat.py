@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from condist.llm.scratch import written
+
 #: Turn numbers of one block, and so turns of one rendered part (unless turn numbers repeat).
 BLOCK = 256
 KEY = ("n", "k1", "k2", "k3", "k4")
@@ -62,7 +64,7 @@ def prefix_keys(turns: DataFrame) -> DataFrame:
 
 def maximal(turns: DataFrame) -> DataFrame:
     """Conversations that no longer one begins with: conv_id (the least of equal ones), n, copies."""
-    keys = prefix_keys(turns)
+    keys = written(prefix_keys(turns), "prefix-keys")
     sizes = turns.groupBy("conv_id").agg(F.max("n").alias("all"))
     k, s = keys.alias("k"), sizes.alias("s")
     marked = k.join(s, F.col("k.conv_id").eqNullSafe(F.col("s.conv_id"))).select("k.conv_id", *[f"k.{x}" for x in KEY], "s.all")
@@ -78,7 +80,7 @@ def template(role: Column, text: Column) -> Column:
 
 def render(conversations: DataFrame, part_turns: int = BLOCK) -> DataFrame:
     """Maximal conversations as text: conv_id, part, n_turns, copies, text; parts in order make up the whole."""
-    turns = numbered(conversations)
+    turns = written(numbered(conversations), "turns")
     kept = maximal(turns).alias("m")
     t = turns.alias("t")
     rows = t.join(kept, F.col("t.conv_id").eqNullSafe(F.col("m.conv_id"))).select("t.conv_id", F.col("m.n").alias("n_turns"), "m.copies", "t.n", template(F.col("t.role"), F.col("t.text")).alias("line"))
