@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,15 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int, compression: str
     rows = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # the catalog's entry only: files of a table with a path stay
     return rows
+
+
+@contextmanager
+def small_batches(spark: SparkSession, limit: str = "8m") -> Iterator[None]:
+    """Rows go to Python in batches of at most ``limit`` bytes by what is run meanwhile; texts of several tasks take much memory else."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -20,7 +20,7 @@ import regex
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: New words after which a worker forgets those not met since the last such time; twice as many bound its memory.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Words that a worker still remembers when its task ends: those met first, and so the frequent ones mostly.
 KEPT_WORDS = 50_000
 #: Bytes of text that are cut and encoded at once.
