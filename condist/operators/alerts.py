@@ -45,11 +45,23 @@ def conditions(events: DataFrame, keys: list[str], threshold: int = 3) -> DataFr
     return alerts.withColumn("status", F.when(F.col("resolved_us").isNull(), "firing").otherwise("resolved"))
 
 
-def occurrences(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Occurrences with their alert and their number in it, from 1."""
-    rows = numbered(events, keys).where("occurs")
-    w = Window.partitionBy(*keys, "island").orderBy("us", "id")
-    return rows.withColumn("n", F.row_number().over(w)).withColumn("alert", F.first("id").over(w))
+def occurrences(events: DataFrame, keys: list[str], stretch: int = STRETCH) -> DataFrame:
+    """Occurrences with their alert (the id of its first one) and their number in it, from 1.
+
+    Numbers are counts in a stretch of time and
+    those of the alert's stretches before, so an alert that does not end is no
+    single task.
+    """
+    key = [*keys, "island", "_s"]
+    rows = numbered(events, keys, stretch).where("occurs").withColumn("_s", F.floor(F.col("us") / stretch))
+    own = Window.partitionBy(*key).orderBy("us", "id")
+    sums = rows.groupBy(*key).agg(F.count("*").alias("_t"), F.min(F.struct("us", "id")).alias("_f"))
+    over = Window.partitionBy(*keys, "island").orderBy("_s")
+    before = F.coalesce(F.sum("_t").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.first("_f").over(over.rowsBetween(Window.unboundedPreceding, 0))
+    carried = sums.select(*key, before.alias("_b"), first["id"].alias("alert"))
+    out = rows.withColumn("_n", F.row_number().over(own)).join(carried, key)
+    return out.withColumn("n", F.col("_n") + F.col("_b")).drop("_s", "_n", "_b")
 
 
 def lifecycle(events: DataFrame, keys: list[str], threshold: int = 3, opening: str = "opened", rising: str = "escalated") -> DataFrame:
@@ -143,21 +155,61 @@ def retained(alerts: DataFrame, now_us: int, days: int = 90) -> DataFrame:
 
 #: Names whose values are never shown.
 SECRET_NAMES = ("authorization", "password", "secret", "token")
+HIDDEN = "[redacted]"
 #: White space, by Unicode's list.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+def _folded(text: Column) -> Column:
+    """The text with A-Z in lower case, of the same length."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _around(text: Column, separators: str) -> Column:
+    """The text as an array of its separators (one character each) and what stands between them."""
+    return F.split(text, f"(?<=[{separators}])|(?=[{separators}])")
+
+
+def _without_value(item: Column) -> Column:
+    """An item ``...name=value`` of a secret name with its value hidden."""
+    parts = F.split(item, "=")
+    n = F.size(parts)
+    named = lambda i: F.exists(F.array(*map(F.lit, SECRET_NAMES)), lambda s: _folded(F.get(parts, i)).endswith(s))
+    valued = lambda i: (n - i > 2) | (F.get(parts, i + 1) != "")
+    at = F.get(F.filter(F.sequence(F.lit(0), n - 2), lambda i: named(i) & valued(i)), 0)
+    hidden = F.concat(F.array_join(F.slice(parts, F.lit(1), at + 1), "="), F.lit(f"={HIDDEN}"))
+    return F.when(item.contains("="), F.coalesce(hidden, item)).otherwise(item)
+
+
+def _without_header(line: Column) -> Column:
+    """A line with an authorization header, without what follows it."""
+    at = F.instr(_folded(line), "authorization:")
+    rest = F.substring(line, at + len("authorization:"), F.length(line))
+    blank = F.length(rest) - F.length(F.ltrim(rest, F.lit(" \t\f")))
+    hidden = F.concat(F.substring(line, F.lit(1), at + (len("authorization:") - 1) + blank), F.lit(HIDDEN))
+    return F.when((at > 0) & (F.length(rest) > blank), hidden).otherwise(line)
+
+
+def _without_login(part: Column) -> Column:
+    """What follows the two slashes of a URL, with its login (up to the sign) hidden."""
+    login = F.substring_index(part, "@", 1)
+    has = part.contains("@") & (login != "") & ~login.contains("/") & (F.translate(login, " \t\n\f\r", "") == login)
+    return F.when(has, F.concat(F.lit(HIDDEN), F.substring(part, F.length(login) + 1, F.length(part)))).otherwise(part)
+
+
 def redacted(text: Column, limit: int = 4000) -> Column:
     """Details without secrets and outer white space, cut to ``limit`` bytes.
 
-    The value of a secret name ends at the first blank or ampersand, an
-    authorization header at the end of its line, a login in a URL (what stands
-    between the two slashes and an at sign, with no slash or blank) at its sign.
+    The text is split at separators, its pieces are judged by name, and it is
+    put together again. The value of a secret name ends at the first blank or
+    ampersand, an authorization header at the end of its line, a login in a URL
+    (what stands between the two slashes and an at sign, with no slash or
+    blank) at its sign.
     """
-    names = "|".join(SECRET_NAMES)
-    shown = F.regexp_replace(F.btrim(text, F.lit(BLANKS)), rf"(?i)({names})=[^&\s]+", "$1=[redacted]")
-    shown = F.regexp_replace(shown, r"(?i)(authorization:\s*)[^\n\r]+", "$1[redacted]")
-    return cut_bytes(F.regexp_replace(shown, r"(?<=://)[^\s/@]+(?=@)", "[redacted]"), limit)
+    words = F.array_join(F.transform(_around(F.btrim(text, F.lit(BLANKS)), r" \t\n\f\r&"), _without_value), "")
+    lines = F.array_join(F.transform(_around(words, r"\n\r"), _without_header), "")
+    urls = F.split(lines, "://")
+    return cut_bytes(F.array_join(F.transform(urls, lambda part, i: F.when(i > 0, _without_login(part)).otherwise(part)), "://"), limit)
 
 
 def cut_bytes(text: Column, limit: int) -> Column:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from condist.functions.lookup import latest
+from condist.functions.lookup import PART_ROWS, at_or_below, latest, running
+from condist.functions.shared import stored
 from condist.functions.times import DAY
 
 READY_CHUNKS = 10
@@ -19,9 +20,9 @@ READY_DAYS_S = 432_000
 READY_SHARE = 0.95
 
 
-def eligible() -> Column:
+def eligible(override: str = "review_override") -> Column:
     """Chunks that may enter a reference: baseline, good, or bad but accepted by review."""
-    accepted = F.col("review_override").eqNullSafe(True)
+    accepted = F.col(override).eqNullSafe(True)
     return F.col("state").isin("baseline", "good") | ((F.col("state") == "bad") & accepted)
 
 
@@ -53,11 +54,39 @@ def joint_cdf(mass: DataFrame, model: list[str]) -> DataFrame:
     return rows.join(total, model).select(*model, "x", "v", (F.col("all") / F.col("total")).alias("h"))
 
 
-def conditional_points(mass: DataFrame, model: list[str]) -> DataFrame:
-    """Distribution function (v, p) of y at each level x."""
-    w = Window.partitionBy(*model, "x")
-    upto = F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return mass.select(*model, "x", "v", (upto / F.sum("n").over(w)).alias("p"))
+def joint_cdf_at(mass: DataFrame, points: DataFrame, model: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """H(x, v) at asked points (model, x, v) only; points of a model without mass are left out.
+
+    The values v of a model are numbered. The numbers up to a point's are a sum
+    of few blocks of numbers whose sizes are powers of two, and within a block
+    the masses up to the point's x are a running sum. So a mass and a point
+    each become at most as many rows as their numbers have binary digits,
+    instead of a row for each pair of knots.
+    """
+    ranks = running(mass.select(*model, "v").distinct(), model, "v", F.lit(1).cast("long"), part_rows=part_rows)
+    ranks = ranks.select(*model, "v", F.col("_upto").alias("rank"), F.col("_total").alias("values"))
+    # a mass counts in the blocks that a point may ask for: those of even number
+    number = F.col("rank") - 1
+    digits = F.ceil(F.log2(F.col("values") + 1)).cast("int")
+    placed = mass.join(ranks, [*model, "v"]).select(*model, "x", "n", number.alias("_i"), F.explode(F.sequence(F.lit(0), digits)).alias("_b"))
+    placed = placed.select(*model, "x", "n", "_b", F.expr("shiftright(_i, _b)").alias("_block")).where("_block % 2 = 0")
+    asked = points.select(*model, "x", "v").distinct()
+    found = at_or_below(asked, ranks.select(*model, "v", "rank"), model, "v", "_v", part_rows, also=["rank"]).where("_v is not null")
+    upto = F.when(F.col("_v") <= F.col("v"), F.col("rank")).otherwise(0)
+    found = found.select(*model, "x", "v", upto.alias("_r"))
+    blocks = found.where("_r > 0").withColumn("_b", F.explode(F.expr("filter(sequence(0, cast(log2(_r) as int)), b -> shiftright(_r, b) % 2 = 1)")))
+    blocks = blocks.select(*model, "x", "v", "_b", F.expr("shiftright(_r, _b) - 1").alias("_block"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("_order"))
+    both = placed.withColumn("_order", F.lit(0)).unionByName(blocks, allowMissingColumns=True)
+    sums = running(both, [*model, "_b", "_block"], "x", F.col("n"), ["_order"], part_rows).where("_order = 1")
+    sums = sums.groupBy(*model, "x", "v").agg(F.sum("_upto").alias("_h"))
+    total = mass.groupBy(*model).agg(F.sum("n").alias("_all"))
+    return found.join(sums, [*model, "x", "v"], "left").join(total, model).select(*model, "x", "v", (F.coalesce("_h", F.lit(0)) / F.col("_all")).alias("h"))
+
+
+def conditional_points(mass: DataFrame, model: list[str], known: int | None = None) -> DataFrame:
+    """Distribution function (v, p) of y at each level x; ``known`` is a bound on the rows, if there is one."""
+    upto = running(mass.select(*model, "x", "v", "n"), [*model, "x"], "v", F.col("n"), known=known)
+    return upto.select(*model, "x", "v", (F.col("_upto") / F.col("_total")).alias("p"))
 
 
 def validate_points(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,30 +96,50 @@ def validate_points(points: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("points"), (~F.bool_or("bad")).alias("valid"))
 
 
-def near_least(rows: DataFrame, keys: list[str], ulps: int = 5) -> DataFrame:
-    """Rows with ``least``: the least value of v's group, where neighbours within ``ulps`` units in the last place are one group.
+def near_least(rows: DataFrame, keys: list[str], ulps: int = 5) -> tuple[DataFrame, bool]:
+    """Rows (a stored table) with ``least``, and whether any value is not its own.
 
-    Values are ordered within sixteenths of octaves, and what must be known of
-    lower ones (the last value and the last start of a group) is carried over
-    these, so a service with very many values is no single task.
+    ``least`` is the least value of v's group, where neighbours within ``ulps``
+    units in the last place are one group. Values are ordered within sixteenths
+    of octaves, so a service with very many values is no single task. A
+    sixteenth is summed up by its first value, its last, and where its last
+    group starts; a scan over these tells which go on with a group from below.
+    Those are few, as their first value must be that near the last one below,
+    and only if there are any their rows are looked up again.
     """
     v = F.col("v")
     octave = F.floor(F.log2(F.abs(v)) * 16) + 20_000
     rows = rows.withColumn("_o", F.when(v > 0, octave).when(v < 0, -octave).otherwise(0))
     inside, before = Window.partitionBy(*keys, "_o").orderBy("v"), Window.partitionBy(*keys).orderBy("_o")
-    tops = rows.groupBy(*keys, "_o").agg(F.max("v").alias("_top")).withColumn("_top", F.lag("_top").over(before))
-    ulp = F.when(v == 0, 4.9e-324).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.abs(v))) - 52))
-    last = F.coalesce(F.lag("v").over(inside), "_top")
-    starts = rows.join(tops, [*keys, "_o"]).withColumn("_s", F.when(last.isNull() | (v - last > ulps * ulp), v))
-    held = starts.groupBy(*keys, "_o").agg(F.max("_s").alias("_t"))
-    held = held.withColumn("_t", F.last("_t", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.last("_s", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return starts.withColumn("least", own).join(held, [*keys, "_o"]).withColumn("least", F.coalesce("least", "_t")).drop("_o", "_top", "_s", "_t")
+    step = lambda at: ulps * F.when(at == 0, 4.9e-324).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.abs(at))) - 52))
+    gap = v - F.lag("v").over(inside)
+    marked = rows.withColumn("_s", F.when(gap.isNull() | (gap > step(v)), v))
+    own = marked.withColumn("least", F.last("_s", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    own = stored(own.drop("_s"), "ordered")
+    parts = own.groupBy(*keys, "_o").agg(F.min("v").alias("_first"), F.max("v").alias("_last"), F.max("least").alias("_start"), F.bool_or(F.col("least") != v).alias("_near"))
+    joins = F.coalesce(F.col("_first") - F.lag("_last").over(before) <= step(F.col("_first")), F.lit(False))
+    parts = parts.withColumn("_joins", joins)
+    # where the last group of a sixteenth starts, unless it is all of it and goes on from below
+    known = F.when(~(F.col("_joins") & (F.col("_start") == F.col("_first"))), F.col("_start"))
+    parts = parts.withColumn("_below", F.last(known, ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    found = parts.agg(F.bool_or("_joins"), F.bool_or("_near")).first()
+    if not found[0]:
+        return own.drop("_o"), bool(found[1])
+    going_on = parts.where("_joins").select(*keys, "_o", "_first", "_below")
+    out = own.join(going_on, [*keys, "_o"], "left")
+    return out.withColumn("least", F.when(F.col("least") == F.col("_first"), F.col("_below")).otherwise(F.col("least"))).drop("_o", "_first", "_below"), True
 
 
 def coalesce_near(values: DataFrame, keys: list[str], ulps: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sums of n over groups of near values of a key (see ``near_least``), each with its least value; apart for each of ``by``."""
-    return near_least(values, keys, ulps).groupBy(*keys, *by, F.col("least").alias("v")).agg(F.sum("n").alias("n"))
+    """Sums of n over groups of near values of a key (see ``near_least``), each with its least value; apart for each of ``by``.
+
+    ``values`` have one row for each of ``keys``, ``by`` and v, so where no
+    values are near they stay as they are: a stored table.
+    """
+    rows, near = near_least(values.select(*keys, *by, "v", "n"), keys, ulps)
+    if not near:
+        return rows.drop("least")
+    return stored(rows.groupBy(*keys, *by, F.col("least").alias("v")).agg(F.sum("n").alias("n")), "coalesced")
 
 
 def density_grid(mass: DataFrame, model: list[str], width: int, height: int, log_x: bool = False, log_y: bool = False) -> DataFrame:

@@ -6,27 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from condist.functions.lookup import at_or_below, neighbours
+from condist.functions.shared import stored
 from condist.functions.stats import kolmogorov_p, linear, significant
 from condist.operators.model import conditional_points
 
 
-#: Parts over which the probes of one key are dealt by chunk, so that a busy service is no single task.
-SALTS = 4
+def levels(chunks: DataFrame, mass: DataFrame, model: list[str], known: int | None = None) -> DataFrame:
+    """Chunks (with x), the level of x whose condition applies, and how many points that has."""
+    sizes = mass.groupBy(*model, "x").agg(F.count("*").alias("points"))
+    return at_or_below(chunks, sizes, model, "x", "level", also=["points"], known=known)
 
 
-def levels(chunks: DataFrame, mass: DataFrame, model: list[str], salts: int = SALTS) -> DataFrame:
-    """Chunks (with x) and the level of x whose condition applies."""
-    return at_or_below(chunks, mass.select(*model, "x").distinct(), model, "x", "level", F.col("w"), salts)
-
-
-def probabilities(samples: DataFrame, points: DataFrame, model: list[str], chunk: str = "w", salts: int = SALTS) -> DataFrame:
-    """Samples (model, level, chunk, v, c) with f, the reference probability at v.
-
-    A key is one level of one model, and its samples are dealt over ``salts``
-    parts by chunk, at the price of as many copies of its points.
-    """
-    knots = points.withColumnRenamed("x", "level")
-    found = neighbours(samples, knots, [*model, "level"], "v", "p", F.col(chunk), salts)
+def probabilities(samples: DataFrame, points: DataFrame, model: list[str], known: int | None = None) -> DataFrame:
+    """Samples (model, level, chunk, v, c) with f, the reference probability at v."""
+    found = neighbours(samples, points.withColumnRenamed("x", "level"), [*model, "level"], "v", "p", known=known)
     return found.withColumn("f", linear(F.col("v")))
 
 
@@ -44,18 +37,20 @@ def ks(probabilities: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("z", F.col("d") * F.sqrt("entries")).withColumn("p", kolmogorov_p(F.col("z")))
 
 
-def analyse(chunks: DataFrame, samples: DataFrame, mass: DataFrame, model: list[str], salts: int = SALTS) -> DataFrame:
+def analyse(chunks: DataFrame, samples: DataFrame, mass: DataFrame, model: list[str]) -> DataFrame:
     """Verdict of each chunk: model, w, x, level, points, d, z, p, state.
 
     Without a model or points a chunk is baseline; with one point, or no
     samples, it failed; else it is bad if its p-value is significant, or good.
+    Only levels that some chunk needs are made into distribution functions.
+    Samples and mass are best stored tables, as they are counted first.
     """
-    points = conditional_points(mass, model)
-    at = levels(chunks, mass, model, salts)
-    sizes = points.groupBy(*model, F.col("x").alias("level")).agg(F.count("*").alias("points"))
-    known = at.join(sizes, [*model, "level"], "left")
-    scored = samples.join(known.where("points >= 2").select(*model, "w", "level"), [*model, "w"])
-    tests = ks(probabilities(scored, points, model, "w", salts), [*model, "w"])
+    n = samples.count() + mass.count()
+    known = stored(levels(chunks, mass, model, n), "levels")
+    used = known.where("points >= 2")
+    points = conditional_points(mass.join(used.select(*model, F.col("level").alias("x")).distinct(), [*model, "x"], "left_semi"), model, n)
+    scored = samples.join(used.select(*model, "w", "level"), [*model, "w"])
+    tests = ks(probabilities(scored, points, model, n), [*model, "w"])
     out = known.join(tests, [*model, "w"], "left")
     state = (
         F.when(F.col("points").isNull(), "baseline")

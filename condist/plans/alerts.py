@@ -259,11 +259,24 @@ def cut_sql(text: str, limit: int) -> str:
     return f"CASE WHEN strlen({text}) <= {limit} THEN {text} ELSE decode(unhex(substr(hex(encode({text})), 1, 2 * ({end})))) END"
 
 
-@query(
-    f"""SELECT doc_id, {cut_sql('shown', 4000)} AS details, {cut_sql('text', 2000)} AS error FROM (
-  SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(trim({DETAILS}, {BLANKS_SQL}), '(token|secret|password|authorization)=[^\\s&]+', '\\1=[redacted]', 'gi'),
-    '(authorization:\\s*)[^\\n\\r]+', '\\1[redacted]', 'gi'), '://[^\\s/@]+@', '://[redacted]@', 'g') AS shown FROM documents)"""
-)
+SHOWN_SQL = f"""
+SELECT doc_id, text, string_agg(CASE WHEN k > 1 AND contains(part, '@') AND login <> '' AND NOT regexp_matches(login, '[/ \t\n\f\r]') THEN '[redacted]' || substr(part, length(login) + 1) ELSE part END, '://' ORDER BY k) AS shown FROM (
+  SELECT doc_id, text, k, part, string_split(part, '@')[1] AS login FROM (
+    SELECT doc_id, text, unnest(string_split(shown, '://')) AS part, generate_subscripts(string_split(shown, '://'), 1) AS k FROM (
+      SELECT doc_id, any_value(text) AS text, string_agg(CASE WHEN contains(lower(line), 'authorization:') AND ltrim(split_part(lower(line), 'authorization:', 2), ' ') <> '' THEN
+          left(line, position('authorization:' IN lower(line)) + 13) || '[redacted]' ELSE line END, chr(10) ORDER BY l) AS shown FROM (
+        SELECT doc_id, l, any_value(text) AS text, string_agg(CASE WHEN hit IS NULL THEN item ELSE array_to_string(list_slice(string_split(item, '='), 1, hit), '=') || '=[redacted]' END || sep, '' ORDER BY k) AS line FROM (
+          SELECT *, list_min(list_filter(range(1, len(string_split(item, '='))), lambda j: ({{named}}) AND (len(string_split(item, '=')) - j > 1 OR string_split(item, '=')[j + 1] <> ''))) AS hit FROM (
+            SELECT doc_id, text, l, unnest(regexp_split_to_array(line, '[ &\t\f\r]')) AS item, generate_subscripts(regexp_split_to_array(line, '[ &\t\f\r]'), 1) AS k, unnest(list_append(regexp_extract_all(line, '[ &\t\f\r]'), '')) AS sep FROM (
+              SELECT doc_id, text, unnest(string_split(details, chr(10))) AS line, generate_subscripts(string_split(details, chr(10)), 1) AS l
+              FROM (SELECT doc_id, text, trim({DETAILS}, {BLANKS_SQL}) AS details FROM documents))))
+        GROUP BY doc_id, l)
+      GROUP BY doc_id)))
+GROUP BY doc_id, text"""
+SHOWN_SQL = SHOWN_SQL.replace("{named}", " OR ".join(f"ends_with(lower(string_split(item, '=')[j]), '{n}')" for n in a.SECRET_NAMES))
+
+
+@query(f"SELECT doc_id, {cut_sql('shown', 4000)} AS details, {cut_sql('text', 2000)} AS error FROM ({SHOWN_SQL})")
 def sanitize_details(spark: E, d: str) -> DataFrame:
     """Details as an alert shows them, and the error text as the backlog keeps it."""
     i = F.col("doc_id").cast("string")
@@ -297,7 +310,7 @@ LEFT JOIN (SELECT service, w, count(*) AS trailing FROM win WHERE us >= w - 3000
 WHERE a.state = 'bad'"""
 )
 def alert_evidence(spark: E, d: str) -> DataFrame:
-    points = model.conditional_points(v.mass(spark, d), v.MODEL)
+    points = model.conditional_points(v.published(spark, d), v.MODEL)
     hits = bad(spark, d)
     out = ev.evidence(hits, v.score_samples(spark, d), points, v.KEY)
     events = v.obs(spark, d).select("service", "us", F.col("value").alias("v"))
@@ -312,7 +325,7 @@ FROM ys y JOIN analysis a USING (service, w) WHERE a.state = 'bad'"""
 )
 def cdf_comparison(spark: E, d: str) -> DataFrame:
     hits = bad(spark, d)
-    points = model.conditional_points(v.mass(spark, d), v.MODEL).withColumnRenamed("x", "level")
+    points = model.conditional_points(v.published(spark, d), v.MODEL).withColumnRenamed("x", "level")
     expected = hits.join(points.withColumnRenamed("p", "q"), ["service", "level"]).select(*v.KEY, "v", F.col("q").alias("p"))
     actual = v.score_samples(spark, d).join(hits, v.KEY, "left_semi")
     return ev.comparison(expected, actual, v.KEY).select(*v.KEY, "series", r9("v").alias("v"), r9("p").alias("p"))

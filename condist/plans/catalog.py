@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from condist.plans import alerts, core, live, operations  # noqa: F401  (register their queries)
+from condist.plans import alerts, core, live, operations, store, versions  # noqa: F401  (register their queries)
 from condist.plans.registry import QUERIES, SQL
 
 

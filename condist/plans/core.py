@@ -308,14 +308,28 @@ def joint_ecdf(spark: E, d: str) -> DataFrame:
     return model.joint_cdf(v.published(spark, d), v.MODEL).select("service", "x", r9("v").alias("v"), r9("h").alias("h"))
 
 
+@query(
+    """SELECT service, x, round(v, 9) AS v, round(upto / total, 9) AS h FROM (
+  SELECT service, x, v, total, n, sum(run) OVER (PARTITION BY service, v ORDER BY x) AS upto FROM (
+    SELECT gx.service, gx.x, gv.v, t.total, m.n, sum(coalesce(m.n, 0)) OVER (PARTITION BY gx.service, gx.x ORDER BY gv.v) AS run
+    FROM (SELECT DISTINCT service, x FROM mass) gx JOIN (SELECT DISTINCT service, v FROM mass) gv ON gx.service = gv.service
+    JOIN (SELECT service, sum(n) AS total FROM mass GROUP BY service) t ON t.service = gx.service
+    LEFT JOIN mass m ON m.service = gx.service AND m.x = gx.x AND m.v = gv.v)) WHERE n IS NOT NULL"""
+)
+def joint_ecdf_points(spark: E, d: str) -> DataFrame:
+    """The joint distribution function at the pairs that have mass, without the grid of all knots."""
+    m = v.published(spark, d)
+    return model.joint_cdf_at(m, m, v.MODEL).select("service", "x", r9("v").alias("v"), r9("h").alias("h"))
+
+
 @query("SELECT service, x, round(v, 9) AS v, round(p, 9) AS p FROM points")
 def conditional_cdf(spark: E, d: str) -> DataFrame:
-    return model.conditional_points(v.mass(spark, d), v.MODEL).select("service", "x", r9("v").alias("v"), r9("p").alias("p"))
+    return model.conditional_points(v.published(spark, d), v.MODEL).select("service", "x", r9("v").alias("v"), r9("p").alias("p"))
 
 
 @query("SELECT service, x, count(*) AS points, bool_and(p >= 0 AND p <= 1) AS valid FROM points GROUP BY service, x")
 def cdf_validate(spark: E, d: str) -> DataFrame:
-    return model.validate_points(model.conditional_points(v.mass(spark, d), v.MODEL), ["service", "x"])
+    return model.validate_points(model.conditional_points(v.published(spark, d), v.MODEL), ["service", "x"])
 
 
 NEAR = "v * (1 + CASE WHEN n % 2 = 0 THEN 2.220446049250313e-16 ELSE 0 END)"
@@ -323,15 +337,15 @@ NEAR = "v * (1 + CASE WHEN n % 2 = 0 THEN 2.220446049250313e-16 ELSE 0 END)"
 
 @query(
     """SELECT service, round(min(v), 9) AS v, CAST(sum(n) AS BIGINT) AS n FROM (
-  SELECT *, sum(CASE WHEN v - p > 5 * pow(2, floor(log2(abs(v))) - 52) THEN 1 ELSE 0 END) OVER (PARTITION BY service ORDER BY v ROWS UNBOUNDED PRECEDING) AS g
+  SELECT *, sum(CASE WHEN v - p > 5 * CASE WHEN v = 0 THEN 4.9e-324 ELSE pow(2, floor(log2(abs(v))) - 52) END THEN 1 ELSE 0 END) OVER (PARTITION BY service ORDER BY v ROWS UNBOUNDED PRECEDING) AS g
   FROM (SELECT *, lag(v) OVER (PARTITION BY service ORDER BY v) AS p FROM (
-    SELECT service, v * (1 + CASE WHEN x % 2 = 0 THEN 2.220446049250313e-16 ELSE 0 END) AS v, sum(n) AS n FROM mass WHERE v > 0 GROUP BY 1, 2)))
+    SELECT service, v * (1 + CASE WHEN x % 2 = 0 THEN 2.220446049250313e-16 ELSE 0 END) AS v, sum(n) AS n FROM mass GROUP BY 1, 2)))
 GROUP BY service, g"""
 )
 def ulp_coalesce(spark: E, d: str) -> DataFrame:
     """Response values, those of even loads shifted by one unit in the last place, brought together again."""
     shifted = F.col("v") * (1 + F.when(F.col("x") % 2 == 0, 2.220446049250313e-16).otherwise(0.0))
-    values = v.mass(spark, d).where("v > 0").groupBy("service", shifted.alias("v")).agg(F.sum("n").alias("n"))
+    values = v.mass(spark, d).groupBy("service", shifted.alias("v")).agg(F.sum("n").alias("n"))
     return model.coalesce_near(values, v.MODEL).withColumn("v", r9("v"))
 
 
@@ -352,14 +366,14 @@ JOIN (SELECT service, v, line, (least(lo * exp((line + 1) / 128 * ln(hi / lo)),
 GROUP BY 1, 2, 3"""
 
 
-@query(f"SELECT service, row, col, round(mass, 9) AS mass FROM ({GRID}) WHERE mass > 1e-12")
+@query(f"SELECT service, row, col, round(mass, 9) AS mass FROM ({GRID})")
 def density_grid(spark: E, d: str) -> DataFrame:
-    return grid(spark, d).where("mass > 1e-12").select("service", F.col("row").cast("long").alias("row"), F.col("col").cast("int").alias("col"), r9("mass").alias("mass"))
+    return grid(spark, d).select("service", F.col("row").cast("long").alias("row"), F.col("col").cast("int").alias("col"), r9("mass").alias("mass"))
 
 
-@query(f"SELECT service, row, col, round(pow(mass / max(mass) OVER (PARTITION BY service), 0.55), 6) AS level FROM ({GRID}) WHERE mass > 1e-12")
+@query(f"SELECT service, row, col, round(pow(mass / max(mass) OVER (PARTITION BY service), 0.55), 6) AS level FROM ({GRID})")
 def normalize_masses(spark: E, d: str) -> DataFrame:
-    levels = model.normalised(grid(spark, d).where("mass > 1e-12"), v.MODEL)
+    levels = model.normalised(grid(spark, d), v.MODEL)
     return levels.select("service", F.col("row").cast("long").alias("row"), F.col("col").cast("int").alias("col"), F.round("level", 6).alias("level"))
 
 
@@ -471,7 +485,7 @@ def time_of_day_analysis(spark: E, d: str) -> DataFrame:
 
 def tod_analysed(spark: E, d: str) -> DataFrame:
     y = v.stored(v.tod_samples(spark, d, f"ts > {v.TRAIN_TS}"), "tod-chunks")
-    return scoring.analyse(v.tod_chunks(y), y, v.stored(v.tod_mass(spark, d), "tod-model"), v.MODEL)
+    return scoring.analyse(v.tod_chunks(y), y, v.tod_mass(spark, d), v.MODEL)
 
 
 @query(
@@ -480,7 +494,7 @@ def tod_analysed(spark: E, d: str) -> DataFrame:
 )
 def verdict_state(spark: E, d: str) -> DataFrame:
     """Outcomes by service where one service has no model and some windows of another have no samples."""
-    m = v.mass(spark, d).where("service <> 'click'")
+    m = v.published(spark, d).where("service <> 'click'")
     y = v.score_samples(spark, d).where("not (service = 'view' and w % 7 = 0)")
     return scoring.analyse(v.score_chunks(spark, d), y, m, v.MODEL).groupBy("service", "state").agg(F.count("*").alias("chunks"))
 

@@ -68,16 +68,17 @@ def mass(spark: SparkSession, d: str) -> DataFrame:
     """Joint mass of the reference windows.
 
     A window has one load, the number of its events, so the mass needs no join
-    of loads with responses: the load is a sum over the window's samples.
+    of loads with responses: the load is a sum over the window's samples. The
+    events are dealt by window once, for counting and for that sum.
     """
     load = F.sum("c").over(Window.partitionBy(*KEY)).cast("double")
-    y = ys(spark, d, f"ts <= {TRAIN_TS}").withColumn("x", load)
-    return y.groupBy(*MODEL, "x", "v").agg(F.sum("c").alias("n"))
+    rows = win(spark, d).where(f"ts <= {TRAIN_TS}").select(*KEY, "value").repartition(*KEY)
+    return samples.count_samples(rows, KEY).withColumn("x", load).groupBy(*MODEL, "x", "v").agg(F.sum("c").alias("n"))
 
 
 def published(spark: SparkSession, d: str) -> DataFrame:
     """The joint mass as a published model: near values brought together, built once, read by level lookup, point counts and interpolation."""
-    return stored(model.coalesce_near(mass(spark, d), MODEL, by=("x",)), "model")
+    return model.coalesce_near(mass(spark, d), MODEL, by=("x",))
 
 
 def tod_samples(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
@@ -117,6 +118,7 @@ SELECT service, w, max(greatest(abs(f - (cum - 1) / n), abs(cum / n - f))) AS d,
   max(greatest(abs(f - (cum - 1) / n), abs(cum / n - f))) * sqrt(count(*)) AS z
 FROM (SELECT *, sum(c) OVER (PARTITION BY service, w ORDER BY v) AS cum, sum(c) OVER (PARTITION BY service, w) AS n FROM interp)
 GROUP BY service, w"""
+# fixed values: limits and constants of the Kolmogorov series, as in functions/stats.py
 VIEWS["pvalue"] = """
 SELECT *, CASE WHEN z < 0.2 THEN 1.0
   WHEN z < 0.755 THEN 1 - 2.50662827 * (exp(-1.2337005501361697 / (z*z)) + exp(9 * -1.2337005501361697 / (z*z)) + exp(25 * -1.2337005501361697 / (z*z))) / z

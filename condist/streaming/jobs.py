@@ -1,33 +1,45 @@
 """Structured Streaming jobs over the same functions as the batch queries.
 
-Chunks close when the watermark passes their end; what arrives later than the
-watermark allows is left to ``recovered``, which finds those windows again and
-marks them. Batches that a sink writes go to folders by their number, so one
+A job has a folder: its checkpoint and its output are there, so a job that was
+stopped, or that failed, is started again with the same folder and goes on
+where it was. Batches that a sink writes go to folders by their number, so one
 that is replayed after a failure replaces what it wrote.
+
+Chunks close when the watermark passes their end. What arrives later than the
+watermark allows is kept with the other arrivals; ``recovered`` finds the
+windows that it belongs to, and ``rewritten`` makes their chunks again, until
+a day after they were closed. Then they are gaps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from condist.functions.shared import shared_folder
-from condist.functions.stats import severity
 from condist.functions.times import DAY
-from condist.operators.alerts import numbered
 
 LATE = "24 hours"
 KEYS = ["service", "indicator"]
-#: Firing alert of each key and the number of its occurrences.
-STATE = "service string, indicator int, alert long, count long"
 
 
-def finished(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append", sink: Callable | None = None) -> DataFrame:
-    """Run a stream over what is there now and return what it wrote."""
-    path, state = shared_folder(spark, name), shared_folder(spark, f"{name}-state")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+def files(spark: SparkSession, schema: str, path: str, per_batch: int | None = None) -> DataFrame:
+    """Parquet files of a folder as a stream, oldest first, at most ``per_batch`` of them at a time."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(path)
+
+
+def finished(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append", sink: Callable | None = None, folder: str | None = None) -> DataFrame:
+    """Run a stream over what is there now and return all that its job wrote, in this run and in earlier ones of that folder.
+
+    ``sink`` takes a batch, the output's path and the batch's number, and
+    writes below ``batch=<number>``.
+    """
+    folder = folder or shared_folder(spark, name)
+    path = f"{folder}/rows"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if sink:
         writer = writer.foreachBatch(lambda batch, number: sink(batch, path, number))
     else:
@@ -49,26 +61,36 @@ def current_generation(stream: DataFrame, services: DataFrame) -> DataFrame:
     return stream.join(services.select("service", "generation"), ["service", "generation"])
 
 
-def recovered(observations: DataFrame, closed: DataFrame, interval_us: int, now_us: int, late_us: int = DAY) -> DataFrame:
-    """Windows (service, w) whose stored observations are more than their closed chunks have, with what becomes of them.
+def recovered(observations: DataFrame, closed: DataFrame, interval_us: int, clock_us: int, late_us: int = DAY, expiry_us: int = DAY) -> DataFrame:
+    """Windows (service, w) that are closed but whose stored observations are more than their chunks have, with what becomes of them.
 
-    ``state`` is recovered where the window ended within ``late_us`` of now: its
-    chunk is to be written again, as a historical one. Else it is a gap.
+    A window is closed ``late_us`` after its end. ``state`` is recovered within
+    ``expiry_us`` of that: its chunk is to be written again, as a historical
+    one. Else it is a gap.
     """
-    end = F.floor((F.col("us") + interval_us - 1) / interval_us) * interval_us
-    there = observations.groupBy("service", end.alias("w")).agg(F.count("*").alias("stored"))
+    end = F.expr(f"(us + {interval_us} - 1) div {interval_us} * {interval_us}")
+    there = observations.groupBy("service", end.alias("w")).agg(F.count("*").alias("stored")).where(F.col("w") + late_us <= clock_us)
     have = closed.groupBy("service", "w").agg(F.sum("c").alias("chunked"))
     short = there.join(have, ["service", "w"], "left").where(F.col("stored") > F.coalesce("chunked", F.lit(0)))
-    state = F.when(F.col("w") + late_us > now_us, "recovered").otherwise("gap")
+    state = F.when(F.col("w") + late_us + expiry_us > clock_us, "recovered").otherwise("gap")
     return short.select("service", "w", (F.col("stored") - F.coalesce("chunked", F.lit(0))).alias("late"), state.alias("state"), F.lit(True).alias("historical"))
 
 
+def rewritten(observations: DataFrame, closed: DataFrame, found: DataFrame, interval_us: int) -> DataFrame:
+    """Closed chunks (service, w, v, c, historical) with those of recovered windows made again from all stored observations."""
+    again = found.where("state = 'recovered'").select("service", "w")
+    end = F.expr(f"(us + {interval_us} - 1) div {interval_us} * {interval_us}")
+    fresh = observations.withColumn("w", end).join(again, ["service", "w"], "left_semi").groupBy("service", "w", F.col("value").alias("v")).agg(F.count("*").alias("c"))
+    kept = closed.join(again, ["service", "w"], "left_anti").select("service", "w", "v", "c", F.lit(False).alias("historical"))
+    return kept.unionByName(fresh.withColumn("historical", F.lit(True)))
+
+
 def deduplicated(stream: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:
     """The first row of each key within the watermark."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def scored(stream: DataFrame, spark: SparkSession, analyse: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def scored(stream: DataFrame, spark: SparkSession, analyse: Callable[[DataFrame, DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
     """Verdicts of closed chunks: each micro-batch of samples goes through the batch analysis with the current model."""
 
     def sink(batch: DataFrame, path: str, number: int) -> None:
@@ -77,45 +99,4 @@ def scored(stream: DataFrame, spark: SparkSession, analyse: Callable[[DataFrame,
         analyse(loads, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
         batch.unpersist()
 
-    return finished(stream, spark, "scored", sink=sink)
-
-
-def alert_updates(verdicts: DataFrame, state: DataFrame, threshold: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Updates of alert conditions by a batch of verdicts (service, indicator, us, id, state), and the state after it.
-
-    Verdicts are taken in event-time order. Those between two good ones belong
-    to one alert; what comes before the first good one goes on with the alert
-    of ``state``.
-    """
-    rows = numbered(verdicts.where("state in ('good', 'bad')").withColumn("ends", F.col("state") == "good"), KEYS)
-    stretch = Window.partitionBy(*KEYS, "island").orderBy("us", "id").rowsBetween(Window.unboundedPreceding, 0)
-    bad = F.when(F.col("state") == "bad", F.col("id"))
-    first = F.first(bad, ignorenulls=True).over(stretch)
-    runs = rows.withColumn("n", F.count(bad).over(stretch)).withColumn("opened", first)
-    before = state.select(*KEYS, F.col("alert").alias("_alert"), F.col("count").alias("_count"), F.lit(0).cast("long").alias("island"))
-    runs = runs.join(before, [*KEYS, "island"], "left")
-    count, alert = F.col("n") + F.coalesce("_count", F.lit(0)), F.coalesce("_alert", "opened")
-    known = runs.select(*KEYS, "island", "state", alert.alias("alert"), count.alias("occurrences"), "us").where("alert is not null")
-    status = F.when(F.col("state") == "bad", "firing").otherwise("resolved")
-    updates = known.select(*KEYS, "alert", "occurrences", severity(F.col("occurrences"), threshold).alias("severity"), status.alias("status"), "us")
-    # firing after the batch: the last stretch, if it has an alert and no end
-    last = rows.groupBy(*KEYS).agg((F.max("island") + F.max_by("ends", F.struct("us", "id")).cast("long")).alias("island"))
-    open_ = known.where("state = 'bad'").groupBy(*KEYS, "island").agg(F.max("alert").alias("alert"), F.max("occurrences").alias("count"))
-    fresh = open_.join(last, [*KEYS, "island"], "left_semi").select(*KEYS, "alert", "count")
-    # without an end in the batch and without a bad verdict, a key's state stays as it was
-    ended = rows.where("ends").select(*KEYS).distinct()
-    kept = state.join(ended, KEYS, "left_anti").join(fresh.select(*KEYS), KEYS, "left_anti")
-    return updates, fresh.unionByName(kept.select(*KEYS, "alert", "count"))
-
-
-def alert_stream(verdicts: DataFrame, spark: SparkSession, threshold: int = 3) -> DataFrame:
-    """All updates of alert conditions by a stream of verdicts; the state between batches is a small table."""
-    states = shared_folder(spark, "alert-states")
-
-    def sink(batch: DataFrame, path: str, number: int) -> None:
-        before = spark.read.schema(STATE).parquet(f"{states}/{number - 1}") if number else spark.createDataFrame([], STATE)
-        updates, after = alert_updates(batch, before, threshold)
-        updates.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        after.write.mode("overwrite").parquet(f"{states}/{number}")
-
-    return finished(verdicts, spark, "alerts", sink=sink)
+    return finished(stream, spark, "scored", sink=sink, folder=folder)

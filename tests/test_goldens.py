@@ -13,7 +13,6 @@ from condist.functions.lookup import at_or_below, neighbours
 from condist.operators import alerts, evidence, health, model, notify, recovery, samples, scoring, services, upsert, windows
 from condist.plans import views
 from condist.sources import metrics
-from condist.streaming import jobs
 
 
 def rows(df, *columns):
@@ -45,8 +44,8 @@ def test_interpolation(spark):
     knots = spark.createDataFrame([(1, 1.0, 0.1), (1, 2.0, 0.2), (1, 10.0, 1.0)], "k int, v double, p double")
     want = {-1.0: 0.0, 0.5: 0.0, 1.0: 0.1, 1.25: 0.125, 2.0: 0.2, 5.0: 0.5, 10.0: 1.0, 12.0: 1.0}
     probes = spark.createDataFrame([(1, v, i) for i, v in enumerate(want)], "k int, v double, n int")
-    for salts in (1, 3):
-        out = neighbours(probes, knots, ["k"], "v", "p", F.col("n"), salts).withColumn("f", stats.linear(F.col("v")))
+    for part_rows in (1000, 3, 1):
+        out = neighbours(probes, knots, ["k"], "v", "p", part_rows).withColumn("f", stats.linear(F.col("v")))
         assert {r.v: round(r.f, 12) for r in out.collect()} == want
 
 
@@ -217,6 +216,37 @@ def test_severity_and_redaction(spark):
     assert spark.createDataFrame([("\u3000 a\u2003b\xa0",)], "t string").select(alerts.redacted(F.col("t")).alias("t")).first().t == "a\u2003b"
 
 
+REDACTED = [
+    ("GET https://ann:pw1@host.example/api?token=abc Authorization: Bearer xyz", "GET https://[redacted]@host.example/api?token=[redacted] Authorization: [redacted]"),
+    ("Password=a=b&x=1", "Password=[redacted]&x=1"),
+    ("mytoken=1;secret=2 z", "mytoken=[redacted] z"),
+    ("token= next=1 a=token", "token= next=1 a=token"),
+    ("token==v x=token=w", "token=[redacted] x=token=[redacted]"),
+    ("AUTHORIZATION:\t abc def\nauthorization: \nrest", "AUTHORIZATION:\t [redacted]\nauthorization: \nrest"),
+    ("İ authorization: x", "İ authorization: [redacted]"),
+    ("a://b/c@d e://f@g@h i://j k@l ://@m", "a://b/c@d e://[redacted]@g@h i://j k@l ://@m"),
+    ("secret=é\tsecret=\x0bq", "secret=[redacted]\tsecret=[redacted]"),
+    ("", ""),
+    (None, None),
+]
+
+
+def test_redaction_cases(spark):
+    df = spark.createDataFrame(REDACTED, "t string, want string").select(alerts.redacted(F.col("t")).alias("got"), "want")
+    assert [r.got for r in df.collect()] == [w for _, w in REDACTED]
+
+
+def test_one_alert_that_does_not_end(spark):
+    """Numbers and the first id are carried over stretches; no window holds the whole alert."""
+    n = 20_000
+    rows_ = spark.range(n).select(F.lit("s").alias("k"), (F.col("id") * 1000).alias("us"), "id", (F.col("id") % 2 == 0).alias("occurs"), F.lit(False).alias("ends"))
+    out = alerts.occurrences(rows_, ["k"], stretch=1_000_000)
+    got = out.agg(F.count("*"), F.max("n"), F.min("alert"), F.max("alert"), F.count_if(F.col("n") != F.col("id") / 2 + 1)).first()
+    assert tuple(got) == (n // 2, n // 2, 0, 0, 0)
+    partitioned = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in line and "windowspec" in line]
+    assert partitioned and all("_s#" in line for line in partitioned)
+
+
 def test_islands_partition_events(spark):
     seq = "b.bbg.gb.gbbbb"
     events = spark.createDataFrame([("s", i * 40 * 86_400_000_000, i, c == "b", c == "g", "r") for i, c in enumerate(seq)], "k string, us long, id long, occurs boolean, ends boolean, reason string")
@@ -312,23 +342,6 @@ def test_entry_and_names(spark):
     assert e.entry(spark).count() > 0
 
 
-def test_alert_updates_do_not_depend_on_batches(spark):
-    import random
-
-    rng = random.Random(4)
-    data = [(rng.choice("ab"), 1, us, us, rng.choice(["bad", "bad", "good", "failed"])) for us in range(60)]
-    columns = "service string, indicator int, us long, id long, state string"
-    none = spark.createDataFrame([], jobs.STATE)
-    whole, end = jobs.alert_updates(spark.createDataFrame(data, columns), none)
-    got, state = [], none
-    for k in range(0, 60, 20):
-        part, state = jobs.alert_updates(spark.createDataFrame(data[k : k + 20], columns), state)
-        got += part.collect()
-        state = spark.createDataFrame(state.collect(), jobs.STATE)
-    assert sorted(map(tuple, got)) == sorted(map(tuple, whole.collect())) and len(got) > 20
-    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, end.collect()))
-
-
 def test_missing_chunks_raise(spark):
     chunks = spark.createDataFrame([(1, "x")], "k int, body string")
     assert upsert.read_chunks(chunks, spark.createDataFrame([(1,)], "k int"), ["k"]).first().body == "x"
@@ -353,4 +366,4 @@ def test_near_values_against_plain_code(spark, bases, steps):
         start = x if i == 0 or x - values[i - 1] > 5 * ulp else start
         want[x] = start
     df = spark.createDataFrame([(1, x, 1) for x in values], "k int, v double, n long")
-    assert {r.v: r.least for r in model.near_least(df, ["k"]).collect()} == want
+    assert {r.v: r.least for r in model.near_least(df, ["k"])[0].collect()} == want
