@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condist.llm.scratch import shared_path
+from condist.llm.scratch import shared_path, written
 from condist.llm.tokens import byte_strings, flat, slices
 
 LIMIT = 2048
@@ -203,7 +203,8 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str | None = None, limi
     fresh = missing(rows.select("content", "text"), stored(spark, cache, of)).mapInArrow(lambda b: _counted(b, path), "content binary, n_tokens long")
     fresh.withColumn("version", F.lit(of)).write.mode("append").partitionBy("version").parquet(cache)
     sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
-    found = sizes.join(stored(spark, cache, of), "content", "left")
+    # as a table, so that Spark can split the rows of a content that very many documents share
+    found = sizes.join(written(stored(spark, cache, of), "counts"), "content", "left")
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
