@@ -64,7 +64,7 @@ def joint_cdf_at(mass: DataFrame, points: DataFrame, model: list[str], part_rows
     instead of a row for each pair of knots.
     """
     ranks = running(mass.select(*model, "v").distinct(), model, "v", F.lit(1).cast("long"), part_rows=part_rows)
-    ranks = ranks.select(*model, "v", F.col("_upto").alias("rank"), F.col("_total").alias("values"))
+    ranks = stored(ranks.select(*model, "v", F.col("_upto").alias("rank"), F.col("_total").alias("values")), "ranks")
     # a mass counts in the blocks that a point may ask for: those of even number
     number = F.col("rank") - 1
     digits = F.ceil(F.log2(F.col("values") + 1)).cast("int")
@@ -73,10 +73,10 @@ def joint_cdf_at(mass: DataFrame, points: DataFrame, model: list[str], part_rows
     asked = points.select(*model, "x", "v").distinct()
     found = at_or_below(asked, ranks.select(*model, "v", "rank"), model, "v", "_v", part_rows, also=["rank"]).where("_v is not null")
     upto = F.when(F.col("_v") <= F.col("v"), F.col("rank")).otherwise(0)
-    found = found.select(*model, "x", "v", upto.alias("_r"))
+    found = stored(found.select(*model, "x", "v", upto.alias("_r")), "asked")
     blocks = found.where("_r > 0").withColumn("_b", F.explode(F.expr("filter(sequence(0, cast(log2(_r) as int)), b -> shiftright(_r, b) % 2 = 1)")))
     blocks = blocks.select(*model, "x", "v", "_b", F.expr("shiftright(_r, _b) - 1").alias("_block"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("_order"))
-    both = placed.withColumn("_order", F.lit(0)).unionByName(blocks, allowMissingColumns=True)
+    both = stored(placed.withColumn("_order", F.lit(0)).unionByName(blocks, allowMissingColumns=True), "blocks")
     sums = running(both, [*model, "_b", "_block"], "x", F.col("n"), ["_order"], part_rows).where("_order = 1")
     sums = sums.groupBy(*model, "x", "v").agg(F.sum("_upto").alias("_h"))
     total = mass.groupBy(*model).agg(F.sum("n").alias("_all"))

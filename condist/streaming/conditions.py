@@ -53,7 +53,7 @@ class Conditions(StatefulProcessor):
         elif self.firing.exists():
             self.firing.clear()
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: object) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         alert, count, us = self.firing.get() if self.firing.exists() else (0, 0, 0)
         news = False
         for at, number, occurs, ends, reason in sorted((r.us, r.id, r.occurs, r.ends, r.reason) for r in rows if r.occurs or r.ends):
@@ -67,13 +67,13 @@ class Conditions(StatefulProcessor):
         if news:
             self._keep(alert, count, us)
 
-    def handleExpiredTimer(self, key: tuple, timer_values: object, expired: object) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         if self.firing.exists():
             alert, count, _ = self.firing.get()
-            us = expired.getExpiryTimeInMs() * 1000
+            us = expiredTimerInfo.getExpiryTimeInMs() * 1000
             yield self._update(key, alert, count, "refresh", None, us)
             # the next one falls due after what the watermark has reached, so idle time is one row, not one for every two minutes
-            self._keep(alert, count, max(us, timer_values.getCurrentWatermarkInMs() * 1000))
+            self._keep(alert, count, max(us, timerValues.getCurrentWatermarkInMs() * 1000))
 
     def close(self) -> None:
         pass

@@ -68,7 +68,7 @@ def test_a_large_key_is_dealt_and_a_small_one_is_not(spark, knots):
     assert lookup.dealt(table(spark, knots, "k string, v double, p double"), ["k"], "v", known=400)[1] is False
 
 
-@pytest.mark.parametrize("part_rows", [10_000, 11])
+@pytest.mark.parametrize("part_rows", [10_000, 40])
 def test_dominance_sums(spark, part_rows):
     draw = random.Random(5)
     mass = {}

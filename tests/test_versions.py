@@ -30,7 +30,7 @@ def learned(spark):
             samples += [(service, 1, w, v * (1 + (w % 2) * 2.0**-52), c) for v, c in values.items()]
             if w % 4 == 0:
                 reviews.append((service, 1, w, w + 15, True))
-            if w % 8 == 0:
+            if w % 12 == 0:
                 reviews.append((service, 1, w, w + 35, False))
     services = [("a", 1, 0), ("b", 1, 0), ("b", 2, 45)]
     frames = (
