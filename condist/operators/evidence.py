@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from condist.functions.lookup import running
+from condist.functions.shared import stored
 from condist.functions.times import SECOND
 from condist.operators.samples import weighted_mean
 
 TRAIL = 300 * SECOND
+#: Pieces of a density that are one row.
+BLOCK = 256
 
 
 def trailing(occurrences: DataFrame, samples: DataFrame, keys: list[str], span: int = TRAIL) -> DataFrame:
@@ -43,47 +46,105 @@ def comparison(points: DataFrame, samples: DataFrame, keys: list[str]) -> DataFr
     return points.select(*keys, F.lit("expected").alias("series"), "v", "p").unionByName(actual)
 
 
-def slopes(v: list[float], p: list[float]) -> list[float]:
-    """Slopes at the points of a monotone distribution function, ascending in v.
+def _limited(sign: Column, a: Column, lo: Column, hi: Column) -> Column:
+    """The function s -> min(max(sign * s + a, lo), hi)."""
+    return F.struct(sign.alias("sign"), a.alias("a"), lo.alias("lo"), hi.alias("hi"))
 
-    Going right, each piece hands on what its slope at the left leaves of
-    twice its rise; going left, a point keeps the lesser of that and what the
-    piece at its right leaves. Ends are flat, and so are both ends of a flat
-    piece. All slopes are limited to [0, twice the rise] of the pieces they
-    bound.
+
+def _identity() -> Column:
+    return _limited(F.lit(1.0), F.lit(0.0), F.lit(float("-inf")), F.lit(float("inf")))
+
+
+def _at(f: Column, s: Column) -> Column:
+    return F.least(F.greatest(f["sign"] * s + f["a"], f["lo"]), f["hi"])
+
+
+def _then(f: Column, g: Column) -> Column:
+    """First f, then g: again such a function."""
+    image = lambda x: F.least(F.greatest(g["sign"] * x + g["a"], g["lo"]), g["hi"])
+    low, high = image(f["lo"]), image(f["hi"])
+    return _limited(g["sign"] * f["sign"], g["sign"] * f["a"] + g["a"], F.least(low, high), F.greatest(low, high))
+
+
+def _folded(functions: Column) -> Column:
+    return F.aggregate(functions, _identity(), _then)
+
+
+def _scan(functions: Column, start: Column) -> Column:
+    """The values before each of the functions, and after the last, from ``start``."""
+    step = lambda acc, f: F.concat(acc, F.array(_at(f, F.element_at(acc, -1))))
+    return F.aggregate(functions, F.array(start), step)
+
+
+def entering(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``s``, the value with which each function f of a chain is entered (keys, pos from 0, f), from 0 at the start.
+
+    Functions of ``size`` neighbours are put together to one, and these again,
+    until a chain is short enough for one task; then values go back down.
     """
-    out = [0.0] * len(v)
-    rises = [(q1 - q0) / (v1 - v0) for v0, v1, q0, q1 in zip(v, v[1:], p, p[1:], strict=False)]
-    for k, rise in enumerate(rises[:-1]):
-        out[k] = min(max(out[k], 0.0), 2 * rise)
-        out[k + 1] = 2 * rise - out[k]
-    for k in range(len(rises) - 1, 0, -1):
-        if rises[k]:
-            out[k + 1] = min(max(out[k + 1], 0.0), 2 * rises[k])
-            out[k] = min(out[k], 2 * rises[k] - out[k + 1])
-    return out
-
-
-def pieces(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Density pieces of each distribution function: x1, x2, rise, and slopes m0, m1 in units of the rise (null if flat).
-
-    Each slope depends on the one before, so a function's points meet in one
-    task, which goes over them twice.
+    longest = rows.agg(F.max("pos")).first()[0]
+    grouped = rows.groupBy(*keys, F.expr(f"pos div {size}").alias("up")).agg(F.array_sort(F.collect_list(F.struct("pos", "f"))).alias("_own"))
+    if longest is None or longest < size:
+        start = grouped.withColumn("s", F.lit(0.0))
+    else:
+        grouped = stored(grouped, "functions")
+        above = entering(grouped.select(*keys, F.col("up").alias("pos"), _folded(F.col("_own.f")).alias("f")), keys, size)
+        start = grouped.join(above.withColumnRenamed("pos", "up"), [*keys, "up"])
+    values = F.arrays_zip(F.col("_own.pos").alias("pos"), F.slice(_scan(F.col("_own.f"), F.col("s")), F.lit(1), F.size("_own")).alias("s"))
+    return start.select(*keys, F.explode(values).alias("_v")).select(*keys, F.col("_v.pos").alias("pos"), F.col("_v.s").alias("s"))
+
+
+def pieces(points: DataFrame, keys: list[str], size: int = BLOCK) -> DataFrame:
+    """Density pieces of each distribution function (v, p): i, x1, x2, rise, and slopes m0, m1 in units of the rise (null if flat).
+
+    Going right, each piece hands on what its slope at the left leaves of twice
+    its rise; going left, a point keeps the lesser of that and what the piece
+    at its right leaves. Ends are flat, and so are both ends of a flat piece.
+    What a piece hands on is its input, turned around and limited; such
+    functions are closed under composition. So both ways are scans over blocks
+    of ``size`` pieces, and a block is one row.
     """
-    names = ["i", "x1", "x2", "rise", "m0", "m1"]
-    key_types = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
-
-    def fold(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ordered = table.sort_by([("v", "ascending"), ("p", "ascending")])
-        v, p = ordered.column("v").to_pylist(), ordered.column("p").to_pylist()
-        m = slopes(v, p)
-        rises = [(p[i + 1] - p[i]) / (v[i + 1] - v[i]) for i in range(len(v) - 1)]
-        part = lambda x, r: x / r if r else None
-        rows = [(i, v[i], v[i + 1], r, part(m[i], r), part(m[i + 1], r)) for i, r in enumerate(rises)]
-        columns = [pa.array([r[k] for r in rows], pa.float64() if k else pa.int32()) for k in range(len(names))]
-        return pa.table([*(pa.array([k.as_py()] * len(rows), k.type) for k in key), *columns], [*keys, *names])
-
-    return points.groupBy(*keys).applyInArrow(fold, f"{key_types}, i int, x1 double, x2 double, rise double, m0 double, m1 double")
+    ranked = running(points.select(*keys, "v", "p"), keys, "v", F.lit(1).cast("long"), ["p"])
+    ranked = ranked.select(*keys, (F.col("_upto") - 1).alias("i"), (F.col("_total") - 1).alias("last"), "v", "p")
+    # a block has its points, one before (for the rise there) and one after (the end of its last piece)
+    own = F.expr(f"i div {size}")
+    places = F.array_compact(F.array(own, F.when((F.col("i") % size == 0) & (own > 0), own - 1), F.when(F.col("i") % size == size - 1, own + 1)))
+    spread = ranked.withColumn("block", F.explode(places))
+    lists = spread.groupBy(*keys, "block", "last").agg(F.array_sort(F.collect_list(F.struct("i", "v", "p"))).alias("_pts"))
+    start = F.col("block") * size
+    rise = lambda a, b: (b["p"] - a["p"]) / (b["v"] - a["v"])
+    both = F.arrays_zip(F.slice("_pts", F.lit(1), F.size("_pts") - 1).alias("a"), F.slice("_pts", F.lit(2), F.size("_pts")).alias("b"))
+    all_rises = F.transform(F.when(F.size("_pts") > 1, both), lambda z: F.struct(z["a"]["i"].alias("i"), z["a"]["v"].alias("x1"), z["b"]["v"].alias("x2"), rise(z["a"], z["b"]).alias("rise")))
+    blocks = lists.withColumn("_all", all_rises).where("_all is not null")
+    blocks = blocks.withColumn("_own", F.filter("_all", lambda z: z["i"] >= start)).withColumn("_before", F.filter("_all", lambda z: z["i"] < start))
+    blocks = stored(blocks.where(F.size("_own") > 0).select(*keys, "block", "last", "_own", F.get("_before.rise", 0).alias("_r0")), "pieces")
+
+    # to the right: all pieces but the last hand on
+    turned = lambda z: _limited(F.lit(-1.0), 2 * z["rise"], F.lit(0.0), 2 * z["rise"])
+    right = F.transform("_own", lambda z: F.when(z["i"] < F.col("last") - 1, turned(z)).otherwise(_identity()))
+    there = entering(blocks.select(*keys, F.col("block").alias("pos"), _folded(right).alias("f")), keys, size)
+    rows = blocks.join(there.withColumnRenamed("pos", "block"), [*keys, "block"]).withColumn("_raw", _scan(right, F.col("s")))
+    limit = lambda x, z: F.least(F.greatest(x, F.lit(0.0)), 2 * z["rise"])
+    # slopes at the left ends after this
+    left = F.transform("_own", lambda z, j: F.when(z["i"] < F.col("last") - 1, limit(F.get("_raw", j), z)).otherwise(F.get("_raw", j)))
+    rows = stored(rows.select(*keys, "block", "last", "_own", "_r0", left.alias("_left")), "slopes")
+
+    # to the left, from the last point's slope of 0
+    back = lambda z, o: F.when(z["rise"] == 0, _limited(F.lit(-1.0), F.lit(0.0), o, o)).otherwise(_limited(F.lit(-1.0), 2 * z["rise"], F.lit(0.0), F.least(2 * z["rise"], o)))
+    behind = F.reverse(F.transform("_own", lambda z, j: back(z, F.get("_left", j))))
+    number = F.expr(f"(last - 1) div {size} - block")
+    here = entering(rows.select(*keys, number.alias("pos"), _folded(behind).alias("f")), keys, size)
+    rows = rows.withColumn("pos", number).join(here, [*keys, "pos"]).withColumn("_b", F.reverse(_scan(behind, F.col("s"))))
+    # _b has the slopes on arrival at each point; a piece limits its right end's, but the first one does not
+    held = lambda x, r: F.when(r == 0, x).otherwise(F.least(F.greatest(x, F.lit(0.0)), 2 * r))
+    right_end = lambda z, j: F.when(z["i"] > 0, held(F.get("_b", j + 1), z["rise"])).otherwise(F.get("_b", j + 1))
+    earlier = lambda j: F.when(j > 0, F.get("_own.rise", j - 1)).otherwise(F.col("_r0"))
+    left_end = lambda z, j: F.when(z["i"] == 0, F.get("_left", j)).when(z["i"] == 1, F.get("_b", j)).otherwise(held(F.get("_b", j), earlier(j)))
+    part = lambda x, r: F.when(r != 0, x / r)
+    out = F.transform(
+        "_own", lambda z, j: F.struct(z["i"].cast("int").alias("i"), z["x1"].alias("x1"), z["x2"].alias("x2"), z["rise"].alias("rise"), part(left_end(z, j), z["rise"]).alias("m0"), part(right_end(z, j), z["rise"]).alias("m1"))
+    )
+    return rows.select(*keys, F.explode(out).alias("_p")).select(*keys, "_p.*")
 
 
 def density(x: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from condist.functions.shared import stored
 from condist.functions.times import DAY
 from condist.operators import alerts as a
 from condist.operators import evidence as ev
@@ -331,10 +332,14 @@ def cdf_comparison(spark: E, d: str) -> DataFrame:
     return ev.comparison(expected, actual, v.KEY).select(*v.KEY, "series", r9("v").alias("v"), r9("p").alias("p"))
 
 
-def expected_pieces(spark: E, d: str) -> DataFrame:
-    hits = bad(spark, d)
+LEVEL = ["service", "level"]
+
+
+def expected_pieces(spark: E, d: str) -> tuple[DataFrame, DataFrame]:
+    """The bad windows, and the density pieces of the levels behind them, each level's once."""
+    hits = stored(bad(spark, d).select("service", "w", "level"), "bad")
     points = model.conditional_points(v.published(spark, d), v.MODEL).withColumnRenamed("x", "level")
-    return ev.pieces(hits.select("service", "w", "level").join(points, ["service", "level"]), v.KEY)
+    return hits, ev.pieces(points.join(hits.select(*LEVEL).distinct(), LEVEL, "left_semi"), LEVEL)
 
 
 VIEWS["rises"] = """
@@ -368,7 +373,8 @@ FROM rises r JOIN slopes a ON a.service = r.service AND a.w = r.w AND a.i = r.i
 @query("SELECT service, w, i, x1, x2, round(rise, 9) AS rise, round(m0, 9) AS m0, round(m1, 9) AS m1 FROM pieces")
 def cdf_density(spark: E, d: str) -> DataFrame:
     """Density pieces of the reference behind each bad window."""
-    return expected_pieces(spark, d).select(*v.KEY, "i", "x1", "x2", *[r9(c).alias(c) for c in ("rise", "m0", "m1")])
+    hits, pieces = expected_pieces(spark, d)
+    return hits.join(pieces, LEVEL).select(*v.KEY, "i", "x1", "x2", *[r9(c).alias(c) for c in ("rise", "m0", "m1")])
 
 
 DENSITY = "5 * (6 - 3 * m0 - 3 * m1) * pow(t, 4) + 4 * (-15 + 8 * m0 + 7 * m1) * pow(t, 3) + 3 * (10 - 6 * m0 - 4 * m1) * t * t + m0"
@@ -383,9 +389,9 @@ DENSITY = "5 * (6 - 3 * m0 - 3 * m1) * pow(t, 4) + 4 * (-15 + 8 * m0 + 7 * m1) *
 )
 def density_samples(spark: E, d: str) -> DataFrame:
     """That density at 65 points, evenly spaced in the logarithm."""
-    pieces = expected_pieces(spark, d)
-    bounds = pieces.groupBy(*v.KEY).agg(F.min("x1").alias("lo"), F.max("x2").alias("hi"))
-    return ev.sampled_density(pieces, bounds, v.KEY, 64).select(*v.KEY, "step", r9("x").alias("x"), r9("density").alias("density"))
+    hits, pieces = expected_pieces(spark, d)
+    bounds = pieces.groupBy(*LEVEL).agg(F.min("x1").alias("lo"), F.max("x2").alias("hi"))
+    return hits.join(ev.sampled_density(pieces, bounds, LEVEL, 64), LEVEL).select(*v.KEY, "step", r9("x").alias("x"), r9("density").alias("density"))
 
 
 # --- notifications -----------------------------------------------------------------------------------------------

@@ -318,6 +318,31 @@ def test_density_against_plain_code(spark, seed):
         assert abs(r.density - plain.density(r.x)) < 1e-9
 
 
+@pytest.mark.parametrize("size", [2, 3, 256])
+def test_slopes_by_blocks(spark, size):
+    """Scans over blocks of two and three pieces, several levels deep, give the slopes of plain loops, for each of many functions."""
+    import random
+
+    rng = random.Random(size)
+    want, data = {}, []
+    for k in range(12):
+        n = rng.choice([2, 3, 4, 5, 9, 30])
+        xs = sorted(rng.sample(range(1, 100), n))
+        ys = sorted(rng.choice([0.0, 0.1, 0.35, 0.36, 0.5, 0.8, 1.0]) for _ in xs)
+        data += [(k, float(x), y) for x, y in zip(xs, ys, strict=True)]
+        plain = Plain(xs, ys)
+        want |= {(k, i): (float(xs[i]), float(xs[i + 1]), r, plain.m[i] / r if r else None, plain.m[i + 1] / r if r else None) for i, r in enumerate(plain.rise)}
+    data += [(99, 1.0, 1.0)]  # one point has no piece
+    rng.shuffle(data)
+    out = evidence.pieces(spark.createDataFrame(data, "k int, v double, p double"), ["k"], size)
+    got = {(r.k, r.i): (r.x1, r.x2, r.rise, r.m0, r.m1) for r in out.collect()}
+    assert set(got) == set(want)
+    for at, row in want.items():
+        assert all((a is None and b is None) or abs(a - b) < 1e-9 for a, b in zip(got[at], row, strict=True)), (at, got[at], row)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_density_of_a_short_cdf(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (1, 1.0, 1.0), (1, 2.0, 1.0)], "k int, v double, p double")
     got = evidence.pieces(df, ["k"]).withColumn("x", F.col("x1") + 0.5).withColumn("d", evidence.density(F.col("x")))
