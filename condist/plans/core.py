@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from condist.functions.shared import shared_folder
 from condist.functions.stats import kolmogorov_p, significant
 from condist.functions.times import HOUR, micros
 from condist.operators import model, samples, scoring, services, upsert, windows
@@ -25,17 +26,60 @@ r9 = lambda c: F.round(c, 9)
 FROM win WHERE ((us // 1000000) - ((us // 1000000) % 60)) * 1000000 > w - 21600000000 GROUP BY ALL"""
 )
 def range_matrix_load(spark: E, d: str) -> DataFrame:
-    """Each service and window exported as a range response (a point a minute), and loaded."""
+    """Exported range responses of each service and window (a point a minute), loaded from their files; broken ones are left out."""
+    return loaded(metrics.exports(spark, exported(spark, d), "service string"))
+
+
+def exported(spark: E, d: str) -> str:
+    """A folder of exports by service: a document for each window, and three of each service that cannot be used."""
     minute = F.expr("us div 1000000 div 60 * 60")
     points = v.win(spark, d).groupBy("service", "w", minute.alias("m")).agg(F.max("value").alias("value"))
     pair = F.array(F.col("m").cast("string"), F.col("value").cast("string"))
     bodies = points.groupBy("service", "w").agg(F.collect_list(pair).alias("values"))
     result = F.array(F.struct(F.create_map(F.lit("job"), F.col("service")).alias("metric"), "values"))
-    text = F.to_json(F.struct(F.lit("success").alias("status"), F.struct(F.lit("matrix").alias("resultType"), result.alias("result")).alias("data")))
-    loaded = metrics.range_matrix(bodies.select("service", "w", F.from_json(text, metrics.RESPONSE).alias("response")))
-    w_s = F.col("w") / 1_000_000
-    ranged = loaded.withColumn("start_s", w_s - v.WINDOW / 1_000_000).withColumn("end_s", w_s)
-    return metrics.after_start(ranged).select("service", "w", "ts_s", r9("value").alias("value"))
+    moment = lambda us: F.date_format(v.moment(us), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    def document(status: Column, kind: Column) -> Column:
+        body = F.struct(F.lit("success").alias("status"), F.struct(kind.alias("resultType"), result.alias("result")).alias("data"))
+        return F.to_json(F.struct(F.lit("rate(requests[1m])").alias("query"), moment(f"w - {v.WINDOW}").alias("start"), moment("w").alias("end"), F.lit(60).alias("step_seconds"), status.alias("status_code"), body.alias("response_body")))
+
+    good = bodies.select("service", document(F.lit(200), F.lit("matrix")).alias("value"))
+    one = bodies.groupBy("service").agg(F.min_by("values", "w").alias("values"), F.min("w").alias("w"))
+    bad = [document(F.lit(500), F.lit("matrix")), document(F.lit(200), F.lit("vector")), F.substring(document(F.lit(200), F.lit("matrix")), 1, 90)]
+    path = shared_folder(spark, "exports")
+    good.unionByName(one.select("service", F.explode(F.array(*bad)).alias("value"))).write.partitionBy("service").text(path)
+    return path
+
+
+def loaded(found: DataFrame) -> DataFrame:
+    points = metrics.range_matrix(found.where("problem is null").drop("problem"))
+    seconds = points.withColumn("start_s", F.col("start_us") / 1_000_000).withColumn("end_s", F.col("end_us") / 1_000_000)
+    return metrics.after_start(seconds).select("service", F.col("end_us").alias("w"), "ts_s", r9("value").alias("value"))
+
+
+@query("SELECT service, p AS problem, CAST(1 AS BIGINT) AS documents FROM (SELECT DISTINCT service FROM obs), (VALUES ('not JSON'), ('status 500'), ('expected a matrix, got vector')) t(p)")
+def response_problems(spark: E, d: str) -> DataFrame:
+    """What is wrong with exports that cannot be used."""
+    found = metrics.exports(spark, exported(spark, d), "service string").where("problem is not null")
+    return found.groupBy("service", "problem").agg(F.count("*").alias("documents"))
+
+
+@query(
+    """SELECT series, ts_s, upper, count FROM (SELECT l_returnflag AS series, CAST(12 * year(l_shipdate) + month(l_shipdate) AS DOUBLE) AS ts_s,
+  CASE WHEN l_quantity > 40 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(ceil(l_quantity / 10) * 10 AS DOUBLE) END AS upper, CAST(floor(sum(l_linenumber) / 4 + 0.5) AS BIGINT) AS count FROM lineitem GROUP BY 1, 2, 3)"""
+)
+def histogram_responses(spark: E, d: str) -> DataFrame:
+    """Native histograms of exported responses, one response a series, with the buckets of each month."""
+    i = v.table(spark, d, "lineitem").withColumn("m", F.expr("12 * year(l_shipdate) + month(l_shipdate)"))
+    upper = F.when(F.col("l_quantity") > 40, "+Inf").otherwise((F.ceil(F.col("l_quantity") / 10) * 10).cast("string"))
+    counts = i.groupBy(F.col("l_returnflag").alias("series"), "m", upper.alias("upper")).agg((F.sum("l_linenumber") / 4).cast("string").alias("n"))
+    bucket = F.to_json(F.array(F.lit("0"), F.lit("0"), "upper", "n"))
+    scrapes = counts.groupBy("series", "m").agg(F.concat(F.lit("["), F.col("m").cast("string"), F.lit(',{"count":"1","sum":"1","buckets":['), F.array_join(F.collect_list(bucket), ","), F.lit("]}]")).alias("h"))
+    body = F.concat(F.lit('{"status_code":200,"response_body":{"status":"success","data":{"resultType":"matrix","result":[{"histograms":['), F.array_join(F.collect_list("h"), ","), F.lit("]}]}}}"))
+    path = shared_folder(spark, "histograms")
+    scrapes.groupBy(F.col("series").alias("name")).agg(body.alias("value")).write.partitionBy("name").text(path)
+    found = metrics.exports(spark, path, "name string").where("problem is null").select("name", "response")
+    return metrics.histogram_points(found).select(F.col("name").alias("series"), "ts_s", "upper", "count")
 
 
 SCRAPES = "strftime(l_shipdate, '%Y-%m')"

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from condist.functions.shared import shared_folder
 from condist.functions.times import DAY, micros
 from condist.operators import scoring
-from condist.plans import alerts
+from condist.plans import alerts, core
 from condist.plans import views as v
 from condist.plans.registry import query
+from condist.sources import metrics
 from condist.streaming import conditions, jobs
 
 E = SparkSession
@@ -51,6 +52,16 @@ def stream_generation(spark: E, d: str) -> DataFrame:
     return jobs.finished(jobs.current_generation(rows, v.monitored(spark, d)), spark, "generation").select("id", "service", "generation")
 
 
+@query(
+    """SELECT service, w, CAST((us // 1000000) - ((us // 1000000) % 60) AS DOUBLE) AS ts_s, round(max(value), 9) AS value
+FROM win WHERE ((us // 1000000) - ((us // 1000000) % 60)) * 1000000 > w - 21600000000 GROUP BY ALL"""
+)
+def stream_responses(spark: E, d: str) -> DataFrame:
+    """Exported responses as a stream of files."""
+    found = metrics.exports(spark, core.exported(spark, d), "service string", stream=True)
+    return jobs.finished(core.loaded(found), spark, "responses")
+
+
 #: Moments between which the events arrive, in ten deliveries of three days.
 ARRIVALS = [1_704_067_200_000_000 + k * 3 * DAY for k in range(11)]
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from condist.functions.shared import stored
-from condist.functions.times import DAY, HOUR, micros
+from condist.functions.times import DAY, HOUR, micros, moment  # noqa: F401  (moment for the queries)
 from condist.operators import model, samples, windows
 from condist.plans.registry import VIEWS
 
