@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condist.functions.stats import severity
-from condist.functions.times import DAY
+from condist.functions.times import DAY, moment
 
 STRETCH = 30 * DAY
 
@@ -134,6 +134,37 @@ def description(indicator: Column, x: Column, p: Column, threshold: float) -> Co
     return F.concat(F.lit("The distribution is not that of the reference at "), at, F.format_string(" (p-value %.6f, threshold %.2f).", p, F.lit(threshold)))
 
 
+def impact(indicator: Column, historical: Column) -> Column:
+    """What an anomaly means for the service."""
+    past = F.lit("Behaviour in the past was unusual; that says nothing about the service now.")
+    now = F.when(indicator == 1, "Responses at this load are unlike those that the reference was learned from.").when(
+        indicator == 2, "Load is unlike what the service has at this time of day."
+    )
+    return F.when(historical, past).otherwise(now.otherwise("The service behaves unlike the reference."))
+
+
+def action() -> Column:
+    return F.lit("Look at the service and the windows listed; accept a window as normal only if it is expected behaviour.")
+
+
+def summary(indicator: Column, us: str) -> Column:
+    """An occurrence in one line: its alert's title and when it was."""
+    return F.concat(title(indicator), F.lit(" at "), F.date_format(moment(us), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def collection_text(service: Column, failures: Column, retry_us: str) -> Column:
+    """Text of a collection failure: how many attempts in a row failed and, where it is known, when the next one is."""
+    first = F.format_string("Metrics of %s could not be collected: %d consecutive attempts failed.", service, failures)
+    again = F.concat(F.lit(" Next attempt at "), F.date_format(moment(retry_us), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("."))
+    return F.concat(first, F.coalesce(again, F.lit("")))
+
+
+def evidence_json(x: Column, p: Column, threshold: float, historical: Column) -> Column:
+    """An occurrence's evidence: the driver's value, the p-value, the threshold, whether it is historical."""
+    fields = {"independentValue": F.format_string("%.6f", x), "pValue": F.format_string("%.9f", p), "threshold": F.lit(f"{threshold:g}"), "historical": historical.cast("string")}
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), c) for k, c in fields.items()]), F.lit("}"))
+
+
 def ranked(alerts: DataFrame, limit: int = 500, resolved: bool = True) -> DataFrame:
     """The first ``limit`` alerts: firing first, then the latest; 0 gives none."""
     rows = alerts if resolved else alerts.where("status = 'firing'")

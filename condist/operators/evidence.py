@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from condist.functions.lookup import running
+from condist.functions.lookup import at_or_below, running
 from condist.functions.shared import stored
 from condist.functions.times import SECOND
 from condist.operators.samples import weighted_mean
@@ -37,6 +37,39 @@ def evidence(occurrences: DataFrame, samples: DataFrame, points: DataFrame, keys
     return out.withColumn("status", status)
 
 
+def behind(occurrences: DataFrame, chunks: DataFrame, samples: DataFrame, services: DataFrame, mass: DataFrame, trail: dict[int, int]) -> DataFrame:
+    """Evidence of live occurrences: x, p, what the reference has there, and the samples behind them, merged.
+
+    Occurrences are (service, indicator, w, p, historical), chunks (service,
+    indicator, w, x, generation), samples (service, indicator, w, v, c), the
+    model (service, indicator, generation, x, v, n). ``trail`` is how far back
+    chunks count for an indicator, in microseconds; their samples are merged
+    and their x averaged. Historical occurrences have no evidence and are left
+    out. ``status``: gone if the chunk is not there any more, or is of another
+    generation than the active one, or has no reference; else available.
+    """
+    key, model = ["service", "indicator", "w"], ["service", "indicator", "generation"]
+    live = occurrences.where("not historical").select(*key, "p")
+    active = services.select("service", F.col("generation").alias("active"))
+    primary = live.join(chunks.select(*key, "generation"), key, "left").join(active, "service", "left")
+    there = stored(primary.where("generation = active").select(*key, "generation", "p"), "occurrences")
+    # chunks of the same generation within the trail; both sides meet on buckets of it
+    span = max(1, *trail.values())
+    back = F.coalesce(*[F.when(F.col("indicator") == i, s) for i, s in trail.items()], F.lit(0))
+    probe = there.select("service", "indicator", "generation", F.col("w").alias("at"), back.alias("_back"), F.explode(F.array(F.floor(F.col("w") / span), F.floor(F.col("w") / span) - 1)).alias("_b"))
+    near = probe.join(chunks.withColumn("_b", F.floor(F.col("w") / span)), [*model, "_b"]).where("w <= at and w >= at - _back")
+    near = stored(near.select(*model, "at", "w", "x"), "trail")
+    inputs = near.groupBy(*model, "at").agg(F.count("*").alias("chunks"), F.avg("x").alias("x"))
+    merged = near.join(samples, key).groupBy(*model, "at", "v").agg(F.sum("c").alias("c"))
+    merged = merged.groupBy(*model, "at").agg(F.count("*").alias("entries"), F.sum("c").alias("total"), weighted_mean().alias("mean"))
+    sizes = mass.groupBy(*model, "x").agg(F.count("*").alias("points"))
+    found = at_or_below(inputs.join(merged, [*model, "at"]), sizes, model, "x", "level", also=["points"]).withColumnRenamed("at", "w")
+    out = live.join(found, key, "left")
+    status = F.when(F.col("level").isNull(), "gone").otherwise("available")
+    shown = [F.when(F.col("level").isNotNull(), F.col(c)).alias(c) for c in ("chunks", "x", "entries", "total", "mean", "level", "points")]
+    return out.select(*key, "p", *shown, status.alias("status"))
+
+
 def comparison(points: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
     """Expected and actual distribution functions of each occurrence: series, v, p."""
     w = Window.partitionBy(*keys)

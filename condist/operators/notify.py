@@ -20,6 +20,16 @@ def plan(hits: DataFrame, alerts: DataFrame, threshold: int = 3) -> DataFrame:
     return firing.unionByName(retired).unionByName(ended)
 
 
+def resolutions(deliveries: DataFrame, ended: DataFrame, order: list[str]) -> DataFrame:
+    """A resolved row for each severity of an ended alert (alert, ended_us) that was delivered, with the payload that was delivered last.
+
+    ``deliveries`` have alert, operation, state, severity, payload and the
+    columns of ``order``. What was never handed on needs no resolution.
+    """
+    sent = deliveries.where("operation = 'firing' and state = 'delivered'").groupBy("alert", "severity").agg(F.max_by("payload", F.struct(*order, "payload")).alias("payload"))
+    return sent.join(ended.select("alert", "ended_us"), "alert").select("alert", F.lit("resolved").alias("operation"), "severity", "payload", F.col("ended_us").alias("us"))
+
+
 def payload(alert: Column, service: Column, indicator: Column, kind: Column, severity: Column) -> Column:
     """A notification's body as JSON."""
     labels = F.create_map(F.lit("alert_id"), alert.cast("string"), F.lit("alert_type"), kind)

@@ -9,7 +9,7 @@ from condist.functions.shared import stored
 from condist.functions.times import DAY
 from condist.operators import alerts as a
 from condist.operators import evidence as ev
-from condist.operators import model, notify
+from condist.operators import model, notify, samples, windows
 from condist.plans import core
 from condist.plans import views as v
 from condist.plans.registry import VIEWS, query
@@ -332,6 +332,98 @@ def cdf_comparison(spark: E, d: str) -> DataFrame:
     return ev.comparison(expected, actual, v.KEY).select(*v.KEY, "series", r9("v").alias("v"), r9("p").alias("p"))
 
 
+MINUTE = 60_000_000
+#: One service's configuration changed late; chunks of some windows were deleted.
+STALE = "service = 'view'"
+DELETED = "(w // 21600000000) % 7 = 3"
+HISTORICAL = "(w // 21600000000) % 5 = 0"
+
+
+@query(
+    f"""SELECT * FROM (WITH o AS (SELECT service, 1 AS indicator, w, p FROM analysis WHERE state = 'bad' UNION ALL SELECT service, 2, w, p FROM tanalysis WHERE state IN ('good', 'bad')),
+c AS (SELECT service, 1 AS indicator, w, x, w AS t0 FROM xs UNION ALL SELECT service, 2, m, (m // 1000000) % 86400, m FROM (SELECT DISTINCT service, (us + {MINUTE} - 1) // {MINUTE} * {MINUTE} AS m FROM obs)
+  UNION SELECT service, 2, w, (w // 1000000) % 86400, w FROM txs),
+s AS (SELECT service, 1 AS indicator, w, v, c FROM ys UNION ALL SELECT service, 2, m, value, count(*) FROM (SELECT service, (us + {MINUTE} - 1) // {MINUTE} * {MINUTE} AS m, value FROM obs) GROUP BY 1, 3, 4),
+l AS (SELECT o.* FROM o WHERE NOT {HISTORICAL}),
+n AS (SELECT l.service, l.indicator, l.w AS t0, c.w, c.x FROM l JOIN c ON c.service = l.service AND c.indicator = l.indicator AND c.w <= l.w AND c.w >= l.w - CASE l.indicator WHEN 2 THEN 300000000 ELSE 0 END
+  WHERE NOT (l.{STALE}) AND NOT (l.w // 21600000000) % 7 = 3 AND NOT (c.w % 21600000000 = 0 AND (c.w // 21600000000) % 7 = 3)),
+i AS (SELECT service, indicator, t0, count(*) AS chunks, avg(x) AS x FROM n GROUP BY ALL),
+g AS (SELECT n.service, n.indicator, n.t0, s.v, sum(s.c) AS c FROM n JOIN s ON s.service = n.service AND s.indicator = n.indicator AND s.w = n.w GROUP BY ALL),
+h AS (SELECT service, indicator, t0, count(*) AS entries, CAST(sum(c) AS BIGINT) AS total, sum(v * c) / sum(c) AS mean FROM g GROUP BY ALL),
+k AS (SELECT 1 AS indicator, service, x, count(*) AS pts FROM points GROUP BY ALL UNION ALL SELECT 2, service, x, count(*) FROM tpoints GROUP BY ALL),
+f AS (SELECT i.*, h.entries, h.total, h.mean, coalesce(k.x, z.x) AS level, coalesce(k.pts, z.pts) AS points FROM i JOIN h USING (service, indicator, t0)
+  ASOF LEFT JOIN k ON k.service = i.service AND k.indicator = i.indicator AND i.x >= k.x
+  LEFT JOIN (SELECT service, indicator, min(x) AS x, arg_min(pts, x) AS pts FROM k GROUP BY ALL) z ON z.service = i.service AND z.indicator = i.indicator)
+SELECT l.service, CAST(l.indicator AS INTEGER) AS indicator, l.w, round(l.p, 9) AS p, f.chunks, round(f.x, 9) AS x, f.entries, f.total, round(f.mean, 9) AS mean, f.level, f.points,
+  CASE WHEN f.level IS NULL THEN 'gone' ELSE 'available' END AS status
+FROM l LEFT JOIN f ON f.service = l.service AND f.indicator = l.indicator AND f.t0 = l.w)"""
+)
+def occurrence_evidence(spark: E, d: str) -> DataFrame:
+    """Evidence of live occurrences of both indicators; for time of day the minutes of the last five, merged."""
+    both = lambda a, b: a.withColumn("indicator", F.lit(1)).unionByName(b.withColumn("indicator", F.lit(2)))
+    bad_, tested = bad(spark, d).select(*v.KEY, "p"), core.tod_analysed(spark, d).where("state in ('good', 'bad')").select(*v.KEY, "p")
+    found = both(bad_, tested).withColumn("historical", F.expr(HISTORICAL.replace("//", "div")))
+    minutes = windows.assign(v.obs(spark, d), MINUTE)
+    ends = minutes.select(*v.KEY).union(found.where("indicator = 2").select(*v.KEY)).distinct().withColumn("x", samples.time_of_day("w").cast("double"))
+    chunks = both(v.xs(spark, d), ends).withColumn("generation", F.lit(1).cast("long")).where(f"not (w % {v.WINDOW} = 0 and {DELETED.replace('//', 'div')})")
+    y = both(v.ys(spark, d), samples.count_samples(minutes, v.KEY))
+    services = v.obs(spark, d).select("service").distinct().withColumn("generation", F.when(F.expr(STALE), 2).otherwise(1).cast("long"))
+    mass = both(v.published(spark, d), v.tod_mass(spark, d)).withColumn("generation", F.lit(1).cast("long"))
+    out = ev.behind(found, stored(chunks, "chunks"), stored(y, "samples"), services, mass, {2: ev.TRAIL})
+    return out.select("service", "indicator", "w", r9("p").alias("p"), "chunks", r9("x").alias("x"), "entries", "total", r9("mean").alias("mean"), "level", "points", "status")
+
+
+ISO_SQL = "strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%SZ')"
+BOTH_SQL = "SELECT service, w, 1 AS indicator, x, p FROM analysis WHERE state = 'bad' UNION ALL SELECT service, w, 2, x, p FROM tanalysis WHERE state = 'bad'"
+
+
+@query(
+    f"""SELECT 'chunk:' || service || ':' || indicator || ':' || w AS key,
+  CASE indicator WHEN 1 THEN 'Response differs at this load' ELSE 'Load differs at this time of day' END || ' at ' || {ISO_SQL.format(us='w')} AS summary,
+  '{{"independentValue":' || format('{{:.6f}}', x) || ',"pValue":' || format('{{:.9f}}', p) || ',"threshold":0.01,"historical":' || CASE WHEN {HISTORICAL} THEN 'true' ELSE 'false' END || '}}' AS evidence,
+  CASE WHEN {HISTORICAL} THEN 'Behaviour in the past was unusual; that says nothing about the service now.'
+    WHEN indicator = 1 THEN 'Responses at this load are unlike those that the reference was learned from.' ELSE 'Load is unlike what the service has at this time of day.' END AS impact,
+  'Look at the service and the windows listed; accept a window as normal only if it is expected behaviour.' AS action
+FROM ({BOTH_SQL})"""
+)
+def occurrence_records(spark: E, d: str) -> DataFrame:
+    """Occurrences as they are recorded: key, summary, evidence, impact and what to do."""
+    part = lambda rows, i: rows.where("state = 'bad'").select("service", "w", F.lit(i).alias("indicator"), "x", "p", F.col("w").alias("us"), F.col("w").alias("id"))
+    rows = part(core.analysed(spark, d), 1).unionByName(part(core.tod_analysed(spark, d), 2))
+    found = a.unique_occurrences(rows, ["service", "indicator", "us"]).withColumn("historical", F.expr(HISTORICAL.replace("//", "div")))
+    i, past = F.col("indicator"), F.col("historical")
+    return found.select("key", a.summary(i, "w").alias("summary"), a.evidence_json(F.col("x"), F.col("p"), 0.01, past).alias("evidence"), a.impact(i, past).alias("impact"), a.action().alias("action"))
+
+
+RETRY_SQL = "last_us + 1000000 * CAST(least(pow(2, least(occurrences - 1, 10)), 60) AS BIGINT)"
+
+
+@query(
+    f"""SELECT service, alert, 'Metrics of ' || service || ' could not be collected: ' || occurrences || ' consecutive attempts failed.'
+  || CASE WHEN status = 'firing' THEN ' Next attempt at ' || {ISO_SQL.format(us=RETRY_SQL)} || '.' ELSE '' END AS description FROM ({conditions_sql(ATTEMPTS, 'service')})"""
+)
+def collection_text(spark: E, d: str) -> DataFrame:
+    """Text of collection failures, with the time of the next attempt while they last."""
+    failed = F.col("failed")
+    rows = a.conditions(events_of(v.attempts(spark, d), failed, ~failed, F.lit("collection_recovered")), ["service"])
+    wait = F.least(F.pow(F.lit(2.0), F.least(F.col("occurrences") - 1, F.lit(10))), F.lit(60.0)).cast("long")
+    rows = rows.withColumn("retry_us", F.when(F.col("status") == "firing", F.col("last_us") + 1_000_000 * wait))
+    return rows.select("service", "alert", a.collection_text(F.col("service").cast("string"), F.col("occurrences"), "retry_us").alias("description"))
+
+
+@query(
+    """SELECT f.alert, 'resolved' AS operation, f.severity, f.payload, r.us FROM (
+  SELECT alert, severity, arg_max(part || ':' || line, lpad(us::VARCHAR, 20, '0') || lpad(line::VARCHAR, 4, '0') || lpad(part::VARCHAR, 12, '0')) AS payload
+  FROM deliveries WHERE operation = 'firing' AND state = 'delivered' GROUP BY alert, severity) f
+JOIN (SELECT alert, max(us) AS us FROM deliveries WHERE operation = 'resolved' GROUP BY alert) r ON r.alert = f.alert"""
+)
+def delivered_resolutions(spark: E, d: str) -> DataFrame:
+    """Resolutions of the severities of ended alerts that were delivered, with the payload delivered last."""
+    rows = v.deliveries(spark, d).withColumn("payload", F.concat_ws(":", F.col("part").cast("string"), F.col("line").cast("string")))
+    ended = rows.where("operation = 'resolved'").groupBy("alert").agg(F.max("us").alias("ended_us"))
+    return notify.resolutions(rows, ended, ["us", "line", "part"])
+
+
 LEVEL = ["service", "level"]
 
 
