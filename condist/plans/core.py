@@ -406,7 +406,7 @@ JOIN (SELECT service, x, col, (least(lo + (col + 1) / 128 * (hi - lo), x) - grea
     FROM (SELECT DISTINCT service, x FROM mass)), generate_series(0, 127) g(col) WHERE b IS NOT NULL) i ON i.service = k.service AND i.x = k.x AND i.share > 0
 JOIN (SELECT service, v, line, (least(lo * exp((line + 1) / 128 * ln(hi / lo)), v) - greatest(lo * exp(line / 128 * ln(hi / lo)), b)) / (v - b) AS share
   FROM (SELECT service, v, lag(v) OVER (PARTITION BY service ORDER BY v) AS b, min(v) OVER (PARTITION BY service) AS lo, max(v) OVER (PARTITION BY service) AS hi
-    FROM (SELECT DISTINCT service, v FROM mass)), generate_series(0, 127) g(line) WHERE b IS NOT NULL) j ON j.service = k.service AND j.v = k.v AND j.share > 0
+    FROM (SELECT DISTINCT service, v FROM mass)), generate_series(0, 127) g(line) WHERE b IS NOT NULL AND lo > 0) j ON j.service = k.service AND j.v = k.v AND j.share > 0
 GROUP BY 1, 2, 3"""
 
 
