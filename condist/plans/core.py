@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from condist.functions.shared import shared_folder
 from condist.functions.stats import kolmogorov_p, significant
-from condist.functions.times import HOUR, micros
+from condist.functions.times import HOUR, micros, moment
 from condist.operators import model, samples, scoring, services, upsert, windows
 from condist.plans import views as v
 from condist.plans.registry import query
@@ -37,11 +37,11 @@ def exported(spark: E, d: str) -> str:
     pair = F.array(F.col("m").cast("string"), F.col("value").cast("string"))
     bodies = points.groupBy("service", "w").agg(F.collect_list(pair).alias("values"))
     result = F.array(F.struct(F.create_map(F.lit("job"), F.col("service")).alias("metric"), "values"))
-    moment = lambda us: F.date_format(v.moment(us), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    iso = lambda us: F.date_format(moment(us), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
     def document(status: Column, kind: Column) -> Column:
         body = F.struct(F.lit("success").alias("status"), F.struct(kind.alias("resultType"), result.alias("result")).alias("data"))
-        return F.to_json(F.struct(F.lit("rate(requests[1m])").alias("query"), moment(f"w - {v.WINDOW}").alias("start"), moment("w").alias("end"), F.lit(60).alias("step_seconds"), status.alias("status_code"), body.alias("response_body")))
+        return F.to_json(F.struct(F.lit("rate(requests[1m])").alias("query"), iso(f"w - {v.WINDOW}").alias("start"), iso("w").alias("end"), F.lit(60).alias("step_seconds"), status.alias("status_code"), body.alias("response_body")))
 
     good = bodies.select("service", document(F.lit(200), F.lit("matrix")).alias("value"))
     one = bodies.groupBy("service").agg(F.min_by("values", "w").alias("values"), F.min("w").alias("w"))
