@@ -50,12 +50,14 @@ def _over(keys: Sequence[str], *order: str | Column):
 
 
 def _beside(rows: DataFrame, keys: Sequence[str], **known: Column) -> DataFrame:
-    """What each part must know of others: columns _before (last ``last`` of the parts before) and, if there is ``first``, _after."""
-    parts = rows.groupBy(*keys, "_part").agg(*[c.alias(f"_{name}") for name, c in known.items()])
+    """What each part must know of others: _before (last ``last`` of the parts before), _after (first ``first`` of those after), _least (least ``least`` of all)."""
+    parts = rows.groupBy(*keys, "_part").agg(*[c.alias(f"_{name}_own") for name, c in known.items()])
     w = Window.partitionBy(*keys)
     up, down = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("_part", F.desc("_part")))
-    out = parts.withColumn("_before", F.last("_last", ignorenulls=True).over(up))
-    return (out.withColumn("_after", F.last("_first", ignorenulls=True).over(down)) if "first" in known else out).drop(*[f"_{name}" for name in known])
+    out = [F.last("_last_own", ignorenulls=True).over(up).alias("_before")]
+    out += [F.last("_first_own", ignorenulls=True).over(down).alias("_after")] if "first" in known else []
+    out += [F.min("_least_own").over(w).alias("_least")] if "least" in known else []
+    return parts.select(*keys, "_part", *out)
 
 
 def neighbours(probes: DataFrame, knots: DataFrame, keys: Sequence[str], at: str, value: str, part_rows: int = PART_ROWS, known: int | None = None) -> DataFrame:
@@ -74,13 +76,16 @@ def neighbours(probes: DataFrame, knots: DataFrame, keys: Sequence[str], at: str
 def at_or_below(probes: DataFrame, levels: DataFrame, keys: Sequence[str], at: str, name: str, part_rows: int = PART_ROWS, also: Sequence[str] = (), known: int | None = None) -> DataFrame:
     """Each probe with the largest level at or under it (``name``), or the lowest level if there is none, and that level's columns ``also``; null without levels."""
     knot = F.struct(F.col(at).alias(name), *also)
-    lowest = levels.groupBy(*keys).agg(F.min(knot).alias("_knot")).select(*keys, F.lit(float("-inf")).alias(at), "_knot")
-    k = levels.select(*keys, at, knot.alias("_knot")).unionByName(lowest).withColumn("_order", F.lit(0))
+    k = levels.select(*keys, at, knot.alias("_knot"), F.lit(0).alias("_order"))
     rows, several = dealt(probes.withColumn("_order", F.lit(1)).unionByName(k, allowMissingColumns=True), keys, at, part_rows, known)
-    found = rows.withColumn("_knot", F.last("_knot", ignorenulls=True).over(_over(keys, at, "_order"))).where("_order = 1")
+    under = F.last("_knot", ignorenulls=True).over(_over(keys, at, "_order"))
+    # probes under all levels take the lowest: that of the key's only part, or of the summary of its parts
+    least = F.min("_knot").over(Window.partitionBy(*keys, "_part"))
+    found = rows.select(*rows.columns, under.alias("_under"), *([] if several else [least.alias("_least")])).where("_order = 1")
     if several:
-        beside = _beside(rows, keys, last=F.max("_knot"))
-        found = found.join(beside, [*keys, "_part"]).withColumn("_knot", F.coalesce("_knot", "_before"))
+        beside = _beside(rows, keys, last=F.max("_knot"), least=F.min("_knot"))
+        found = found.join(beside, [*keys, "_part"]).withColumn("_under", F.coalesce("_under", "_before"))
+    found = found.withColumn("_knot", F.coalesce("_under", "_least"))
     return found.select(*probes.columns, *[F.col(f"_knot.{c}").alias(c) for c in (name, *also)])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +20,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows from a Parquet table in the shared folder; for what several parts of a plan read."""
+def stored(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """The rows from a Parquet table in the shared folder, in folders by ``by``; for what several parts of a plan read."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

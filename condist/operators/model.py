@@ -8,7 +8,7 @@ value of x takes the nearest level of x at or below it, or the lowest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from condist.functions.lookup import PART_ROWS, at_or_below, latest, running
@@ -96,35 +96,45 @@ def validate_points(points: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("points"), (~F.bool_or("bad")).alias("valid"))
 
 
-def near_least(rows: DataFrame, keys: list[str], ulps: int = 5) -> tuple[DataFrame, bool]:
-    """Rows (a stored table) with ``least``, and whether any value is not its own.
+def near_least(rows: DataFrame, keys: list[str], ulps: int = 5, by: tuple[str, ...] = (), sums: bool = False) -> tuple[DataFrame, bool]:
+    """Rows (a stored table) with ``least``, and whether any value may not be its own.
 
     ``least`` is the least value of v's group, where neighbours within ``ulps``
-    units in the last place are one group. Values are ordered within sixteenths
-    of octaves, so a service with very many values is no single task. A
-    sixteenth is summed up by its first value, its last, and where its last
-    group starts; a scan over these tells which go on with a group from below.
-    Those are few, as their first value must be that near the last one below,
-    and only if there are any their rows are looked up again.
+    units in the last place are one group. With ``sums``, rows of the same keys,
+    ``by`` and v are first added up (n), in the same shuffle. Values are ordered within sixteenths
+    of octaves, so a service with very many values is no single task. The pass
+    that writes them also sees whether a group reaches over two of them: only
+    with a value so near its sixteenth's lower end that a step down leaves it.
+    If there is any, a sixteenth is summed up by its first value, its last, and
+    where its last group starts; a scan over these tells which go on with a
+    group from below, and only their rows are looked up again.
     """
     v = F.col("v")
-    octave = F.floor(F.log2(F.abs(v)) * 16) + 20_000
-    rows = rows.withColumn("_o", F.when(v > 0, octave).when(v < 0, -octave).otherwise(0))
+
+    def sixteenth(at: Column) -> Column:
+        # ends are moved off the powers of two, and zero has its neighbours in its own part
+        octave = F.floor(F.log2(F.abs(at)) * 16 + 0.37) + 20_000
+        return F.when(at > 1e-300, octave).when(at < -1e-300, -octave).otherwise(0)
+
+    rows = rows.withColumn("_o", sixteenth(v)).repartition(*keys, "_o")
+    if sums:
+        rows = rows.groupBy(*keys, "_o", *by, "v").agg(F.sum("n").alias("n"))
     inside, before = Window.partitionBy(*keys, "_o").orderBy("v"), Window.partitionBy(*keys).orderBy("_o")
     step = lambda at: ulps * F.when(at == 0, 4.9e-324).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.abs(at))) - 52))
     gap = v - F.lag("v").over(inside)
     marked = rows.withColumn("_s", F.when(gap.isNull() | (gap > step(v)), v))
     own = marked.withColumn("least", F.last("_s", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    own = stored(own.drop("_s"), "ordered")
-    parts = own.groupBy(*keys, "_o").agg(F.min("v").alias("_first"), F.max("v").alias("_last"), F.max("least").alias("_start"), F.bool_or(F.col("least") != v).alias("_near"))
+    seen = Observation()
+    near, over = F.bool_or(F.col("least") != v), F.bool_or(sixteenth(v - step(v)) != F.col("_o"))
+    own = stored(own.drop("_s").observe(seen, near.alias("near"), over.alias("over")), "ordered")
+    if not seen.get.get("over"):
+        return own.drop("_o"), bool(seen.get.get("near"))
+    parts = own.groupBy(*keys, "_o").agg(F.min("v").alias("_first"), F.max("v").alias("_last"), F.max("least").alias("_start"))
     joins = F.coalesce(F.col("_first") - F.lag("_last").over(before) <= step(F.col("_first")), F.lit(False))
     parts = parts.withColumn("_joins", joins)
     # where the last group of a sixteenth starts, unless it is all of it and goes on from below
     known = F.when(~(F.col("_joins") & (F.col("_start") == F.col("_first"))), F.col("_start"))
     parts = parts.withColumn("_below", F.last(known, ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
-    found = parts.agg(F.bool_or("_joins"), F.bool_or("_near")).first()
-    if not found[0]:
-        return own.drop("_o"), bool(found[1])
     going_on = parts.where("_joins").select(*keys, "_o", "_first", "_below")
     out = own.join(going_on, [*keys, "_o"], "left")
     return out.withColumn("least", F.when(F.col("least") == F.col("_first"), F.col("_below")).otherwise(F.col("least"))).drop("_o", "_first", "_below"), True
@@ -133,10 +143,9 @@ def near_least(rows: DataFrame, keys: list[str], ulps: int = 5) -> tuple[DataFra
 def coalesce_near(values: DataFrame, keys: list[str], ulps: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
     """Sums of n over groups of near values of a key (see ``near_least``), each with its least value; apart for each of ``by``.
 
-    ``values`` have one row for each of ``keys``, ``by`` and v, so where no
-    values are near they stay as they are: a stored table.
+    Where no values are near, the sums by value are the result: a stored table.
     """
-    rows, near = near_least(values.select(*keys, *by, "v", "n"), keys, ulps)
+    rows, near = near_least(values.select(*keys, *by, "v", "n"), keys, ulps, by, sums=True)
     if not near:
         return rows.drop("least")
     return stored(rows.groupBy(*keys, *by, F.col("least").alias("v")).agg(F.sum("n").alias("n")), "coalesced")

@@ -48,7 +48,7 @@ def analyse(chunks: DataFrame, samples: DataFrame, mass: DataFrame, model: list[
     n = samples.count() + mass.count()
     known = stored(levels(chunks, mass, model, n), "levels")
     used = known.where("points >= 2")
-    points = conditional_points(mass.join(used.select(*model, F.col("level").alias("x")).distinct(), [*model, "x"], "left_semi"), model, n)
+    points = conditional_points(mass.join(used.select(*model, F.col("level").alias("x")), [*model, "x"], "left_semi"), model, n)
     scored = samples.join(used.select(*model, "w", "level"), [*model, "w"])
     tests = ks(probabilities(scored, points, model, n), [*model, "w"])
     out = known.join(tests, [*model, "w"], "left")

@@ -328,10 +328,8 @@ def readiness_time_of_day(spark: E, d: str) -> DataFrame:
 
 @query("SELECT service, x, round(v, 9) AS v, n FROM mass")
 def joint_mass(spark: E, d: str) -> DataFrame:
-    train = f"ts <= {v.TRAIN_TS}"
-    loads = v.win(spark, d).where(train).groupBy(*v.KEY).agg(F.count("*").cast("double").alias("x"))
-    out = model.joint_mass(loads.withColumn("cx", F.lit(1).cast("long")), v.ys(spark, d, train), v.KEY, v.MODEL)
-    return model.coalesce_near(out, v.MODEL, by=("x",)).select("service", "x", r9("v").alias("v"), "n")
+    """Joint mass of load and response; a window has one load, so its pairs come from its samples in one pass."""
+    return v.published(spark, d).select("service", "x", r9("v").alias("v"), "n")
 
 
 @query("SELECT service, x, v, n FROM tmass")
@@ -486,7 +484,7 @@ def model_status(spark: E, d: str) -> DataFrame:
 
 def scored(spark: E, d: str) -> DataFrame:
     """Samples of the scored windows with their level and reference probability f."""
-    m, (x, y) = v.published(spark, d), v.chunk_store(spark, d)
+    x, y, m = v.chunk_store(spark, d)
     rows = y.join(scoring.levels(x, m, v.MODEL).select("service", "w", "level"), v.KEY)
     return scoring.probabilities(rows, model.conditional_points(m, v.MODEL), v.MODEL)
 
@@ -512,7 +510,7 @@ def significance(spark: E, d: str) -> DataFrame:
 
 
 def analysed(spark: E, d: str) -> DataFrame:
-    return scoring.analyse(*v.chunk_store(spark, d), v.published(spark, d), v.MODEL)
+    return scoring.analyse(*v.chunk_store(spark, d), v.MODEL)
 
 
 @query("SELECT service, w, x, level, pts AS points, round(d, 9) AS d, round(z, 9) AS z, round(p, 9) AS p, state FROM analysis")

@@ -71,14 +71,27 @@ def mass(spark: SparkSession, d: str) -> DataFrame:
     of loads with responses: the load is a sum over the window's samples. The
     events are dealt by window once, for counting and for that sum.
     """
+    return pairs(loaded(win(spark, d).where(f"ts <= {TRAIN_TS}"))).groupBy(*MODEL, "x", "v").agg(F.sum("n").alias("n"))
+
+
+def loaded(rows: DataFrame) -> DataFrame:
+    """Samples of windows with the window's load x, dealt by window once."""
     load = F.sum("c").over(Window.partitionBy(*KEY)).cast("double")
-    rows = win(spark, d).where(f"ts <= {TRAIN_TS}").select(*KEY, "value").repartition(*KEY)
-    return samples.count_samples(rows, KEY).withColumn("x", load).groupBy(*MODEL, "x", "v").agg(F.sum("c").alias("n"))
+    return samples.count_samples(rows.select(*KEY, "value").repartition(*KEY), KEY).withColumn("x", load)
+
+
+def pairs(chunks: DataFrame) -> DataFrame:
+    """The (x, v) pairs of each chunk with their mass n, not yet added up."""
+    return chunks.select(*MODEL, "x", "v", F.col("c").alias("n"))
 
 
 def published(spark: SparkSession, d: str) -> DataFrame:
     """The joint mass as a published model: near values brought together, built once, read by level lookup, point counts and interpolation."""
-    return model.coalesce_near(mass(spark, d), MODEL, by=("x",))
+    return coalesced(loaded(win(spark, d).where(f"ts <= {TRAIN_TS}")))
+
+
+def coalesced(chunks: DataFrame) -> DataFrame:
+    return model.coalesce_near(pairs(chunks), MODEL, by=("x",))
 
 
 def tod_samples(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
@@ -150,10 +163,11 @@ def score_chunks(spark: SparkSession, d: str) -> DataFrame:
     return score_samples(spark, d).groupBy(*KEY).agg(F.sum("c").cast("double").alias("x"))
 
 
-def chunk_store(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The scored windows (service, w, x) and their samples, from one stored chunk table."""
-    y = stored(score_samples(spark, d), "chunks")
-    return y.groupBy(*KEY).agg(F.sum("c").cast("double").alias("x")), y
+def chunk_store(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scored windows (service, w, x), their samples and the published mass, from one chunk table that one pass over the events stores."""
+    kept = stored(loaded(win(spark, d)).withColumn("reference", F.col("w") <= TRAIN_US), "chunks", by=["reference"])
+    y = kept.where("not reference").select(*KEY, "v", "c")
+    return y.groupBy(*KEY).agg(F.sum("c").cast("double").alias("x")), y, coalesced(kept.where("reference"))
 
 
 def score_samples(spark: SparkSession, d: str) -> DataFrame:

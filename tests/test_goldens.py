@@ -382,7 +382,7 @@ def test_many_probes_of_one_key(spark):
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.sampled_from([0.0, 1.0, 1.5, -1.5, 1e-300, 8.0, 1e9]), min_size=1, max_size=12), st.lists(st.integers(-7, 7), min_size=12, max_size=12))
+@given(st.lists(st.sampled_from([0.0, 1.0, 1.5, -1.5, 1e-300, 8.0, 1e9, 2.0 ** (7.63 / 16), -(2.0 ** (7.63 / 16))]), min_size=1, max_size=12), st.lists(st.integers(-7, 7), min_size=12, max_size=12))
 def test_near_values_against_plain_code(spark, bases, steps):
     values = sorted({float(b + k * math.ulp(b)) for b, k in zip(bases, steps, strict=False)})
     want, start = {}, None

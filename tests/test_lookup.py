@@ -95,3 +95,12 @@ def test_coalescing_reads_its_source_once(spark, tmp_path):
     out = model.coalesce_near(values, ["k"], by=("x",))
     assert sorted((r.x, r.v, r.n) for r in out.collect()) == [(0.0, 1.0, 1), (0.0, 4.0, 3), (1.0, 1.0, 2)]
     assert path not in str(out.inputFiles())  # a stored table, made in one pass over the source
+
+
+def test_coalescing_of_no_rows_and_over_the_ends_of_parts(spark):
+    schema = "k int, v double, x double, n long"
+    assert model.coalesce_near(spark.createDataFrame([], schema), ["k"], by=("x",)).count() == 0
+    end = 2.0 ** (7.63 / 16)
+    run = [end + i * 2.0**-52 for i in range(-9, 10)]
+    out = model.coalesce_near(table(spark, [(1, v, 0.0, 1) for v in run] + [(1, None, 0.0, 1)], schema), ["k"], by=("x",))
+    assert sorted(((r.v, r.n) for r in out.collect()), key=str) == [(run[0], 19), (None, 1)]
