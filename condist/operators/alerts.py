@@ -74,6 +74,17 @@ def lifecycle(events: DataFrame, keys: list[str], threshold: int = 3, opening: s
     return added.unionByName(ended.select(*keys, "alert", F.col("resolved_us").alias("us"), F.lit("resolved").alias("event")))
 
 
+def with_closings(events: DataFrame, closings: DataFrame, keys: list[str], service: str = "service") -> DataFrame:
+    """Events of any kinds of condition and, as ending events of every condition of their service, its closings (service, us, id, reason).
+
+    A pause, a removal or a change of configuration so ends all conditions of
+    the service, whatever their kind. ``keys`` hold the service's column.
+    """
+    every = closings.join(events.select(*keys).distinct(), service)
+    ends = every.select(*keys, "us", "id", F.lit(False).alias("occurs"), F.lit(True).alias("ends"), "reason")
+    return events.select(*keys, "us", "id", "occurs", "ends", "reason").unionByName(ends)
+
+
 def unique_occurrences(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row (that of the least id) for each occurrence key ``chunk:service:indicator:us``."""
     w = Window.partitionBy(*keys).orderBy("id")

@@ -28,7 +28,7 @@ def eligible(override: str = "review_override") -> Column:
 
 def ready_by_count(counts: DataFrame, required: int = READY_CHUNKS) -> DataFrame:
     share = F.least(F.col("eligible") / required, F.lit(1.0))
-    return counts.withColumn("coverage", share).withColumn("ready", F.col("eligible") >= required)
+    return counts.withColumns({"coverage": share, "ready": F.col("eligible") >= required})
 
 
 def ready_by_day(counts: DataFrame, interval_s: str = "interval_s") -> DataFrame:
@@ -38,6 +38,13 @@ def ready_by_day(counts: DataFrame, interval_s: str = "interval_s") -> DataFrame
     return counts.withColumn("expected", expected).withColumn("coverage", share).withColumn("ready", share >= READY_SHARE)
 
 
+def status(ready: DataFrame, built: DataFrame, keys: list[str]) -> DataFrame:
+    """State of each model (``ready`` with coverage, eligible and required): ready or learning, its progress, and when it was last built (``built``: keys, us), if it was."""
+    latest_build = built.groupBy(*keys).agg(F.max("us").alias("built_at"))
+    state = F.when(F.col("ready"), "ready").otherwise("learning")
+    return ready.join(latest_build, keys, "left").select(*keys, state.alias("state"), "coverage", F.col("coverage").alias("progress"), "required", "eligible", "built_at")
+
+
 def joint_mass(x: DataFrame, y: DataFrame, chunk: list[str], model: list[str]) -> DataFrame:
     """Mass n of each (x, y) of a model, from chunk samples in long form: x with (x, cx), y with (v, c)."""
     pairs = x.join(y, chunk)

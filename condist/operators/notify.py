@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,10 +64,12 @@ def retry_s(attempts: Column) -> Column:
     return F.least(F.pow(F.lit(2.0), F.least(attempts, F.lit(20))), F.lit(float(MAX_RETRY_S))).cast("long")
 
 
-def stale(deliveries: DataFrame, firing: DataFrame, now_us: int, order: list[str]) -> DataFrame:
-    """Firing alerts to send again: sent before, last handoff over two minutes ago or never, nothing pending; latest severity."""
+def stale(deliveries: DataFrame, firing: DataFrame, now_us: int, order: list[str], also: Sequence[str] = ()) -> DataFrame:
+    """Firing alerts to send again: sent before, last handoff over two minutes ago or never, nothing pending; with the
+    severity and the columns ``also`` (the payload) of the latest firing row."""
     fired = deliveries.where("operation = 'firing'")
-    last = fired.groupBy("alert").agg(F.max_by("severity", F.struct(*order, "severity")).alias("severity"), F.max(F.when(F.col("state") == "delivered", F.col("us"))).alias("handed_us"))
+    latest = F.struct(*order, "severity", *also)
+    last = fired.groupBy("alert").agg(*[F.max_by(c, latest).alias(c) for c in ("severity", *also)], F.max(F.when(F.col("state") == "delivered", F.col("us"))).alias("handed_us"))
     pending = deliveries.where("state = 'pending'").select("alert").distinct()
     old = F.col("handed_us").isNull() | (F.col("handed_us") < now_us - REFRESH_S * 1_000_000)
     return firing.select("alert").distinct().join(last, "alert").where(old).join(pending, "alert", "left_anti")

@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from condist.functions.lookup import latest
 
 PROBE_S = 3600
+#: Until a window that failed again is tried.
+RETRY_US = 1_000_000
 
 
 def upsert(failures: DataFrame, keys: list[str], lifetime_us: int) -> DataFrame:
-    """One row for each failed window: attempts, first and last failure, last error; it expires ``lifetime_us`` after the first."""
+    """One pending row for each failed window: attempts, first and last failure, last error, when it is tried again; it expires ``lifetime_us`` after the first."""
     return failures.groupBy(*keys).agg(
         F.count("*").alias("attempts"),
         F.min("us").alias("first_us"),
         F.max("us").alias("last_us"),
         F.max_by("error", F.struct("us", "id")).alias("error"),
         (F.min("us") + lifetime_us).alias("expires_us"),
+        (F.max("us") + RETRY_US).alias("retry_us"),
+        F.lit("pending").alias("state"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from condist.functions.shared import stored
-from condist.functions.times import DAY
+from condist.functions.times import DAY, micros
 from condist.operators import alerts as a
 from condist.operators import evidence as ev
 from condist.operators import model, notify, samples, windows
@@ -149,6 +149,46 @@ def service_closeout(spark: E, d: str) -> DataFrame:
     return closeout(spark, d).select(*SI, "reason", *ALERT_COLUMNS)
 
 
+# conditions of all kinds under one key, and what closes all of a service's
+KINDS = ["kind", "service", "key"]
+VIEWS["kind_events"] = f"""
+SELECT 'anomaly' AS kind, service, CAST(indicator AS VARCHAR) AS key, us, id, occurs, ends, reason FROM ({ANOMALY})
+UNION ALL SELECT 'monitoring', service, operation, us, id, occurs, ends, reason FROM ({MONITOR})
+UNION ALL SELECT 'collection', CAST(service AS VARCHAR), '', us, id, failed, NOT failed, 'collection_recovered' FROM attempts WHERE kind <> 'signup'"""
+VIEWS["service_closings"] = """
+SELECT o_orderpriority AS service, epoch_us(o_orderdate) AS us, 1000000000 + o_orderkey AS id,
+  CASE o_orderkey % 3 WHEN 0 THEN 'monitoring_paused' WHEN 1 THEN 'service_removed' ELSE 'configuration_changed' END AS reason FROM orders WHERE o_orderkey % 211 = 0
+UNION ALL SELECT CAST(user_id AS VARCHAR), epoch_us(ts), 1000000000 + event_id, 'configuration_changed' FROM events WHERE event_type = 'signup'"""
+WITH_CLOSINGS = """SELECT * FROM kind_events UNION ALL SELECT k.kind, k.service, k.key, c.us, c.id, false, true, c.reason
+FROM service_closings c JOIN (SELECT DISTINCT kind, service, key FROM kind_events) k ON k.service = c.service"""
+
+
+def kind_events(spark: E, d: str) -> DataFrame:
+    """Events of anomaly, monitoring and collection conditions: kind, service, key, us, id, occurs, ends, reason."""
+    failed = F.col("failed")
+    tries = events_of(v.attempts(spark, d).where("kind <> 'signup'"), failed, ~failed, F.lit("collection_recovered"))
+    parts = [("anomaly", anomaly_events(spark, d), F.col("indicator")), ("monitoring", monitoring_events(spark, d), F.col("operation")), ("collection", tries, F.lit(""))]
+    columns = ["us", "id", "occurs", "ends", "reason"]
+    out = [rows.select(F.lit(kind).alias("kind"), F.col("service").cast("string").alias("service"), key.cast("string").alias("key"), *columns) for kind, rows, key in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def service_closings(spark: E, d: str) -> DataFrame:
+    """Pauses, removals and changes of services: some orders, and the sign-ups of users."""
+    o, e = v.table(spark, d, "orders").where("o_orderkey % 211 = 0"), v.obs(spark, d).where("service = 'signup'")
+    reason = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'monitoring_paused' WHEN 1 THEN 'service_removed' ELSE 'configuration_changed' END")
+    orders = o.select(F.col("o_orderpriority").alias("service"), micros("o_orderdate").alias("us"), (1_000_000_000 + F.col("o_orderkey")).alias("id"), reason.alias("reason"))
+    users = e.select(F.col("user_id").cast("string").alias("service"), "us", (1_000_000_000 + F.col("event_id")).alias("id"), F.lit("configuration_changed").alias("reason"))
+    return orders.unionByName(users)
+
+
+@query(f"SELECT kind, service, key, reason, {ALERT_SQL} FROM ({conditions_sql(WITH_CLOSINGS, 'kind, service, key')})")
+def closeout_of_all_kinds(spark: E, d: str) -> DataFrame:
+    """Conditions of all kinds, ended by their own events or by a closing of their service."""
+    events = a.with_closings(kind_events(spark, d), service_closings(spark, d), KINDS)
+    return a.conditions(events, KINDS).select(*KINDS, "reason", *ALERT_COLUMNS)
+
+
 MESSAGE_SQL = "upper(left(replace(reason, '_', ' '), 1)) || substr(replace(reason, '_', ' '), 2)"
 
 
@@ -411,6 +451,10 @@ def collection_text(spark: E, d: str) -> DataFrame:
     return rows.select("service", "alert", a.collection_text(F.col("service").cast("string"), F.col("occurrences"), "retry_us").alias("description"))
 
 
+def with_payload(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("payload", F.concat_ws(":", F.col("part").cast("string"), F.col("line").cast("string")))
+
+
 @query(
     """SELECT f.alert, 'resolved' AS operation, f.severity, f.payload, r.us FROM (
   SELECT alert, severity, arg_max(part || ':' || line, lpad(us::VARCHAR, 20, '0') || lpad(line::VARCHAR, 4, '0') || lpad(part::VARCHAR, 12, '0')) AS payload
@@ -419,7 +463,7 @@ JOIN (SELECT alert, max(us) AS us FROM deliveries WHERE operation = 'resolved' G
 )
 def delivered_resolutions(spark: E, d: str) -> DataFrame:
     """Resolutions of the severities of ended alerts that were delivered, with the payload delivered last."""
-    rows = v.deliveries(spark, d).withColumn("payload", F.concat_ws(":", F.col("part").cast("string"), F.col("line").cast("string")))
+    rows = with_payload(v.deliveries(spark, d))
     ended = rows.where("operation = 'resolved'").groupBy("alert").agg(F.max("us").alias("ended_us"))
     return notify.resolutions(rows, ended, ["us", "line", "part"])
 
@@ -540,14 +584,16 @@ def retry_backoff(spark: E, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT alert, severity, handed_us FROM (
-  SELECT alert, arg_max(severity, lpad(us::VARCHAR, 20, '0') || lpad(line::VARCHAR, 4, '0') || lpad(part::VARCHAR, 12, '0') || severity) AS severity, max(us) FILTER (state = 'delivered') AS handed_us
+    f"""SELECT alert, severity, payload, handed_us FROM (
+  SELECT alert, arg_max(part || ':' || line, lpad(us::VARCHAR, 20, '0') || lpad(line::VARCHAR, 4, '0') || lpad(part::VARCHAR, 12, '0') || severity) AS payload,
+    arg_max(severity, lpad(us::VARCHAR, 20, '0') || lpad(line::VARCHAR, 4, '0') || lpad(part::VARCHAR, 12, '0') || severity) AS severity, max(us) FILTER (state = 'delivered') AS handed_us
   FROM deliveries WHERE operation = 'firing' GROUP BY alert)
 WHERE alert NOT IN (SELECT alert FROM deliveries WHERE operation = 'resolved') AND (handed_us IS NULL OR handed_us < {NOW} - 120000000)
   AND alert NOT IN (SELECT alert FROM deliveries WHERE state = 'pending')"""
 )
 def stale_handoffs(spark: E, d: str) -> DataFrame:
-    rows = v.deliveries(spark, d)
+    """Alerts to hand on again, with the latest payload."""
+    rows = with_payload(v.deliveries(spark, d))
     ended = rows.where("operation = 'resolved'").select("alert").distinct()
-    return notify.stale(rows, rows.join(ended, "alert", "left_anti"), NOW, ["us", "line", "part"]).select("alert", "severity", "handed_us")
+    return notify.stale(rows, rows.join(ended, "alert", "left_anti"), NOW, ["us", "line", "part"], also=["payload"]).select("alert", "severity", "payload", "handed_us")
 

@@ -467,16 +467,19 @@ def publish_ready_models(spark: E, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT service, indicator, CASE WHEN eligible >= 1100 THEN 'ready' ELSE 'learning' END AS state, round(least(eligible / 1100, 1.0), 9) AS coverage, eligible, built_at
-FROM ({ELIGIBLE}) e LEFT JOIN (SELECT o_orderpriority AS service, CAST(1 + o_custkey % 2 AS INTEGER) AS indicator, max(epoch_us(o_orderdate)) AS built_at
+    f"""SELECT service, indicator, CASE WHEN indicator = 1 AND eligible >= 1100 OR indicator = 2 AND least(eligible / needed, 1.0) >= 0.95 THEN 'ready' ELSE 'learning' END AS state,
+  round(least(eligible / needed, 1.0), 9) AS coverage, round(least(eligible / needed, 1.0), 9) AS progress, CASE WHEN indicator = 1 THEN 1100 ELSE 5 END AS required, eligible, built_at
+FROM (SELECT *, CASE WHEN indicator = 1 THEN 1100 ELSE 1200 END AS needed FROM ({ELIGIBLE})) e LEFT JOIN (SELECT o_orderpriority AS service, CAST(1 + o_custkey % 2 AS INTEGER) AS indicator, max(epoch_us(o_orderdate)) AS built_at
   FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2) b USING (service, indicator)"""
 )
 def model_status(spark: E, d: str) -> DataFrame:
-    ready = model.ready_by_count(eligible_counts(spark, d), 1100)
+    """Status of both indicators' models: the first needs chunks by number, the second five days of windows (of six minutes here)."""
+    counts = eligible_counts(spark, d)
+    by_count = model.ready_by_count(counts.where("indicator = 1"), 1100).withColumn("required", F.lit(1100))
+    by_day = model.ready_by_day(counts.where("indicator = 2").withColumn("interval_s", F.lit(360))).withColumn("required", F.lit(model.READY_DAYS_S // 86_400))
+    ready = by_count.unionByName(by_day.select(*by_count.columns)).withColumn("coverage", r9("coverage"))
     o = v.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("service"), F.expr("1 + o_custkey % 2").cast("int").alias("indicator"), micros("o_orderdate").alias("us"))
-    built = o.groupBy("service", "indicator").agg(F.max("us").alias("built_at"))
-    state = F.when(F.col("ready"), "ready").otherwise("learning")
-    return ready.join(built, ["service", "indicator"], "left").select("service", "indicator", state.alias("state"), r9("coverage").alias("coverage"), "eligible", "built_at")
+    return model.status(ready, o, ["service", "indicator"])
 
 
 # --- scoring -----------------------------------------------------------------------------------------------------

@@ -21,7 +21,8 @@ TABLES = ["service", "w"]
 
 
 @query(
-    f"""SELECT service, w, count(*) AS attempts, min(us) AS first_us, max(us) AS last_us, arg_max('error ' || id, us * 10 + id % 10) AS error, min(us) + {DAY} AS expires_us
+    f"""SELECT service, w, count(*) AS attempts, min(us) AS first_us, max(us) AS last_us, arg_max('error ' || id, us * 10 + id % 10) AS error, min(us) + {DAY} AS expires_us,
+  max(us) + 1000000 AS retry_us, 'pending' AS state
 FROM attempts WHERE failed GROUP BY service, w"""
 )
 def backlog_upsert(spark: E, d: str) -> DataFrame:

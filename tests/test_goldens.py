@@ -356,6 +356,27 @@ def test_stale_alerts(spark):
     df = spark.createDataFrame(rows_, "alert long, n int, operation string, state string, severity string, us long")
     firing = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "alert long")
     assert rows(notify.stale(df, firing, 10**10, ["n"]), "alert", "severity") == [(1, "critical"), (3, "warning")]
+    bodies = df.withColumn("payload", F.concat("alert", F.lit("/"), "n"))
+    assert rows(notify.stale(bodies, firing, 10**10, ["n"], also=["payload"]), "alert", "payload") == [(1, "1/2"), (3, "3/1")]
+
+
+def test_closings_end_every_condition_of_their_service(spark):
+    keys = ["kind", "service", "key"]
+    hits = [("anomaly", "a", "1", 1, 1), ("anomaly", "a", "1", 9, 5), ("anomaly", "a", "2", 2, 2), ("collection", "a", "", 3, 3), ("collection", "b", "", 4, 4)]
+    events = spark.createDataFrame([(*h, True, False, None) for h in hits], "kind string, service string, key string, us long, id long, occurs boolean, ends boolean, reason string")
+    closings = spark.createDataFrame([("a", 5, 100, "service_removed"), ("c", 5, 101, "service_removed")], "service string, us long, id long, reason string")
+    out = alerts.conditions(alerts.with_closings(events, closings, keys), keys)
+    got = {(r.kind, r.service, r.key, r.alert): (r.status, r.reason) for r in out.collect()}
+    ended = ("resolved", "service_removed")
+    assert got == {("anomaly", "a", "1", 1): ended, ("anomaly", "a", "1", 5): ("firing", None), ("anomaly", "a", "2", 2): ended, ("collection", "a", "", 3): ended, ("collection", "b", "", 4): ("firing", None)}
+    assert alerts.with_closings(events.limit(0), closings, keys).count() == 0
+
+
+def test_model_status(spark):
+    ready = model.ready_by_count(spark.createDataFrame([("a", 4), ("b", 12)], "service string, eligible long")).withColumn("required", F.lit(10))
+    built = spark.createDataFrame([("b", 5), ("b", 7), ("c", 9)], "service string, us long")
+    got = rows(model.status(ready, built, ["service"]), "service", "state", "progress", "required", "eligible", "built_at")
+    assert got == [("a", "learning", 0.4, 10, 4, None), ("b", "ready", 1.0, 10, 12, 7)]
 
 
 def test_entry_and_names(spark):
