@@ -8,7 +8,7 @@ value of x takes the nearest level of x at or below it, or the lowest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condist.functions.lookup import PART_ROWS, at_or_below, latest, running
@@ -109,8 +109,8 @@ def near_least(rows: DataFrame, keys: list[str], ulps: int = 5, by: tuple[str, .
     ``least`` is the least value of v's group, where neighbours within ``ulps``
     units in the last place are one group. With ``sums``, rows of the same keys,
     ``by`` and v are first added up (n), in the same shuffle. Values are ordered within sixteenths
-    of octaves, so a service with very many values is no single task. The pass
-    that writes them also sees whether a group reaches over two of them: only
+    of octaves, so a service with very many values is no single task. A group
+    reaches over two of them only
     with a value so near its sixteenth's lower end that a step down leaves it.
     If there is any, a sixteenth is summed up by its first value, its last, and
     where its last group starts; a scan over these tells which go on with a
@@ -131,11 +131,11 @@ def near_least(rows: DataFrame, keys: list[str], ulps: int = 5, by: tuple[str, .
     gap = v - F.lag("v").over(inside)
     marked = rows.withColumn("_s", F.when(gap.isNull() | (gap > step(v)), v))
     own = marked.withColumn("least", F.last("_s", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    seen = Observation()
+    own = stored(own.drop("_s"), "ordered")
     near, over = F.bool_or(F.col("least") != v), F.bool_or(sixteenth(v - step(v)) != F.col("_o"))
-    own = stored(own.drop("_s").observe(seen, near.alias("near"), over.alias("over")), "ordered")
-    if not seen.get.get("over"):
-        return own.drop("_o"), bool(seen.get.get("near"))
+    found = own.agg(near, over).first()
+    if not found[1]:
+        return own.drop("_o"), bool(found[0])
     parts = own.groupBy(*keys, "_o").agg(F.min("v").alias("_first"), F.max("v").alias("_last"), F.max("least").alias("_start"))
     joins = F.coalesce(F.col("_first") - F.lag("_last").over(before) <= step(F.col("_first")), F.lit(False))
     parts = parts.withColumn("_joins", joins)
