@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,11 +69,17 @@ def stream_responses(spark: E, d: str) -> DataFrame:
 ARRIVALS = [1_704_067_200_000_000 + k * 3 * DAY for k in range(11)]
 
 
-def delivered(spark: E, rows: DataFrame, us: str, moments: list[int], path: str) -> None:
-    """Write rows (with microseconds ``us``) as files in order of time, those between two moments together; the first and last are open."""
+def delivered(rows: DataFrame, us: str, moments: list[int], path: str) -> Iterator[None]:
+    """Write rows (with microseconds ``us``) in order of time, those between two moments together; the first and last are open.
+
+    Yields after each delivery, for a job to take it. A delivery of a large
+    table has many files, none of them before another in time, so it is one
+    batch only if the job takes all that is there.
+    """
     for k, (a, b) in enumerate(zip(moments, moments[1:], strict=False)):
         low, high = (F.lit(True) if k == 0 else F.col(us) > a), (F.lit(True) if k == len(moments) - 2 else F.col(us) <= b)
         rows.where(low & high).write.mode("append").parquet(path)
+        yield
 
 
 def arrivals(spark: E, d: str) -> DataFrame:
@@ -83,24 +92,19 @@ ARRIVAL = "event_id long, service string, ts timestamp, value double, us long"
 
 @query(f"SELECT service, w, round(v, 9) AS v, c FROM ys WHERE {CLOSED}")
 def stream_restart(spark: E, d: str) -> DataFrame:
-    """Samples of closed windows by a job that stops after half of ten deliveries, one a micro-batch, and is started again for the rest."""
-    folder, path, rows = shared_folder(spark, "restart"), shared_folder(spark, "arrivals"), arrivals(spark, d)
-    for part in (ARRIVALS[:6], ARRIVALS[5:]):
-        mine = rows.where(F.col("us") <= part[-1]) if part[0] == ARRIVALS[0] else rows.where(F.col("us") > part[0])
-        delivered(spark, mine, "us", part, path)
-        out = jobs.finished(jobs.chunks(jobs.files(spark, ARRIVAL, path, 1), "6 hours"), spark, "chunks", folder=folder)
+    """Samples of closed windows by a job that stops after each of ten deliveries, one a micro-batch, and is started again for the next."""
+    folder, path = shared_folder(spark, "restart"), shared_folder(spark, "arrivals")
+    for _ in delivered(arrivals(spark, d), "us", ARRIVALS, path):
+        out = jobs.finished(jobs.chunks(jobs.files(spark, ARRIVAL, path), "6 hours"), spark, "chunks", folder=folder)
     return out.withColumn("v", F.round("v", 9))
 
 
 def late_run(spark: E, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored arrivals, the closed chunks of a stream, and the windows short of observations; every tenth observation was delivered when the job had taken all others."""
     folder, path, rows = shared_folder(spark, "late"), shared_folder(spark, "arrivals"), arrivals(spark, d)
-    for late in (False, True):
-        if late:
-            rows.where("event_id % 10 = 0").write.mode("append").parquet(path)
-        else:
-            delivered(spark, rows.where("event_id % 10 <> 0"), "us", ARRIVALS, path)
-        closed = jobs.finished(jobs.chunks(jobs.files(spark, ARRIVAL, path, 1), "6 hours"), spark, "chunks", folder=folder)
+    late = delivered(rows.where("event_id % 10 = 0"), "us", [ARRIVALS[0], ARRIVALS[-1]], path)
+    for _ in chain(delivered(rows.where("event_id % 10 <> 0"), "us", ARRIVALS, path), late):
+        closed = jobs.finished(jobs.chunks(jobs.files(spark, ARRIVAL, path), "6 hours"), spark, "chunks", folder=folder)
     stored = spark.read.schema(ARRIVAL).parquet(path)
     clock = stored.agg(F.max("us")).first()[0] - 1
     return stored, closed, jobs.recovered(stored, closed, v.WINDOW, clock)
@@ -144,7 +148,7 @@ def stream_scoring(spark: E, d: str) -> DataFrame:
 UNION ALL SELECT service, indicator, alert, occurrences, severity, status, resolved_us FROM anomalies WHERE status = 'resolved'"""
 )
 def stream_alerts(spark: E, d: str) -> DataFrame:
-    """Updates of anomaly conditions from live verdicts, in ten deliveries by a job that stops and is started again."""
+    """Updates of anomaly conditions from live verdicts, in ten deliveries by a job that stops after each and is started again."""
     rows = v.verdicts(spark, d).where(~F.col("historical"))
     out = fed(spark, alerts.events_of(rows, F.col("state") == "bad", F.col("state") == "good", F.lit("good_chunk")))
     return out.select("service", "indicator", "alert", "occurrences", "severity", "status", "us")
@@ -156,11 +160,10 @@ EVENT = "service string, indicator int, us long, id long, occurs boolean, ends b
 
 
 def fed(spark: E, events: DataFrame) -> DataFrame:
-    """Updates of conditions by events in two runs of five deliveries each."""
-    folder, path, rows = shared_folder(spark, "alert-job"), shared_folder(spark, "events"), events.select(*conditions.EVENTS)
-    for k, part in enumerate((ORDERED[:6], ORDERED[5:])):
-        delivered(spark, rows.where(F.col("us") > part[0]) if k else rows.where(F.col("us") <= part[-1]), "us", part, path)
-        out = conditions.alert_stream(jobs.files(spark, EVENT, path, 1), spark, refresh_us=0, folder=folder)
+    """Updates of conditions by events in ten deliveries, each taken by a run of its own."""
+    folder, path = shared_folder(spark, "alert-job"), shared_folder(spark, "events")
+    for _ in delivered(events.select(*conditions.EVENTS), "us", ORDERED, path):
+        out = conditions.alert_stream(jobs.files(spark, EVENT, path), spark, refresh_us=0, folder=folder)
     return out
 
 

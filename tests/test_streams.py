@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from condist.functions.shared import shared_folder
+from condist.plans import catalog
 from condist.streaming import conditions, jobs
 
 SECOND = 1_000_000
@@ -105,3 +107,23 @@ def test_a_quiet_alert_is_handed_on_again(spark):
     again = run().where("status = 'refresh'").collect()
     assert {(r.service, r.alert, r.occurrences, r.us) for r in again} == {("a", 1, 1, 3 * minute)}
     assert [(r.service, r.alert) for r in conditions.firing(spark, folder).collect()] == [("a", 1)]
+
+
+@pytest.fixture(scope="module")
+def many_files(spark, tmp_path_factory):
+    """Small tables whose files are in no order of time."""
+    d = str(tmp_path_factory.mktemp("spark-files"))
+    for name in ("orders", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(f"{d}/{name}.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["stream_alerts", "stream_closeout", "stream_restart", "stream_rewritten"])
+def test_a_delivery_of_many_files_is_one_batch(spark, many_files, name):
+    con = duckdb.connect()
+    for table in ("orders", "events"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{many_files}/{table}.parquet/*.parquet'")
+    df = catalog.queries()[name](spark, many_files)
+    columns = ", ".join(df.columns)
+    want = con.sql(f"SELECT {columns} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    assert want and sorted((tuple(r) for r in df.collect()), key=str) == sorted(want, key=str)
