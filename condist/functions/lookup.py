@@ -25,8 +25,8 @@ SENT = 1_000_000
 def dealt(rows: DataFrame, keys: Sequence[str], at: str, part_rows: int = PART_ROWS, known: int | None = None) -> tuple[DataFrame, bool]:
     """Rows with ``_part``, the number of their part of their key by value, and whether any key has several.
 
-    ``known`` is a bound on the number of all rows, where the caller has one:
-    keys need not be counted if one task could take everything.
+    ``known`` is a bound on the rows of any key (all rows are one), where the
+    caller has one: keys need not be counted if one task could take that.
     """
     if known is not None and known <= part_rows:
         return rows.withColumn("_part", F.lit(0)), False

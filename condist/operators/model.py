@@ -91,7 +91,7 @@ def joint_cdf_at(mass: DataFrame, points: DataFrame, model: list[str], part_rows
 
 
 def conditional_points(mass: DataFrame, model: list[str], known: int | None = None) -> DataFrame:
-    """Distribution function (v, p) of y at each level x; ``known`` is a bound on the rows, if there is one."""
+    """Distribution function (v, p) of y at each level x; ``known`` is a bound on the rows of any level, if there is one."""
     upto = running(mass.select(*model, "x", "v", "n"), [*model, "x"], "v", F.col("n"), known=known)
     return upto.select(*model, "x", "v", (F.col("_upto") / F.col("_total")).alias("p"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from condist.functions.lookup import at_or_below, neighbours
+from condist.functions.lookup import PART_ROWS, at_or_below, neighbours
 from condist.functions.shared import stored
 from condist.functions.stats import kolmogorov_p, linear, significant
 from condist.operators.model import conditional_points
@@ -43,11 +43,17 @@ def analyse(chunks: DataFrame, samples: DataFrame, mass: DataFrame, model: list[
     Without a model or points a chunk is baseline; with one point, or no
     samples, it failed; else it is bad if its p-value is significant, or good.
     Only levels that some chunk needs are made into distribution functions.
-    Samples and mass are best stored tables, as they are counted first.
+    Samples and mass are best stored tables, as they are counted first. Where
+    there are many, the rows of a level (its points, and the samples of its
+    chunks) are bounded once, so that no lookup has to count its keys itself.
     """
     n = samples.count() + mass.count()
     known = stored(levels(chunks, mass, model, n), "levels")
     used = known.where("points >= 2")
+    if n > PART_ROWS:
+        entries = samples.groupBy(*model, "w").agg(F.count("*").alias("_entries"))
+        sizes = used.join(entries, [*model, "w"]).groupBy(*model, "level").agg((F.max("points") + F.sum("_entries")).alias("_rows"))
+        n = sizes.agg(F.max("_rows")).first()[0] or 0
     points = conditional_points(mass.join(used.select(*model, F.col("level").alias("x")), [*model, "x"], "left_semi"), model, n)
     scored = samples.join(used.select(*model, "w", "level"), [*model, "w"])
     tests = ks(probabilities(scored, points, model, n), [*model, "w"])

@@ -98,7 +98,8 @@ def score(spark: SparkSession, root: str, step: int, chunks: DataFrame, samples:
     """Verdicts of the chunks of a step by the versions in force before it."""
     force = in_force(read(spark, root, "manifest", MANIFEST, range(1, step)))
     known = chunks.join(force.select(*MODEL, "version"), MODEL, "left")
-    scored = analyse(known, samples.join(chunks.select(*CHUNK, "generation"), CHUNK), model_of(spark, root, force).drop("version"), MODEL)
+    own = stored(samples.join(chunks.select(*CHUNK, "generation"), CHUNK), "own-samples")
+    scored = analyse(known, own, model_of(spark, root, force).drop("version"), MODEL)
     return scored.select("service", "indicator", "w", "generation", "version", "x", "level", "points", "d", "z", "p", "state")
 
 

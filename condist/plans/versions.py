@@ -24,7 +24,8 @@ r9 = lambda c: F.round(c, 9)
 
 def tables(spark: E, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Chunks, samples, services and reviews. Of bad chunks every third is accepted after two days, and every sixth taken back after seven."""
-    loads, hours = stored(v.ys(spark, d), "samples"), stored(v.tod_samples(spark, d), "tod-samples")
+    # in order of time, so that a step reads its own stretch only
+    loads, hours = stored(v.ys(spark, d).sortWithinPartitions("w"), "samples"), stored(v.tod_samples(spark, d), "tod-samples")
     x1 = loads.groupBy(*v.KEY).agg(F.sum("c").cast("double").alias("x"))
     samples = loads.withColumn("indicator", F.lit(1)).unionByName(hours.withColumn("indicator", F.lit(2)))
     chunks = x1.withColumn("indicator", F.lit(1)).unionByName(v.tod_chunks(hours).withColumn("indicator", F.lit(2)))

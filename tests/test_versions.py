@@ -104,3 +104,17 @@ def test_broken_bodies_fall_back(spark, learned):
     got = {(r.service, r.generation): r.version for r in versions.in_force(versions.intact(spark, root, broken)).collect()}
     assert got == {("a", 1): 3, ("b", 1): 2, ("b", 2): 3}
     assert versions.intact(spark, root, manifest, keep=2).where("service = 'a'").count() == 2
+
+
+def test_lookups_of_many_rows_are_bounded_once(spark, monkeypatch):
+    """Beyond the rows of a part, lookups get the rows of the largest level as their bound, and verdicts stay the same."""
+    samples = spark.createDataFrame([("a", w, float(v), 1) for w in range(1, 7) for v in range(10)], "service string, w long, v double, c long")
+    chunks = spark.createDataFrame([("a", w, float(w)) for w in range(1, 7)], "service string, w long, x double")
+    mass = spark.createDataFrame([("a", float(x), float(v), 1) for x in (1, 2, 3) for v in range(0, 12, x)], "service string, x double, v double, n long")
+    plain = sorted(map(tuple, scoring.analyse(chunks, samples, mass, ["service"]).collect()))
+    bounds, inner = [], scoring.neighbours
+    monkeypatch.setattr(scoring, "neighbours", lambda *a, known=None, **k: bounds.append(known) or inner(*a, known=known, **k))
+    monkeypatch.setattr(scoring, "PART_ROWS", 20)
+    assert sorted(map(tuple, scoring.analyse(chunks, samples, mass, ["service"]).collect())) == plain
+    # level 3 has four points, and the samples of four chunks
+    assert bounds == [44] and len(plain) == 6
