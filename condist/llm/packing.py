@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from condist.llm.scratch import frugal
 from condist.llm.tokens import default_tokenizer, encoder, slices
 
 SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -100,7 +101,8 @@ class Packer:
         for start in range(0, whole, self.capacity):
             self.close([(key, start, ids[start : start + self.capacity])])
         if whole < len(ids):
-            self.put((key, whole, ids[whole:]))
+            # a copy, so that what waits does not hold its whole document
+            self.put((key, whole, ids[whole:].copy()))
 
     def drain(self, keep: int) -> None:
         """Fill windows until fewer than ``keep`` tokens wait."""
@@ -174,7 +176,7 @@ def pack(
         yield out()
         encoder(path).rest()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), SCHEMA)
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from condist.llm import labelled
+from condist.llm.scratch import frugal
 from condist.llm.tokens import flat, slices
 
 #: Byte classes of the statistics.
@@ -177,7 +178,7 @@ def fit(
                 yield pa.record_batch([lists, part.column("label"), part.column("calibrate")], ["stats", "label", "calibrate"])
 
     # the sample is bounded, and so is this table of its statistics
-    stats = chosen.mapInArrow(measure, "stats array<double>, label int, calibrate boolean").repartition(8).persist()
+    stats = chosen.mapInArrow(frugal(measure), "stats array<double>, label int, calibrate boolean").repartition(8).persist()
     moments = stats.agg(
         F.array(*[F.avg(F.col("stats")[i]) for i in range(len(NAMES))]).alias("mean"),
         F.array(*[F.stddev_pop(F.col("stats")[i]) for i in range(len(NAMES))]).alias("scale"),
@@ -205,7 +206,7 @@ def fit(
         yield pa.record_batch([pa.array(np.arange(dimension)), pa.array(list(left), pa.list_(pa.float64()))], ["i", "row"])
 
     total = np.zeros((dimension, dimension + 1))
-    for r in stats.where(~F.col("calibrate")).mapInArrow(sums, "i long, row array<double>").toLocalIterator():  # 8 matrices
+    for r in stats.where(~F.col("calibrate")).mapInArrow(frugal(sums), "i long, row array<double>").toLocalIterator():  # 8 matrices
         total[r.i] += r.row
     weights = np.linalg.solve(total[:, :-1] + ridge * (np.trace(total[:, :-1]) / dimension + 1e-9) * np.eye(dimension), total[:, -1])
     model = Model(mean, scale, directions, base.phases, weights, np.zeros(0), np.zeros(0))
@@ -215,7 +216,7 @@ def fit(
             at = np.floor(np.clip(model.raw(_matrix(batch.column("stats"))), -1, 2) * cells)
             yield pa.record_batch([pa.array(at.astype(np.int64)), batch.column("label")], ["cell", "label"])
 
-    found = stats.where("calibrate").mapInArrow(cell, "cell long, label int").groupBy("cell").agg(F.sum("label").alias("ones"), F.count("*").alias("n"))
+    found = stats.where("calibrate").mapInArrow(frugal(cell), "cell long, label int").groupBy("cell").agg(F.sum("label").alias("ones"), F.count("*").alias("n"))
     table = np.array(sorted((r["cell"], r["ones"], r["n"]) for r in found.collect()), float).reshape(-1, 3)  # at most 3 * cells
     stats.unpersist()
     if not len(table):
@@ -240,7 +241,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 values = pa.array(model.score(statistics(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([*part.columns, values], names=[*part.schema.names, name])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

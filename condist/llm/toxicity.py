@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from condist.llm import labelled
+from condist.llm.scratch import frugal
 from condist.llm.tokens import slices
 
 EDGES = string.punctuation + "“”„«»‘’‹›…–—¿¡·•"
@@ -218,7 +219,7 @@ def word_sets(sampled: DataFrame) -> DataFrame:
                 lists = [sorted({w for raw in (t or "").lower().split() if len(w := raw.strip(EDGES)) > 2}) for t in part.column("text").to_pylist()]
                 yield pa.record_batch([pa.array(lists, pa.list_(pa.string())), part.column("label")], ["words", "label"])
 
-    return sampled.mapInArrow(run, "words array<string>, label int").distinct()
+    return sampled.mapInArrow(frugal(run), "words array<string>, label int").distinct()
 
 
 def word_counts(sets: DataFrame) -> DataFrame:
@@ -284,7 +285,7 @@ def best_support(
             hit = [[m.score(m.hits(t or "")) >= threshold for t in texts] for m in drafts]
             yield pa.record_batch([batch.column("label"), pa.array(list(map(list, zip(*hit, strict=True))), pa.list_(pa.bool_()))], ["label", "hit"])
 
-    rows = check.select("text", "label").mapInArrow(judge, "label int, hit array<boolean>").groupBy("label")
+    rows = check.select("text", "label").mapInArrow(frugal(judge), "label int, hit array<boolean>").groupBy("label")
     shares = {r["label"]: r for r in rows.agg(*[F.avg(F.get("hit", F.lit(k)).cast("double")).alias(f"s{k}") for k in range(len(supports))]).collect()}
     if len(shares) < 2:
         return sorted(supports)[len(supports) // 2]
@@ -341,7 +342,7 @@ def fit(
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["word", "term", "ones", "zeros"])
 
     # words within two edits of the lexicon: as many as it allows, whatever the corpus
-    variants = counts.mapInArrow(near, "word string, term string, ones long, zeros long").collect()
+    variants = counts.mapInArrow(frugal(near), "word string, term string, ones long, zeros long").collect()
     known = frozenset(r["word"] for r in variants if r["zeros"] and chance(r["ones"], r["zeros"], n, share) < precision)
     seen: dict[str, list[float]] = {t: [1.0, 1.0] for t in exact}
     for r in variants:
@@ -356,7 +357,7 @@ def fit(
             none = [not draft.hits(t or "") for t in batch.column("text").to_pylist()]
             yield pa.record_batch([pa.array(none), batch.column("label")], ["none", "label"])
 
-    left = sampled.mapInArrow(missed, "none boolean, label int").groupBy("label").agg(F.count_if("none").alias("none"), F.count("*").alias("all")).collect()
+    left = sampled.mapInArrow(frugal(missed), "none boolean, label int").groupBy("label").agg(F.count_if("none").alias("none"), F.count("*").alias("all")).collect()
     rate = {r["label"]: r["none"] / r["all"] for r in left}
     a, b = share * rate.get(1, 0), (1 - share) * rate.get(0, 1)
     counts.unpersist()
@@ -381,7 +382,7 @@ def score(docs: DataFrame, model: Model, name: str = "score", hits: str | None =
                     extra.append(pa.array([[{"word": i, "term": t, "weight": w} for i, t, w in h] for h in found], arrow))
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, name, *([hits] if hits else [])])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
